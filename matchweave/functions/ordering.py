@@ -10,43 +10,54 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, NumericType, TimestampType
 
 from matchweave.sources.store import broadcast_if_small, stage
 
 # A key with more rows than this is cut into sub-groups.
 HOT_ROWS = 1_000_000
-# Number of sub-groups of a global order, and sampled values per sub-group.
-BUCKETS = 256
-SAMPLE_PER_BUCKET = 16
+# Number of sub-groups of a global order, and values sampled per sub-group to place the cuts.
+BUCKETS = 2048
+SAMPLE_PER_BUCKET = 8
 
 
-def order_bounds(df: DataFrame, column: str, buckets: int = BUCKETS) -> list:
-    """At most ``buckets - 1`` cut points that split the distinct values about evenly.
+def _position(df: DataFrame, column: str) -> Column:
+    """The order column as a double, without ever putting two values out of order."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, DateType):
+        return F.unix_date(column).cast("double")
+    if isinstance(kind, (NumericType, TimestampType)):
+        return F.col(column).cast("double")
+    raise TypeError(f"cannot order {column} of type {kind.simpleString()}; number the values first")
+
+
+def order_bounds(df: DataFrame, column: str) -> list[float]:
+    """At most ``BUCKETS - 1`` cut points that split the distinct values about evenly.
 
     Values with the smallest hashes are a uniform sample of the distinct values, and
-    a top-k by hash brings only that fixed number of values to the driver.
+    a top-k by hash brings only that fixed number of values to the driver. An order
+    with fewer distinct values than the sample holds needs no cut.
     """
-    distinct = df.select(column).where(F.col(column).isNotNull()).distinct()
-    sample = (
-        distinct.orderBy(F.xxhash64(column), column).limit(buckets * SAMPLE_PER_BUCKET).collect()
-    )
+    wanted = BUCKETS * SAMPLE_PER_BUCKET
+    distinct = df.select(_position(df, column).alias("p")).where(F.col("p").isNotNull()).distinct()
+    sample = distinct.orderBy(F.xxhash64("p"), "p").limit(wanted).collect()
+    if len(sample) < wanted:
+        return []
     values = sorted(row[0] for row in sample)
-    step = max(1, len(values) // buckets)
-    return values[step::step][: buckets - 1]
+    return values[SAMPLE_PER_BUCKET::SAMPLE_PER_BUCKET]
 
 
-def bucket_of(column: Column, bounds: Sequence) -> Column:
-    """Number of bounds that are <= the value, as a balanced tree of comparisons."""
-
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(column < F.lit(bounds[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
-
-    return tree(0, len(bounds))
+def with_cut(df: DataFrame, column: str, bounds: Sequence[float], out: str = "__cut") -> DataFrame:
+    """Number of the bucket a value falls in, increasing with the value."""
+    if not bounds:
+        return df.withColumn(out, F.lit(0.0))
+    splits = [float("-inf"), *bounds, float("inf")]
+    placed = df.withColumn("__position", _position(df, column))
+    cutter = Bucketizer(splits=splits, inputCol="__position", outputCol=out, handleInvalid="keep")
+    return cutter.transform(placed).drop("__position")
 
 
 def rank_in_group(
@@ -93,8 +104,7 @@ def running_totals(
     The table of sub-group sums has at most ``BUCKETS`` rows, so it is broadcast and its
     prefix sums are taken in one small window.
     """
-    bounds = order_bounds(df, order)
-    tagged = df.withColumn("__cut", bucket_of(F.col(order), bounds))
+    tagged = with_cut(df, order, order_bounds(df, order))
 
     def along(column: str) -> Column:
         return F.col(column).desc() if descending else F.col(column).asc()
@@ -140,17 +150,20 @@ def neighbour(
     prefix: str,
     step: int,
     split: Sequence[str],
+    ranges: str | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Values of the previous (``step=-1``) or next (``step=1``) row of the same key.
 
     Adds ``<prefix><value>`` columns, NULL at the end of a key. When a counting pass
-    finds keys above ``hot_rows``, those keys alone are cut by the leading order columns
-    ``split`` and the rows at the cut edges take their neighbour from the next sub-group.
+    finds keys above ``hot_rows``, those keys alone are cut: by each value of the leading
+    order columns ``split`` (dates and other short scales) and by ranges of the order
+    column after them, ``ranges``. Rows at the edge of a sub-group take their neighbour
+    from the sub-group beyond it.
     """
     keys, order, split = list(keys), list(order), list(split)
-    if order[: len(split)] != split:
-        raise ValueError("split columns must lead the order")
+    if order[: len(split) + bool(ranges)] != split + ([ranges] if ranges else []):
+        raise ValueError("split columns, then the ranges column, must lead the order")
     fn = F.lag if step < 0 else F.lead
     payload = F.struct(*values)
     ordering = [F.col(c).asc_nulls_last() for c in order]
@@ -163,11 +176,15 @@ def neighbour(
         return df.withColumn("__near", near).select(*df.columns, *added)
 
     hot = broadcast_if_small(stage(hot, "hot_keys").withColumn("__hot", F.lit(True)))
-    cuts = [f"__cut_{c}" for c in split]
-    tagged = df.join(hot, keys, "left").select(
-        *df.columns,
-        "__hot",
-        *[F.when(F.col("__hot"), F.col(c)).alias(n) for c, n in zip(split, cuts)],
+    tagged = df.join(hot, keys, "left")
+    cut_by = {f"__cut_{c}": F.col(c) for c in split}
+    if ranges:
+        bounds = order_bounds(df.join(hot, keys, "left_semi"), ranges)
+        tagged = with_cut(tagged, ranges, bounds, "__range")
+        cut_by["__cut_range"] = F.col("__range")
+    cuts = list(cut_by)
+    tagged = tagged.select(
+        *df.columns, "__hot", *[F.when(F.col("__hot"), c).alias(n) for n, c in cut_by.items()]
     )
     inside = fn(payload).over(Window.partitionBy(*keys, *cuts).orderBy(*ordering))
     # The row nearest the edge of each sub-group of a hot key, carried to the sub-group beyond it.
@@ -195,12 +212,8 @@ def group_median(df: DataFrame, keys: Sequence[str], value: str, out: str) -> Da
     """
     keys = list(keys)
     present = df.where(F.col(value).isNotNull())
-    bounds = order_bounds(present, value)
-    counted = (
-        present.groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .withColumn("__cut", bucket_of(F.col(value), bounds))
-    )
+    counted = present.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
+    counted = with_cut(counted, value, order_bounds(present, value))
     whole = Window.partitionBy(*keys)
     before = whole.orderBy("__cut").rowsBetween(Window.unboundedPreceding, -1)
     sizes = (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchweave.functions.exprs import hash_bucket, hash_order, is_true
@@ -30,26 +30,25 @@ def control_pool(
     return drawn.drop("__order")
 
 
-def persons_with(events: DataFrame, person: str, where: Column | None = None) -> DataFrame:
+def persons_with(events: DataFrame, *keys: str) -> DataFrame:
     """Distinct persons of a record source; duplicates collapse before the shuffle."""
-    found = events if where is None else events.where(is_true(where))
-    return found.where(F.col(person).isNotNull()).select(person).distinct()
+    return events.select(*keys).na.drop().distinct()
 
 
-def exclude(pool: DataFrame, person: str, sources: Mapping[str, DataFrame]) -> DataFrame:
-    """Delete the persons listed by any source."""
+def exclude(pool: DataFrame, sources: Mapping[str, DataFrame]) -> DataFrame:
+    """Delete the rows listed by any source; a source's columns are the key it is joined on."""
     left = pool
     for source in sources.values():
-        left = left.join(source.select(person), person, "left_anti")
+        left = left.join(source, source.columns, "left_anti")
     return left
 
 
-def exclusion_ledger(pool: DataFrame, person: str, sources: Mapping[str, DataFrame]) -> DataFrame:
-    """Persons found by each source among those still in the pool, and persons left after it."""
-    flagged = pool.select(person)
+def exclusion_ledger(pool: DataFrame, sources: Mapping[str, DataFrame]) -> DataFrame:
+    """Rows found by each source among those still in the pool, and rows left after it."""
+    flagged = pool
     for i, source in enumerate(sources.values()):
-        hits = source.select(person).distinct().withColumn(f"__hit{i}", F.lit(True))
-        flagged = flagged.join(hits, person, "left")
+        hits = source.distinct().withColumn(f"__hit{i}", F.lit(True))
+        flagged = flagged.join(hits, source.columns, "left")
     gone = F.lit(False)
     aggs, entries = [], []
     for i, name in enumerate(sources):

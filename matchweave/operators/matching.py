@@ -68,3 +68,36 @@ def stack_members(
     )
     controls = pairs.select(F.col(control).alias(person), *shared).withColumn(label, F.lit(0))
     return cases.unionByName(controls)
+
+
+def cohort_checks(
+    pairs: DataFrame,
+    members: DataFrame,
+    features: DataFrame,
+    outcome: DataFrame,
+    case: str,
+    control: str,
+    person: str,
+    code: str,
+    k: int,
+) -> DataFrame:
+    """Violations of what every finished cohort must satisfy; all counts should be 0."""
+    sizes = pairs.groupBy(case).agg(F.count(F.lit(1)).alias("n"))
+    reused = pairs.groupBy(control).agg(F.count(F.lit(1)).alias("n"))
+    repeated = members.groupBy(person).agg(F.count(F.lit(1)).alias("n"))
+    incomplete_rows = pairs.select(F.exists(F.array(*[F.col(c).isNull() for c in pairs.columns]), lambda x: x).alias("x"))
+    without = members.select(person).join(features.select(person).distinct(), person, "left_anti")
+    leaked = features.select(code).distinct().join(outcome.select(code).distinct(), code, "left_semi")
+    checks = {
+        "sets of the wrong size": sizes.agg(F.count_if(F.col("n") != k).alias("n")),
+        "controls used twice": reused.agg(F.count_if(F.col("n") > 1).alias("n")),
+        "members listed twice": repeated.agg(F.count_if(F.col("n") > 1).alias("n")),
+        "matched rows with a NULL": incomplete_rows.agg(F.count_if("x").alias("n")),
+        "members without a feature row": without.agg(F.count(F.lit(1)).alias("n")),
+        "outcome codes among the features": leaked.agg(F.count(F.lit(1)).alias("n")),
+    }
+    out = None
+    for name, counted in checks.items():
+        row = counted.select(F.lit(name).alias("check"), F.col("n").alias("n_violations"))
+        out = row if out is None else out.unionByName(row)
+    return out

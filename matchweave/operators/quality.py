@@ -98,7 +98,8 @@ def overlaps(
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Rows that start before (or, if inclusive, on) the end of the previous row of their key."""
-    near = neighbour(df, keys, [start, *tie_break], [end], "previous_", -1, [start], hot_rows)
+    ranges = tie_break[0] if tie_break else None
+    near = neighbour(df, keys, [start, *tie_break], [end], "previous_", -1, [start], ranges, hot_rows)
     previous = F.col(f"previous_{end}")
     return near.where(F.col(start) <= previous if inclusive else F.col(start) < previous)
 
@@ -113,8 +114,9 @@ def sequence_overlaps(
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Rows whose successor by sequence number starts before they end."""
-    order = [sequence, *tie_break]
-    near = neighbour(df, keys, order, [sequence, start], "next_", 1, [sequence], hot_rows)
+    order = [sequence, start, *tie_break]
+    ranges = tie_break[0] if tie_break else None
+    near = neighbour(df, keys, order, [sequence, start], "next_", 1, [sequence, start], ranges, hot_rows)
     return near.where((F.col(f"next_{sequence}") > F.col(sequence)) & (F.col(f"next_{start}") < F.col(end)))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from matchweave.functions.exprs import hash_bucket, hash_order, safe_name
 from matchweave.functions.ordering import group_median, rank_in_group
-from matchweave.sources.store import broadcast_if_small
+from matchweave.sources.store import broadcast_if_small, stage
 
 COUNT_PREFIX = "n_"
 VALUE_PREFIX = "val_"
@@ -33,12 +33,14 @@ def pivot_wide(
 ) -> DataFrame:
     """One row per member: an event count (0 if absent) and a mean value per code.
 
-    Both measures come from one pivot. Codes outside ``codes``, the sentinel of members
+    Both measures come from one pivot, over rows already brought together by member, so
+    the long table is shuffled once. Codes outside ``codes``, the sentinel of members
     without features among them, keep their member but add no column.
     """
     names = column_names(codes)
     pivoted = (
-        features.groupBy(*ids)
+        features.repartition(*ids)
+        .groupBy(*ids)
         .pivot(code, list(codes))
         .agg(F.first(count).alias("c"), F.first(value).alias("v"))
     )
@@ -114,7 +116,7 @@ def impute_median(
     source = wide if fit_on is None else fit_on
     keys = [by] if by else []
     long = unpivot_values(source.select(*keys, *columns), keys, columns)
-    medians = group_median(long, [*keys, "column_name"], "value", "median")
+    medians = stage(group_median(long, [*keys, "column_name"], "value", "median"), "medians")
     if by is None:
         # One median per column: small enough to become constants of the plan.
         found = {r["column_name"]: r["median"] for r in medians.collect()}
@@ -143,8 +145,7 @@ def group_split(groups: DataFrame, group: str, fraction: float, seed: int, out:
     )
 
 
-def split_parts(wide: DataFrame, split: DataFrame, group: str) -> tuple[DataFrame, DataFrame]:
+def split_parts(wide: DataFrame, part: str = "part") -> tuple[DataFrame, DataFrame]:
     """Rows of the train groups and of the test groups."""
-    train = split.where(F.col("part") == "train").select(group)
-    test = split.where(F.col("part") == "test").select(group)
-    return wide.join(train, group, "left_semi"), wide.join(test, group, "left_semi")
+    train, test = (wide.where(F.col(part) == p).drop(part) for p in ("train", "test"))
+    return train, test

@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchweave.functions.exprs import age_years, hash_bucket, hash_order, year_window
-from matchweave.functions.ordering import neighbour
+from matchweave.functions.ordering import HOT_ROWS, neighbour
 from matchweave.operators import cases, controls, features, matching, wide
-from matchweave.sources.store import read_table, stage
+from matchweave.sources.store import read_table, split_hot_joins, stage
 
 SEED = 42
 FIRST_YEAR, LAST_YEAR = 1998, 2000
@@ -30,7 +30,7 @@ class RetailStudy:
     """Stages of the study for one data folder; each stage is built when first used."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark = spark
+        self.spark = split_hot_joins(spark)
         self.sf_dir = sf_dir
 
     def table(self, name: str) -> DataFrame:
@@ -145,7 +145,7 @@ class RetailStudy:
             ["episode_start", "episode", "diag_num", "code", "spell"],
         )
 
-    def intervals(self, hot_rows: int | None = None) -> DataFrame:
+    def intervals(self, hot_rows: int = HOT_ROWS) -> DataFrame:
         """Validity intervals: each order's priority holds until the day before the next order."""
         orders = self.table("orders").select(
             F.col("o_custkey").alias("person"),
@@ -153,9 +153,8 @@ class RetailStudy:
             F.col("o_orderkey").alias("o_orderkey"),
             F.col("o_orderpriority").alias("priority"),
         )
-        extra = {} if hot_rows is None else {"hot_rows": hot_rows}
         near = neighbour(
-            orders, ["person"], ["start", "o_orderkey"], ["start"], "next_", 1, ["start"], **extra
+            orders, ["person"], ["start", "o_orderkey"], ["start"], "next_", 1, ["start"], "o_orderkey", hot_rows
         )
         return near.select(
             "person",
@@ -174,7 +173,7 @@ class RetailStudy:
     def pool(self) -> DataFrame:
         """Persons that never had an index event."""
         return controls.exclude(
-            self.persons.drop("born"), "person", {"index persons": self.index.select("person")}
+            self.persons.drop("born"), {"index persons": self.index.select("person")}
         )
 
     def pairs(self) -> DataFrame:
@@ -230,9 +229,7 @@ class RetailStudy:
     def features(self) -> DataFrame:
         """Features of every member, those without any code included."""
         found = stage(self.lookback(), "found")
-        return stage(
-            features.backfill(found, self.members.drop("index_date"), "person", "brand"), "features"
-        )
+        return features.backfill(found, self.members.drop("index_date"), "person", "brand")
 
     @cached_property
     def brand_names(self) -> list[str]:
@@ -248,17 +245,16 @@ class RetailStudy:
     def wide(self) -> DataFrame:
         return stage(self.wide_table(), "wide")
 
-    @cached_property
     def model_table(self) -> DataFrame:
         """Imputed wide table: sparse value columns dropped, the rest filled by class median."""
         columns = wide.value_columns(self.wide)
         kept = wide.drop_sparse(self.wide, columns, "label")
         filled = wide.impute_median(kept, wide.value_columns(kept), by="label")
         # A column one class has no value for cannot enter a model.
-        return stage(filled.na.fill(0.0, wide.value_columns(kept)), "model_table")
+        return filled.na.fill(0.0, wide.value_columns(kept))
 
     @cached_property
     def train_test(self) -> tuple[DataFrame, DataFrame]:
-        split = stage(wide.group_split(self.members, "group_id", 0.75, SEED), "split")
-        train, test = wide.split_parts(self.model_table, split, "group_id")
-        return stage(train, "train"), stage(test, "test")
+        split = wide.group_split(self.members, "group_id", 0.75, SEED)
+        ready = stage(self.model_table().join(split, "group_id"), "model_table")
+        return wide.split_parts(ready)

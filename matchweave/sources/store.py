@@ -35,6 +35,17 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL_FOLDERS[app]
 
 
+def split_hot_joins(spark: SparkSession) -> SparkSession:
+    """Let joins split the partitions of a very frequent key, also where that costs a shuffle.
+
+    Without the last setting Spark leaves a hot key in one task whenever the next step
+    groups by the same key.
+    """
+    for name in ("enabled", "skewJoin.enabled", "forceOptimizeSkewedJoin"):
+        spark.conf.set(f"spark.sql.adaptive.{name}", "true")
+    return spark
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/matchweave/{name}-{uuid.uuid4().hex}"
 
