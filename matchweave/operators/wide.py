@@ -89,6 +89,8 @@ def drop_sparse(
     wide: DataFrame, columns: Sequence[str], by: str, max_missing: float = 0.5
 ) -> DataFrame:
     """Per class, blank out the columns too often missing there; drop those no class keeps."""
+    if not columns:
+        return wide
     kept = kept_columns(missingness(wide, columns, by, max_missing), by)
     changes: Mapping = {}
     dropped = []
@@ -113,6 +115,8 @@ def impute_median(
     label; ``by=None`` with ``fit_on=<train part>`` avoids that. A column with no value
     in a class stays missing there.
     """
+    if not columns:
+        return wide
     source = wide if fit_on is None else fit_on
     keys = [by] if by else []
     long = unpivot_values(source.select(*keys, *columns), keys, columns)

@@ -13,7 +13,7 @@ from matchweave.sources import schemas
 from matchweave.sources.store import read_table, write_table
 
 D = datetime.date
-SETTINGS = Settings(stratum_cap=45, top_codes=12, kept_codes=8, codes_excluded=("ZZZZZ", "", "c03"))
+SETTINGS = Settings(stratum_cap=45, top_codes=12, kept_codes=8, codes_excluded=("ZZZZZ", "", "c03"), max_missing=0.97)
 
 
 def make_tables(rng):
@@ -287,6 +287,7 @@ def test_quality_reports(study):
 def test_wide_and_split(study):
     s = study[0]
     train, test = s.train_test()
+    assert any(c.startswith("val_") for c in train.columns)
     groups = {r[0] for r in train.select("group_id").distinct().collect()}
     others = {r[0] for r in test.select("group_id").distinct().collect()}
     assert not groups & others
@@ -295,6 +296,11 @@ def test_wide_and_split(study):
     assert s.wide(balanced=True).count() == 2 * (len(groups) + len(others))
 
 
+def test_wide_without_value_columns(study):
+    s = RecordStudy(study[0].tables, Settings(**{**SETTINGS.__dict__, "max_missing": 0.0}))
+    assert not [c for c in s.wide().columns if c.startswith("val_")]
+
+
 def test_contrast_matches_sql(study, con):
     got = study[0].contrast()
     rel = con.sql(
