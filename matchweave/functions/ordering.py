@@ -100,10 +100,11 @@ def running_totals(
 ) -> DataFrame:
     """Running sum of each column in ``totals`` (source -> output) along a global order.
 
-    ``df`` has one row per value of ``order``. Also adds ``<output>_total``, the full sum.
-    The table of sub-group sums has at most ``BUCKETS`` rows, so it is broadcast and its
+    ``df`` has one row per value of ``order``; it is written once, as three passes follow.
+    Also adds ``<output>_total``, the full sum. The table of sub-group sums has at most ``BUCKETS`` rows, so it is broadcast and its
     prefix sums are taken in one small window.
     """
+    df = stage(df, "ordered")
     tagged = with_cut(df, order, order_bounds(df, order))
 
     def along(column: str) -> Column:
@@ -207,13 +208,14 @@ def neighbour(
 def group_median(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
     """Exact interpolating median per group; NULL values are ignored.
 
-    Equal values are counted before the shuffle. Per-bucket counts then name the one or
-    two buckets that hold the middle ranks, and only those buckets are sorted.
+    Equal values are counted before the shuffle and the counts written once. Per-bucket
+    counts then name the one or two buckets that hold the middle ranks, and only those
+    buckets are sorted.
     """
     keys = list(keys)
     present = df.where(F.col(value).isNotNull())
-    counted = present.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
-    counted = with_cut(counted, value, order_bounds(present, value))
+    counted = stage(present.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n")), "counted")
+    counted = with_cut(counted, value, order_bounds(counted, value))
     whole = Window.partitionBy(*keys)
     before = whole.orderBy("__cut").rowsBetween(Window.unboundedPreceding, -1)
     sizes = (

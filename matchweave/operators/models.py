@@ -39,8 +39,8 @@ def tree(depth: int = 5, min_gain: float = 0.0, seed: int = 42) -> DecisionTreeC
     )
 
 
-def linear_svm(iterations: int = 100, penalty: float = 0.01) -> LinearSVC:
-    return LinearSVC(labelCol=LABEL, maxIter=iterations, regParam=penalty)
+def linear_svm(iterations: int = 100, penalty: float = 0.01, tolerance: float = 1e-3) -> LinearSVC:
+    return LinearSVC(labelCol=LABEL, maxIter=iterations, regParam=penalty, tol=tolerance)
 
 
 def naive_bayes() -> NaiveBayes:
@@ -131,6 +131,19 @@ def cross_validate(
     return validator.fit(ready)
 
 
+def out_of_fold(
+    train: DataFrame, columns: Sequence[str], estimator, group: str, ids: Sequence[str], folds: int = 10, seed: int = 42
+) -> DataFrame:
+    """Prediction of every training row by a model that has not seen its matched group."""
+    folded = train.withColumn("fold", fold_of(group, folds, seed))
+    scored = None
+    for i in range(folds):
+        model = fit(folded.where(F.col("fold") != i), columns, estimator)
+        part = predict(model, folded.where(F.col("fold") == i), ids)
+        scored = part if scored is None else scored.unionByName(part)
+    return scored
+
+
 def tree_size_table(
     train: DataFrame,
     columns: Sequence[str],

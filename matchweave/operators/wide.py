@@ -11,12 +11,16 @@ from matchweave.functions.exprs import hash_bucket, hash_order, safe_name
 from matchweave.functions.ordering import group_median, rank_in_group
 from matchweave.sources.store import broadcast_if_small, stage
 
+# A wide table is for a chosen list of codes, not for a whole dictionary.
+MAX_CODES = 5_000
 COUNT_PREFIX = "n_"
 VALUE_PREFIX = "val_"
 
 
 def column_names(codes: Sequence[str]) -> dict[str, str]:
     """Code -> the part of a column name it is written as; two codes may not share one."""
+    if len(codes) > MAX_CODES:
+        raise ValueError(f"{len(codes)} codes are too many for columns")
     names = {c: safe_name(c) for c in codes}
     if len(set(names.values())) != len(names):
         raise ValueError("codes collide once written as column names")

@@ -805,6 +805,14 @@ def confusion_report(s: RetailStudy) -> DataFrame:
     )
 
 
+@query()
+def agreement_tests(s: RetailStudy) -> DataFrame:
+    """Exact accuracy interval and p-values of the label table's four counts."""
+    counts = evaluate.confusion_counts(s.table("labels"), "quality", "toxic").first()
+    tests = evaluate.agreement_tests(*counts)
+    return s.spark.createDataFrame([tuple(tests.values())], ", ".join(f"{n} double" for n in tests))
+
+
 @query("SELECT toxic AS predicted, quality AS observed, count(*) AS n FROM labels GROUP BY 1, 2")
 def contingency_table(s: RetailStudy) -> DataFrame:
     pairs = s.table("labels").select(F.col("toxic").alias("predicted"), F.col("quality").alias("observed"))
@@ -899,6 +907,17 @@ def rf_cv(s: RetailStudy) -> DataFrame:
     )
 
 
+@query()
+def rf_error(s: RetailStudy) -> DataFrame:
+    """Error and confusion of the forest on rows its trees have not seen."""
+    train, _ = s.train_test
+    scored = models.out_of_fold(
+        train, _feature_columns(train), models.forest(trees=50, depth=5), "group_id", ["person"], folds=5
+    )
+    counts = evaluate.confusion_counts(scored, models.LABEL, "prediction")
+    return evaluate.confusion_report(counts).withColumn("error", 1 - F.col("accuracy"))
+
+
 @query()
 def svm_predictions(s: RetailStudy) -> DataFrame:
     return _predictions(s, models.linear_svm())

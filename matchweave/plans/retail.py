@@ -84,19 +84,17 @@ class RetailStudy:
         return stage(self.table("part").select(F.col("p_brand").alias("brand")).distinct(), "brands")
 
     def index_events(self) -> DataFrame:
+        """First outcome event of each person, with the person's attributes."""
         listed = cases.index_event(self.events, self.codes().select("code"), "person", "code", ORDER)
-        return listed.select("person", F.col("event_date").alias("index_date"), "code")
+        dated = listed.select("person", F.col("event_date").alias("index_date"), "code")
+        return dated.join(self.persons, "person")
 
     @cached_property
     def index(self) -> DataFrame:
         return stage(self.index_events(), "index")
 
     def aged_index(self) -> DataFrame:
-        return (
-            self.index_events()
-            .join(self.persons, "person")
-            .withColumn("age", age_years(F.col("index_date"), F.col("born")))
-        )
+        return self.index_events().withColumn("age", age_years(F.col("index_date"), F.col("born")))
 
     def eligible(self) -> DataFrame:
         day = F.col("index_date")
@@ -164,11 +162,11 @@ class RetailStudy:
             "priority",
         )
 
-    @cached_property
+    @property
     def cases(self) -> DataFrame:
         """Index persons inside the study window, with their strata."""
         inside = self.index.where(year_window(F.col("index_date"), FIRST_YEAR, LAST_YEAR))
-        return stage(inside.join(self.persons.drop("born"), "person"), "cases")
+        return inside.drop("born")
 
     def pool(self) -> DataFrame:
         """Persons that never had an index event."""

@@ -64,6 +64,13 @@ def test_cross_validation_and_tree_sizes(data):
     assert table[1].train_error <= table[0].train_error
 
 
+def test_out_of_fold_covers_every_row_once(data):
+    scored = models.out_of_fold(data, COLUMNS, models.tree(), "group_id", ["person"], folds=3)
+    assert scored.count() == 600 == scored.select("person").distinct().count()
+    report = evaluate.confusion_report(evaluate.confusion_counts(scored, "label", "prediction")).first()
+    assert report.accuracy > 0.8
+
+
 def test_folds_keep_groups_together(data):
     folds = data.withColumn("fold", models.fold_of("group_id", 5, 1))
     assert folds.groupBy("group_id").agg(F.count_distinct("fold").alias("n")).where("n > 1").count() == 0
