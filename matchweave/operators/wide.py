@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,6 +59,10 @@ def value_columns(wide: DataFrame) -> list[str]:
     return [c for c in wide.columns if c.startswith(VALUE_PREFIX)]
 
 
+def feature_columns(wide: DataFrame) -> list[str]:
+    return [c for c in wide.columns if c.startswith((COUNT_PREFIX, VALUE_PREFIX))]
+
+
 def unpivot_values(wide: DataFrame, ids: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Wide measure columns back to (ids, column_name, value) rows."""
     return wide.unpivot(list(ids), list(columns), "column_name", "value")
@@ -90,21 +94,24 @@ def drop_all_missing(wide: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def drop_sparse(
-    wide: DataFrame, columns: Sequence[str], by: str, max_missing: float = 0.5
+    wide: DataFrame, columns: Sequence[str], by: str, max_missing: float = 0.5, keep: str = "any"
 ) -> DataFrame:
-    """Per class, blank out the columns too often missing there; drop those no class keeps."""
+    """Per class, blank out the columns too often missing there.
+
+    ``keep="any"`` leaves a column that some class keeps, missing throughout the others;
+    ``keep="all"`` leaves only the columns that every class keeps, which a model needs.
+    """
     if not columns:
         return wide
     kept = kept_columns(missingness(wide, columns, by, max_missing), by)
-    changes: Mapping = {}
-    dropped = []
+    changes, dropped = {}, []
     for c in columns:
         classes = [k for k, cs in kept.items() if c in cs]
-        if not classes:
+        if not classes or (keep == "all" and len(classes) < len(kept)):
             dropped.append(c)
         elif len(classes) < len(kept):
-            changes = {**changes, c: F.when(F.col(by).isin(*classes), F.col(c))}
-    return wide.withColumns(changes).drop(*dropped) if changes else wide.drop(*dropped)
+            changes[c] = F.when(F.col(by).isin(*classes), F.col(c))
+    return (wide.withColumns(changes) if changes else wide).drop(*dropped)
 
 
 def impute_median(

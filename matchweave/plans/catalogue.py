@@ -865,13 +865,9 @@ def auc_exact(s: RetailStudy) -> DataFrame:
 # --- models (rows only) ----------------------------------------------------------------
 
 
-def _feature_columns(df: DataFrame) -> list[str]:
-    return [c for c in df.columns if c.startswith((wide.COUNT_PREFIX, wide.VALUE_PREFIX))]
-
-
 def _predictions(s: RetailStudy, estimator, top: int | None = None) -> DataFrame:
     train, test = s.train_test
-    columns = _feature_columns(train)
+    columns = wide.feature_columns(train)
     model = models.fit(train, columns, estimator)
     if top is not None:
         columns = models.top_variables(model, columns, top)
@@ -892,7 +888,7 @@ def rf_reduced(s: RetailStudy) -> DataFrame:
 @query()
 def rf_importance(s: RetailStudy) -> DataFrame:
     train, _ = s.train_test
-    columns = _feature_columns(train)
+    columns = wide.feature_columns(train)
     return models.importance(models.fit(train, columns, models.forest(trees=100)), columns, train)
 
 
@@ -900,7 +896,7 @@ def rf_importance(s: RetailStudy) -> DataFrame:
 def rf_cv(s: RetailStudy) -> DataFrame:
     train, _ = s.train_test
     forest = models.forest(trees=20, depth=5)
-    found = models.cross_validate(train, _feature_columns(train), forest, "group_id", folds=10)
+    found = models.cross_validate(train, wide.feature_columns(train), forest, "group_id", folds=10)
     return s.spark.createDataFrame(
         [(10, float(found.avgMetrics[0]), float(found.stdMetrics[0]))],
         "folds int, accuracy double, accuracy_sd double",
@@ -912,7 +908,7 @@ def rf_error(s: RetailStudy) -> DataFrame:
     """Error and confusion of the forest on rows its trees have not seen."""
     train, _ = s.train_test
     scored = models.out_of_fold(
-        train, _feature_columns(train), models.forest(trees=50, depth=5), "group_id", ["person"], folds=5
+        train, wide.feature_columns(train), models.forest(trees=50, depth=5), "group_id", ["person"], folds=5
     )
     counts = evaluate.confusion_counts(scored, models.LABEL, "prediction")
     return evaluate.confusion_report(counts).withColumn("error", 1 - F.col("accuracy"))
@@ -936,20 +932,20 @@ def tree_predictions(s: RetailStudy) -> DataFrame:
 @query()
 def tree_size_table(s: RetailStudy) -> DataFrame:
     train, _ = s.train_test
-    return models.tree_size_table(train, _feature_columns(train), "group_id", [1, 3, 5], [0.0, 0.01], folds=5)
+    return models.tree_size_table(train, wide.feature_columns(train), "group_id", [1, 3, 5], [0.0, 0.01], folds=5)
 
 
 @query()
 def glm_summary(s: RetailStudy) -> DataFrame:
     train, _ = s.train_test
-    columns = models.varying_columns(train, _feature_columns(train))
+    columns = models.varying_columns(train, wide.feature_columns(train))
     return models.glm_summary(models.fit(train, columns, models.logistic_glm()), columns, train)
 
 
 @query()
 def glm_bootstrap(s: RetailStudy) -> DataFrame:
     train, _ = s.train_test
-    return models.glm_bootstrap(train, _feature_columns(train), "person", replicates=5)
+    return models.glm_bootstrap(train, wide.feature_columns(train), "person", replicates=5)
 
 
 @query()
@@ -960,6 +956,6 @@ def store_roundtrip(s: RetailStudy) -> DataFrame:
     store.write_table(train, f"{folder}/table")
     store.append_table(test, f"{folder}/table")
     back = store.read_table(s.spark, f"{folder}/table")
-    columns = _feature_columns(back)
+    columns = wide.feature_columns(back)
     store.save_model(models.fit(back, columns, models.tree()), f"{folder}/model")
     return models.predict(store.load_model(f"{folder}/model"), back, ["person", "group_id"])

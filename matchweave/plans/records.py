@@ -389,19 +389,20 @@ class RecordStudy:
         """Selected codes as a list; their number is bounded by ``top_codes``."""
         return sorted(r[0] for r in self.selected_codes.select("code").collect())
 
-    def wide(self, balanced: bool = False) -> DataFrame:
+    def wide(self, balanced: bool = False, keep: str = "any") -> DataFrame:
         """One row per member: counts, and values filled by the median of the class."""
         s = self.settings
         long = self.balanced_features if balanced else self.features
         table = stage(wide.pivot_wide(long, ["person", "group_id", "label"], "code", self.codes()), "wide")
         table = wide.drop_all_missing(table, wide.value_columns(table))
-        kept = wide.drop_sparse(table, wide.value_columns(table), "label", s.max_missing)
+        kept = wide.drop_sparse(table, wide.value_columns(table), "label", s.max_missing, keep)
         return wide.impute_median(kept, wide.value_columns(kept), by="label")
 
     def train_test(self, balanced: bool = False) -> tuple[DataFrame, DataFrame]:
+        """Train and test rows, without the columns that a class has no values for."""
         s = self.settings
         split = wide.group_split(self.members, "group_id", s.train_share, s.seed)
-        return wide.split_parts(stage(self.wide(balanced).join(split, "group_id"), "model_table"))
+        return wide.split_parts(stage(self.wide(balanced, keep="all").join(split, "group_id"), "model_table"))
 
     def contrast(self, balanced: bool = True) -> DataFrame:
         """Mean and median of value and count by code and class."""

@@ -246,10 +246,8 @@ class RetailStudy:
     def model_table(self) -> DataFrame:
         """Imputed wide table: sparse value columns dropped, the rest filled by class median."""
         columns = wide.value_columns(self.wide)
-        kept = wide.drop_sparse(self.wide, columns, "label")
-        filled = wide.impute_median(kept, wide.value_columns(kept), by="label")
-        # A column one class has no value for cannot enter a model.
-        return filled.na.fill(0.0, wide.value_columns(kept))
+        kept = wide.drop_sparse(self.wide, columns, "label", keep="all")
+        return wide.impute_median(kept, wide.value_columns(kept), by="label")
 
     @cached_property
     def train_test(self) -> tuple[DataFrame, DataFrame]:

@@ -46,8 +46,19 @@ def split_hot_joins(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def staged_folder(spark: SparkSession) -> str:
+    """Where this application writes its staged tables."""
+    return f"{shared_folder(spark)}/matchweave/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/matchweave/{name}-{uuid.uuid4().hex}"
+    return f"{staged_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Delete the staged tables of this application; DataFrames read from them end with it."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staged_folder(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -60,11 +71,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+def is_small(df: DataFrame, max_rows: int | None = None) -> bool:
+    max_rows = BROADCAST_ROWS if max_rows is None else max_rows
     return df.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Broadcast hint after a size check; a larger table joins by shuffle instead."""
     return F.broadcast(df) if is_small(df, max_rows) else df
 

@@ -238,6 +238,7 @@ def test_sparse_columns_by_class(spark):
     assert tuples(kept, "label", "val_a", "val_b") == sorted(
         [(0, 1.0, None)] * 3 + [(1, None, 1.0)] * 3 + [(1, None, None)], key=repr
     )
+    assert wide.drop_sparse(df, ["val_a", "val_b"], "label", keep="all").columns == ["label"]
     assert wide.drop_sparse(df.drop("val_b").where("label = 1"), ["val_a"], "label").columns == ["label"]
     empty = df.withColumn("val_c", F.lit(None).cast("double"))
     assert wide.drop_all_missing(empty, ["val_a", "val_c"]).columns == ["label", "val_a", "val_b"]

@@ -1,5 +1,9 @@
 """Every registered query against its SQL, and the shape of the physical plans."""
 
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -7,6 +11,7 @@ import __spark_entry__ as entry_points
 from check import rows_of
 from matchweave.sources import store
 
+ROOT = Path(__file__).resolve().parent.parent
 SMALL = "/root/testdata/sf0.001"
 MEDIUM = "/root/testdata/sf0.01"
 TABLES = (
@@ -24,7 +29,7 @@ def connect(folder):
 
 @pytest.fixture(scope="module")
 def connections():
-    return {folder: connect(folder) for folder in (SMALL, MEDIUM)}
+    return {folder: connect(folder) for folder in (SMALL, MEDIUM)}  # in-process, read-only views
 
 
 # The smallest data leaves strata short of controls and most sets incomplete.
@@ -76,6 +81,32 @@ def test_scan_reads_only_needed_columns(spark):
     assert "l_extendedprice" not in plan.split("== Physical Plan ==")[1]
 
 
+@pytest.mark.parametrize(
+    "name",
+    ["index_event", "reconcile_sources", "frequent_codes", "exclude_ledger", "lookback_features", "impute_median_by_class"],
+)
+def test_query_without_any_broadcast(spark, connections, monkeypatch, name):
+    """The way taken when no side is small: every join by shuffle, same rows."""
+    monkeypatch.setattr(store, "BROADCAST_ROWS", 0)
+    before = {k: spark.conf.get(k, None) for k in NO_BROADCAST}
+    try:
+        for k, v in NO_BROADCAST.items():
+            spark.conf.set(k, v)
+        df = entry_points.queries()[name](spark, SMALL)
+        rel = connections[SMALL].sql(entry_points.oracle_sql()[name])
+        assert rows_of(df.columns, df.collect()) == rows_of(rel.columns, rel.fetchall())
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+NO_BROADCAST = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+}
+
+
 class Settings:
     def __init__(self, values):
         self.values = values
@@ -99,6 +130,26 @@ def test_shared_folder_comes_from_the_session():
     assert store.shared_folder(local) == store.shared_folder(local)
 
 
+def test_staged_tables_can_be_dropped(tmp_path):
+    """In a session of its own, with the folder named by its settings."""
+    code = f"""
+import os, sys
+from pyspark.sql import SparkSession
+from matchweave.sources import store
+spark = (SparkSession.builder.master("local[1]").config("spark.checkpoint.dir", "{tmp_path}")
+         .config("spark.ui.enabled", "false").getOrCreate())
+assert store.shared_folder(spark) == "{tmp_path}"
+assert store.stage(spark.range(5), "t").count() == 5
+folder = store.staged_folder(spark)
+assert os.listdir(folder)
+store.drop_staged(spark)
+assert not os.path.exists(folder)
+print("dropped")
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120, cwd=ROOT)
+    assert done.stdout.strip().endswith("dropped"), done.stderr[-2000:]
+
+
 def test_broadcast_only_behind_a_size_check(spark):
     small, large = spark.range(10), spark.range(1000)
     assert store.is_small(small, 10) and not store.is_small(large, 999)

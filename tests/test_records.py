@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 
 from check import rows_of
+from matchweave.operators import models, wide
 from matchweave.plans.records import RecordStudy, Settings
 from matchweave.sources import schemas
 from matchweave.sources.store import read_table, write_table
@@ -288,6 +289,8 @@ def test_wide_and_split(study):
     s = study[0]
     train, test = s.train_test()
     assert any(c.startswith("val_") for c in train.columns)
+    model = models.fit(train, wide.feature_columns(train), models.tree(3))
+    assert models.predict(model, test, ["person"]).count() == test.count()
     groups = {r[0] for r in train.select("group_id").distinct().collect()}
     others = {r[0] for r in test.select("group_id").distinct().collect()}
     assert not groups & others
