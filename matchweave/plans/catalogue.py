@@ -33,12 +33,14 @@ from matchweave.plans.retail import (
 )
 from matchweave.sources import store
 
+STEPS: dict[str, Callable[[RetailStudy], DataFrame]] = {}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
 def query(sql: str | None = None):
     def register(fn: Callable[[RetailStudy], DataFrame]):
+        STEPS[fn.__name__] = fn
         QUERIES[fn.__name__] = lambda spark, sf_dir: fn(RetailStudy(spark, sf_dir))
         if sql is not None:
             ORACLES[fn.__name__] = sql

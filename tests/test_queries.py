@@ -9,6 +9,8 @@ import pytest
 
 import __spark_entry__ as entry_points
 from check import rows_of
+from matchweave.plans.catalogue import STEPS
+from matchweave.plans.retail import RetailStudy
 from matchweave.sources import store
 
 ROOT = Path(__file__).resolve().parent.parent
@@ -32,6 +34,12 @@ def connections():
     return {folder: connect(folder) for folder in (SMALL, MEDIUM)}  # in-process, read-only views
 
 
+@pytest.fixture(scope="module")
+def studies(spark):
+    """One study per folder, so that the queries share the stages they are built on."""
+    return {folder: RetailStudy(spark, folder) for folder in (SMALL, MEDIUM)}
+
+
 # The smallest data leaves strata short of controls and most sets incomplete.
 THIN = ["match_exact", "complete_sets", "backfill_members", "asof_attribute", "roc_points", "duplicate_sequence"]
 
@@ -39,8 +47,8 @@ THIN = ["match_exact", "complete_sets", "backfill_members", "asof_attribute", "r
 @pytest.mark.parametrize(
     "name,folder", [(n, MEDIUM) for n in sorted(entry_points.oracle_sql())] + [(n, SMALL) for n in THIN]
 )
-def test_query_equals_sql(spark, connections, name, folder):
-    df = entry_points.queries()[name](spark, folder)
+def test_query_equals_sql(studies, connections, name, folder):
+    df = STEPS[name](studies[folder])
     rel = connections[folder].sql(entry_points.oracle_sql()[name])
     assert sorted(df.columns) == sorted(rel.columns)
     assert rows_of(df.columns, df.collect()) == rows_of(rel.columns, rel.fetchall())
@@ -49,10 +57,10 @@ def test_query_equals_sql(spark, connections, name, folder):
 MODEL_QUERIES = sorted(set(entry_points.queries()) - set(entry_points.oracle_sql()))
 
 
-@pytest.mark.parametrize("name", ["nb_predictions", "store_roundtrip", "glm_summary"])
-def test_model_query_gives_rows(spark, name):
+@pytest.mark.parametrize("name", ["nb_predictions", "store_roundtrip", "glm_summary", "agreement_tests"])
+def test_model_query_gives_rows(studies, name):
     assert name in MODEL_QUERIES
-    assert entry_points.queries()[name](spark, MEDIUM).count() > 0
+    assert STEPS[name](studies[MEDIUM]).count() > 0
 
 
 def test_entry(spark):
@@ -70,8 +78,8 @@ def test_entry(spark):
         "exclude_cascade", "lookback_features", "rebalance_1to1", "pivot_wide", "feature_contrast",
     ],
 )
-def test_plan_has_no_single_task_or_cross_join(spark, name):
-    plan = entry_points.queries()[name](spark, SMALL)._jdf.queryExecution().toString()
+def test_plan_has_no_single_task_or_cross_join(studies, name):
+    plan = STEPS[name](studies[SMALL])._jdf.queryExecution().toString()
     for operator in ("SinglePartition", "CartesianProduct", "BroadcastNestedLoopJoin"):
         assert operator not in plan.split("== Physical Plan ==")[1]
 
