@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchweave.operators.quality import drop_where
-from matchweave.sources.store import broadcast_if_small
+from matchweave.sources.store import broadcast_if_small, stage
 
 
 def code_list(
@@ -59,9 +59,14 @@ def index_event_hier(
     episode_keys: Sequence[str],
     order: Sequence[str],
 ) -> DataFrame:
-    """Index event through diagnosis -> episode -> spell; the code list cuts the largest table first."""
-    listed = with_codes(diagnoses, codes, code)
-    linked = listed.join(episodes, list(episode_keys)).join(spells, list(spell_keys))
+    """Index event through diagnosis -> episode -> spell.
+
+    The code list cuts the largest table first. What is left of it is written, so that a
+    short result meets episodes and spells without shuffling them.
+    """
+    listed = stage(with_codes(diagnoses, codes, code), "listed")
+    linked = episodes.join(broadcast_if_small(listed), list(episode_keys))
+    linked = spells.join(broadcast_if_small(stage(linked, "linked")), list(spell_keys))
     return first_per_key(linked.where(F.col(person).isNotNull()), [person], order)
 
 
@@ -114,10 +119,10 @@ def asof_attribute(
         F.col(value).alias(out),
     )
     valid = (F.col(person) == F.col("__p")) & (F.col(at) >= F.col("__start")) & (F.col(at) <= F.col("__end"))
-    return df.join(h, valid).select(*df.columns, out)
+    return h.join(broadcast_if_small(df), valid).select(*df.columns, out)
 
 
 def deaths_before(cases: DataFrame, deaths: DataFrame, person: str, died: str, year: int) -> DataFrame:
     """Cases whose recorded death lies before a year (an empty result is the expected one)."""
     early = deaths.where(F.col(died) < F.lit(f"{year}-01-01").cast("date")).select(person, died)
-    return cases.join(early, person)
+    return early.join(broadcast_if_small(cases), person)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from matchweave.functions.exprs import hash_bucket, hash_order, is_true
 from matchweave.functions.ordering import rank_in_group
+from matchweave.sources.store import broadcast_if_small, stage
 
 
 def stratum_sizes(df: DataFrame, strata: Sequence[str]) -> DataFrame:
@@ -35,6 +36,19 @@ def persons_with(events: DataFrame, *keys: str) -> DataFrame:
     return events.select(*keys).na.drop().distinct()
 
 
+def persons_by_list(
+    events: DataFrame, lists: Mapping[str, DataFrame], code: str, keys: Sequence[str]
+) -> dict[str, DataFrame]:
+    """Persons with an event on each of several code lists, from one pass over the log."""
+    tagged = None
+    for name, codes in lists.items():
+        part = codes.select(code).distinct().withColumn("__list", F.lit(name))
+        tagged = part if tagged is None else tagged.unionByName(part)
+    found = events.select(*keys, code).join(broadcast_if_small(tagged), code)
+    persons = stage(persons_with(found, *keys, "__list"), "persons_by_list")
+    return {name: persons.where(F.col("__list") == name).select(*keys) for name in lists}
+
+
 def exclude(pool: DataFrame, sources: Mapping[str, DataFrame]) -> DataFrame:
     """Delete the rows listed by any source; a source's columns are the key it is joined on."""
     left = pool

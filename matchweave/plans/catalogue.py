@@ -615,11 +615,11 @@ def _exclusions(s: RetailStudy) -> dict[str, DataFrame]:
     diagnosed = cases.with_codes(s.diagnoses(), hospital_codes, "code").join(s.spells(), "spell")
     broad = s.table("part").where(F.col("p_name").like("red gizmo")).select(F.col("p_partkey").alias("code"))
     dead = s.table("customer").where(F.col("c_acctbal") < 0).select(F.col("c_custkey").alias("person"))
+    lists = {"broad code": broad, "outcome code": s.codes().select("code")}
     return {
         "dead": dead,
         "case": s.cases.select("person"),
-        "broad code": controls.persons_with(cases.with_codes(s.events, broad, "code"), "person"),
-        "outcome code": controls.persons_with(cases.with_codes(s.events, s.codes().select("code"), "code"), "person"),
+        **controls.persons_by_list(s.events, lists, "code", ["person"]),
         "hospital code": controls.persons_with(diagnosed, "person"),
     }
 

@@ -303,18 +303,16 @@ class RecordStudy:
         pool = controls.control_pool(self.candidates(), "person", STRATA, s.stratum_cap, s.seed)
         return stage(pool.select("person", *STRATA), "drawn")
 
+    @cached_property
     def exclusions(self) -> dict[str, DataFrame]:
-        log = self.tables["gp_events"].select("person", "sex", "code")
+        lists = {"broad code": self.broad_codes, "outcome code": self.outcome_event_codes}
         hospital = cases.with_codes(self.diagnoses, self.outcome_diagnosis_codes, "code").join(
             self.spells.select("provider", "spell", "person"), ["provider", "spell"]
         )
         sources = {
             "dead": controls.persons_with(self.deaths, "person"),
             "already a case": self.cases.select("person"),
-            "broad code": controls.persons_with(cases.with_codes(log, self.broad_codes, "code"), "person", "sex"),
-            "outcome code": controls.persons_with(
-                cases.with_codes(log, self.outcome_event_codes, "code"), "person", "sex"
-            ),
+            **controls.persons_by_list(self.tables["gp_events"], lists, "code", ["person", "sex"]),
             "outcome code in hospital": controls.persons_with(hospital, "person"),
         }
         if self.settings.apply_opt_outs:
@@ -323,10 +321,10 @@ class RecordStudy:
 
     @cached_property
     def pool(self) -> DataFrame:
-        return stage(controls.exclude(self.drawn, self.exclusions()), "pool")
+        return stage(controls.exclude(self.drawn, self.exclusions), "pool")
 
     def exclusion_ledger(self) -> DataFrame:
-        return controls.exclusion_ledger(self.drawn, self.exclusions())
+        return controls.exclusion_ledger(self.drawn, self.exclusions)
 
     # --- matching ------------------------------------------------------------------
 

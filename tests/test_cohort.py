@@ -127,6 +127,16 @@ def test_exclusions_and_ledger(spark):
     ]
 
 
+def test_persons_by_list(spark):
+    events = spark.createDataFrame(
+        [(1, "a"), (1, "a"), (2, "b"), (3, "c"), (4, "ab"), (None, "a")], "person long, code string"
+    )
+    lists = {"x": ["a", "ab"], "y": ["b", "ab", "ab"]}
+    lists = {n: spark.createDataFrame([(c,) for c in cs], "code string") for n, cs in lists.items()}
+    found = controls.persons_by_list(events, lists, "code", ["person"])
+    assert {n: tuples(df, "person") for n, df in found.items()} == {"x": [(1,), (4,)], "y": [(2,), (4,)]}
+
+
 def test_group_and_stack(spark, day):
     pairs = spark.createDataFrame(
         [(20, 1, day("2016-01-01")), (20, 2, day("2016-01-01")), (10, 3, day("2017-01-01"))],
