@@ -11,7 +11,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchweave.functions.exprs import age_years, year_window
 from matchweave.operators import (
     cases,
     controls,

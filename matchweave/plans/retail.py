@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from matchweave.functions.exprs import age_years, hash_bucket, hash_order, year_window
 from matchweave.functions.ordering import HOT_ROWS, neighbour
 from matchweave.operators import cases, controls, features, matching, wide
-from matchweave.sources.store import read_table, split_hot_joins, stage
+from matchweave.sources.store import broadcast_if_small, read_table, split_hot_joins, stage
 
 SEED = 42
 FIRST_YEAR, LAST_YEAR = 1998, 2000
@@ -114,9 +114,12 @@ class RetailStudy:
             F.col("o_orderstatus").alias("status"),
         )
 
-    def episodes(self) -> DataFrame:
+    def episodes(self, spells: DataFrame) -> DataFrame:
+        """Start of each episode (line number) of the given spells."""
+        lines = self.table("lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
+        wanted = broadcast_if_small(spells.select(F.col("spell").alias("l_orderkey")).distinct())
         return (
-            self.table("lineitem")
+            lines.join(wanted, "l_orderkey", "left_semi")
             .groupBy(F.col("l_orderkey").alias("spell"), F.col("l_linenumber").alias("episode"))
             .agg(F.min("l_shipdate").cast("date").alias("episode_start"))
         )
@@ -131,11 +134,13 @@ class RetailStudy:
 
     def hospital_index(self, max_size: int = 12) -> DataFrame:
         """Index events through the order -> line -> part hierarchy, on a wider code list."""
+        codes = self.codes(max_size=max_size).select("code")
+        listed = stage(cases.with_codes(self.diagnoses(), codes, "code"), "listed_lines")
         return cases.index_event_hier(
-            self.diagnoses(),
-            self.episodes(),
+            listed,
+            self.episodes(listed),
             self.spells(),
-            self.codes(max_size=max_size).select("code"),
+            codes,
             "person",
             "code",
             ["spell"],

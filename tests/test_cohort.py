@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from matchweave.functions.exprs import hash_bucket, hash_order, year_window
+from matchweave.functions.exprs import hash_order, year_window
 from matchweave.operators import cases, controls, features, matching, wide
 from matchweave.plans.retail import RetailStudy
 
