@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchweave.llm import packing, simhash, token_counts
+from matchweave.llm import mixing, packing, simhash, token_counts, winnow
 from matchweave.llm.shared import columns
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +22,18 @@ def documents(spark: SparkSession, folder: str, *names: str) -> DataFrame:
     return columns(spark.read.parquet(f"{folder}/documents.parquet"), *(names or ("doc_id", "text")))
 
 
+@query
+def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Words that a mix of all sources by weight takes of each document."""
+    return mixing.mix_plan(documents(spark, folder, "doc_id", "text", "source"))
+
+
+@query
+def op2_winnowing(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of every text and its edited text, and their likeness."""
+    return winnow.with_edits(documents(spark, folder)).drop("marks")
+
+
 @query
 def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Totals at every context limit that is the length of a document."""
