@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchweave.llm import mixing, packing, simhash, token_counts, winnow
+from matchweave.llm import langid, mixing, packing, simhash, token_counts, topk, winnow
 from matchweave.llm.shared import columns
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,16 @@ def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
 def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Every document cut and packed into sequences of 2,048 tokens."""
     return packing.pack_documents(documents(spark, folder), capacity=2048, end_id=0)
+
+
+@query
+def op6_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The five nearest other vectors of every vector whose id is divisible by 50."""
+    vectors = columns(spark.read.parquet(f"{folder}/embeddings.parquet"), "vec_id", "embedding")
+    return topk.nearest_of_every(vectors, every=50, k=5)
+
+
+@query
+def op9_langid(spark: SparkSession, folder: str) -> DataFrame:
+    """Predicted language of every document."""
+    return langid.identify(documents(spark, folder, "doc_id", "text", "lang"))
