@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchweave.llm import langid, mixing, packing, simhash, token_counts, topk, winnow
+from matchweave.llm import langid, mixing, packing, simhash, token_counts, topk, warc, winnow
 from matchweave.llm.shared import columns
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,37 @@ def op6_topk(spark: SparkSession, folder: str) -> DataFrame:
 def op9_langid(spark: SparkSession, folder: str) -> DataFrame:
     """Predicted language of every document."""
     return langid.identify(documents(spark, folder, "doc_id", "text", "lang"))
+
+
+@query
+def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """What archives of all pages say of each page when they are read back."""
+    return warc.round_trip(columns(spark.read.parquet(f"{folder}/pages.parquet"), "page_id", "url", "html"))
+
+
+ORACLES["op10_warc"] = """
+WITH p AS (
+    SELECT page_id, coalesce(html, '') AS html FROM pages
+), f AS (
+    SELECT html, min(page_id) AS first_id FROM p GROUP BY html
+), b AS (
+    SELECT p.page_id, p.html, f.first_id, sha1(p.html) AS hex,
+           '0123456789abcdef' AS digits
+    FROM p JOIN f ON p.html = f.html
+), bits AS (
+    SELECT page_id, html, first_id,
+           array_to_string(list_transform(range(1, 41), lambda i:
+               right(bin(strpos(digits, substr(hex, i, 1)) + 15), 4)), '') AS bits
+    FROM b
+)
+SELECT page_id,
+       octet_length(encode(html)) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i:
+           substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                  list_sum(list_transform(range(0, 5), lambda j:
+                      CAST(substr(bits, CAST(5 * i + j + 1 AS INT), 1) AS INT) * CAST(2 ** (4 - j) AS INT)))::INT + 1, 1)), '')
+           AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM bits
+"""
