@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchweave.llm import langid, mixing, packing, simhash, token_counts, topk, warc, winnow
+from matchweave.llm import langid, mixing, packing, quality, simhash, token_counts, topk, toxicity, warc, winnow
 from matchweave.llm.shared import columns
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,6 +60,22 @@ def op6_topk(spark: SparkSession, folder: str) -> DataFrame:
     return topk.nearest_of_every(vectors, every=50, k=5)
 
 
+def labels(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return columns(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id", name)
+
+
+@query
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Probabilities of the toxicity categories of every document."""
+    return toxicity.judge(documents(spark, folder), labels(spark, folder, "toxic"))
+
+
+@query
+def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Evidence, site shares and posterior quality of every document."""
+    return quality.judge(documents(spark, folder, "doc_id", "text", "source", "lang"), labels(spark, folder, "quality"))
+
+
 @query
 def op9_langid(spark: SparkSession, folder: str) -> DataFrame:
     """Predicted language of every document."""
