@@ -19,14 +19,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchweave.llm.linear import SAMPLE, fit_logistic, predict, sampled_labels
+from matchweave.llm.linear import SAMPLE, Cells, fit_logistic, predict, sampled_labels
 from matchweave.llm.shared import write_stage
 from matchweave.llm.tokens import slices
 from matchweave.sources.store import broadcast_if_small
 
 FEATURES = 9
 BINS = 10
-THRESHOLD = 0.5
+THRESHOLD = 0.25
 # A site's say against that of a document's text; 1 would count both alike.
 SITE_WEIGHT = 0.5
 # Bounds of the prior's strength in documents.
@@ -89,12 +89,11 @@ class Classifier:
     weights: np.ndarray
     share: float
 
-    def binned(self, x: np.ndarray) -> np.ndarray:
+    def binned(self, x: np.ndarray) -> Cells:
         width = BINS + 1
-        out = np.zeros((len(x), FEATURES * width))
-        for i, cuts in enumerate(self.cuts):
-            out[np.arange(len(x)), i * width + np.searchsorted(cuts, x[:, i], side="left")] = 1
-        return out
+        cols = [i * width + np.searchsorted(c, x[:, i], side="left") for i, c in enumerate(self.cuts)]
+        rows = np.tile(np.arange(len(x)), FEATURES)
+        return Cells(rows, np.concatenate(cols), (len(x), FEATURES * width))
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         return predict(self.binned(x), self.weights)

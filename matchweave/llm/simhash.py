@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from matchweave.llm.components import components
 from matchweave.llm.shared import drop_stage, write_stage
 from matchweave.llm.tokens import slices
+from matchweave.sources.store import broadcast_if_small
 
 RADIUS = 3
 SHINGLE = 3
@@ -202,6 +203,16 @@ def near_links(fps: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_bucket_links, "a long, b long").distinct()
 
 
+def class_roots(of_docs: DataFrame) -> DataFrame:
+    """``fp``, ``root``: for each distinct fingerprint of a written table, the smallest one of its class."""
+    fps, path = write_stage(of_docs.select("fp").distinct(), "distinct")
+    found, _ = write_stage(components(near_links(fps)), "classes")
+    rooted = fps.join(found, fps["fp"] == found["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    out, _ = write_stage(rooted, "roots")
+    drop_stage(of_docs.sparkSession, path)
+    return out
+
+
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Each document with its fingerprint and near-duplicate class.
 
@@ -210,14 +221,30 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     any word have fingerprint zero and link like others. Rows with a null doc_id take part;
     a class made of them alone has a null component_id. One row per input row.
     """
-    spark = docs.sparkSession
     of_docs, _ = write_stage(fingerprints(docs, doc_id, text), "fingerprints")
-    fps, fps_path = write_stage(of_docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    found, _ = write_stage(components(near_links(fps.select("fp"))), "classes")
-    rooted = fps.join(found, fps["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    rooted = class_roots(of_docs)
+    ids = of_docs.groupBy("fp").agg(F.min("doc_id").alias("least")).join(rooted, "fp")
+    least = ids.groupBy("root").agg(F.min("least").alias("component_id"))
     named, _ = write_stage(rooted.join(least, "root").select("fp", "component_id"), "named")
-    drop_stage(spark, fps_path)
     return of_docs.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The documents with one left of each near-duplicate class, that with the smallest doc_id.
+
+    Of rows that repeat this id the first is kept; null ids come last. The input is written
+    once with its rows numbered.
+    """
+    names = docs.columns
+    numbered, _ = write_stage(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    of_rows = fingerprints(numbered, "__row").withColumnRenamed("doc_id", "__row")
+    of_rows, _ = write_stage(of_rows, "fingerprints")
+    ids = numbered.select("__row", "doc_id").join(of_rows, "__row").join(class_roots(of_rows), "fp")
+    ids, _ = write_stage(ids.select("__row", "doc_id", "root"), "classes")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")
+    kept = ids.groupBy("root").agg(F.min(order).alias("first"))
+    dropped = ids.join(kept, "root").where(F.col("first.__row") != F.col("__row")).select("__row")
+    dropped, _ = write_stage(dropped, "dropped")
+    return numbered.join(broadcast_if_small(dropped), "__row", "left_anti").select(*names)

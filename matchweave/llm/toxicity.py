@@ -1,8 +1,8 @@
 """Toxic documents by a chain of linear classifiers.
 
 Toxicity has categories, predicted one after another. The model of a category sees which
-words of a learned vocabulary a text holds and the probabilities of the categories before
-it. In fitting, those probabilities come from models that did not see the document, as they
+words and beginnings of words of a learned vocabulary a text holds, and the probabilities of
+the categories before it. In fitting, those probabilities come from models that did not see the document, as they
 will in use. The last category is toxicity itself.
 
 The models are fitted on at most `linear.SAMPLE` labelled documents; all documents are
@@ -20,16 +20,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchweave.llm.linear import SAMPLE, fit_logistic, predict, sampled_labels
+from matchweave.llm.linear import SAMPLE, Cells, fit_logistic, predict, sampled_labels
 from matchweave.llm.shared import write_stage
 from matchweave.llm.tokens import slices
 
 LETTERS = re.compile(r"[^\W\d_]+")
-VOCABULARY = 256
+VOCABULARY = 1024
+# Letters of the beginnings of longer words.
+BEGINNINGS = (4, 5)
 LEAST_DOCS = 5
 LEAST_Z = 4.0
 FOLDS = 3
-SPARSE = 2e-4
+SPARSE = 5e-5
 THRESHOLD = 0.5
 # Words that mark the weak labels of the categories before the last. A labelled
 # toxic document belongs to a category if it holds one of its words.
@@ -41,8 +43,10 @@ TOXIC = "toxic"
 
 
 def words_of(text: str | None) -> set[str]:
-    """Distinct lower-cased runs of letters."""
-    return set(LETTERS.findall((text or "").lower()))
+    """Distinct lower-cased runs of letters, and beginnings of the longer ones, marked by a hyphen."""
+    words = set(LETTERS.findall((text or "").lower()))
+    begins = {f"{w[:n]}-" for n in BEGINNINGS for w in words if len(w) > n}
+    return words | begins
 
 
 def _marked(sample: DataFrame, categories: dict[str, Sequence[str]]) -> DataFrame:
@@ -96,32 +100,35 @@ class Chain:
     vocabulary: dict[str, int]
     weights: list[np.ndarray]
 
-    def features(self, texts: Sequence[str | None]) -> np.ndarray:
-        x = np.zeros((len(texts), len(self.vocabulary)))
-        for row, text in enumerate(texts):
-            for word in words_of(text) & self.vocabulary.keys():
-                x[row, self.vocabulary[word]] = 1
-        return x
+    def features(self, texts: Sequence[str | None]) -> Cells:
+        held = [[self.vocabulary[w] for w in words_of(t) & self.vocabulary.keys()] for t in texts]
+        return cells(held, len(self.vocabulary))
 
     def probabilities(self, texts: Sequence[str | None]) -> np.ndarray:
         """One column per category."""
         x = self.features(texts)
         for weights in self.weights:
-            x = np.hstack([x, predict(x, weights)[:, None]])
-        return x[:, len(self.vocabulary) :]
+            x = x.with_column(predict(x, weights))
+        return x.dense
 
 
-def fit_chain(x: np.ndarray, marks: np.ndarray, folds: int = FOLDS) -> list[np.ndarray]:
+def cells(held: Sequence[Sequence[int]], width: int) -> Cells:
+    rows = np.repeat(np.arange(len(held)), [len(h) for h in held])
+    cols = np.array([c for h in held for c in h], np.int64)
+    return Cells(rows, cols, (len(held), width))
+
+
+def fit_chain(x: Cells, marks: np.ndarray, folds: int = FOLDS) -> list[np.ndarray]:
     """Weights of each category's model; earlier categories enter by out-of-fold probabilities."""
-    out, fold = [], np.arange(len(x)) % folds
+    out, fold = [], np.arange(x.shape[0]) % folds
     for i in range(marks.shape[1]):
         y = marks[:, i].astype(float)
-        beyond = np.zeros(len(x))
+        beyond = np.zeros(x.shape[0])
         for f in range(folds):
             seen = fold != f
-            beyond[~seen] = predict(x[~seen], fit_logistic(x[seen], y[seen], SPARSE))
+            beyond[~seen] = predict(x.some(~seen), fit_logistic(x.some(seen), y[seen], SPARSE))
         out.append(fit_logistic(x, y, SPARSE))
-        x = np.hstack([x, beyond[:, None]])
+        x = x.with_column(beyond)
     return out
 
 
@@ -139,10 +146,8 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Sequence[str]]
     held = F.array_intersect("words", F.lit(list(vocabulary)) if vocabulary else F.array().cast("array<string>"))
     # A repeated id brings all its rows, so the bound is set again on what comes to the driver.
     rows = marked.select("doc_id", held.alias("held"), "marks").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
-    x, marks = np.zeros((len(rows), len(vocabulary))), np.zeros((len(rows), len(names)), int)
-    for n, row in enumerate(rows):
-        x[n, [vocabulary[w] for w in row["held"]]] = 1
-        marks[n] = row["marks"]
+    x = cells([[vocabulary[w] for w in r["held"]] for r in rows], len(vocabulary))
+    marks = np.array([r["marks"] for r in rows], int).reshape(len(rows), len(names))
     return Chain(names, vocabulary, fit_chain(x, marks))
 
 
