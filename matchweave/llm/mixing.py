@@ -4,7 +4,7 @@ Every source has a target number of words, so each of its documents should be co
 target / size times. Whole copies are given to all; the fractions left are rounded by the
 pivotal method: two documents meet, one hands words to the other at random until one of
 them is integral, the other goes on with what is left. The words of a source stay the same
-in every step, so a source ends within one document of its target.
+in every step, so a source ends within half a document of its target.
 
 Documents meet in groups of a bounded size, and each group leaves at most one fraction per
 source for the next level, so a hot source is spread over many tasks. All steps are
@@ -127,7 +127,7 @@ def pivotal_rounding(units: DataFrame, seed: int = SEED, group: int = GROUP, fan
         decided = done if decided is None else decided.unionByName(done)
         units = folded.select("left.row", "left.size", "left.p", "key", "source")
         if groups == 1:
-            last = units.select("row", (hash_share("key", seed=seed + 5000) < F.col("p")).alias("taken"))
+            last = units.select("row", (F.col("p") >= 0.5).alias("taken"))
             return decided.unionByName(last)
         groups, level = math.ceil(groups / fan_in), level + 1
 

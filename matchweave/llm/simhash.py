@@ -197,7 +197,8 @@ def near_links(fps: DataFrame) -> DataFrame:
     """Links (a, b) between distinct fingerprints that connect all within the radius.
 
     Every two fingerprints at most three bits apart are connected through these links, and
-    each link is itself that close. ``fps`` has one row per distinct value.
+    the two of a link through steps of at most three bits. ``fps`` has one row per distinct
+    value.
     """
     dealt = _variants(fps).repartition("block", "key").sortWithinPartitions("block", "key", "fp")
     return dealt.mapInArrow(_bucket_links, "a long, b long").distinct()
