@@ -12,6 +12,8 @@ the smallest number of a window is the choice, and windows are reduced by doubli
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -87,7 +89,10 @@ def _cut_ids(df: DataFrame, ranges: int) -> DataFrame:
     """Adds ``__range``: ids fall into about equal ranges, in their order."""
     wanted = [i / ranges for i in range(1, ranges)]
     row = df.agg(F.percentile_approx("__at", wanted, F.lit(20 * ranges)).alias("cuts")).first()
-    splits = [float("-inf"), *sorted(set(row["cuts"] or [])), float("inf")]
+    cuts = sorted({c for c in row["cuts"] or [] if math.isfinite(c)})
+    if not cuts:
+        return df.withColumn("__range", F.lit(0.0))
+    splits = [float("-inf"), *cuts, float("inf")]
     return Bucketizer(splits=splits, inputCol="__at", outputCol="__range", handleInvalid="keep").transform(df)
 
 
@@ -124,7 +129,7 @@ def with_edits(docs: DataFrame, k: int = K, doublings: int = WINDOW_DOUBLINGS) -
     doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next,
     marks (chosen hashes with token positions). One row per input row.
     """
-    along = Window.partitionBy("__range").orderBy("__own", F.col("__at"), F.xxhash64("text"))
+    along = Window.partitionBy("__range").orderBy("__own", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     rows = (
         beside_next(docs)
