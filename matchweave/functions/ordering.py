@@ -15,10 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, NumericType, TimestampType
 
-from matchweave.sources.store import broadcast_if_small, stage
+from matchweave.sources.store import stage
 
-# A key with more rows than this is cut into sub-groups.
-HOT_ROWS = 1_000_000
 # Number of sub-groups of a global order, and values sampled per sub-group to place the cuts.
 BUCKETS = 2048
 SAMPLE_PER_BUCKET = 8
@@ -70,31 +68,46 @@ def rank_in_group(
 ) -> DataFrame:
     """``row_number() over (partition by keys order by order)`` with groups cut by ``split``.
 
-    ``split`` columns must not decrease along ``order``. With ``limit`` only ranks up to
-    it are returned, and sub-groups that start beyond it are left out before any sort.
-    Rows with a NULL key take no part.
+    ``split`` columns must not decrease along ``order``, nulls last in both. With ``limit``
+    only ranks up to it are returned, and sub-groups that start beyond it are left out before
+    any sort. Rows with the same NULL key are a group like any other.
     """
     keys, order = list(keys), list(order)
     cuts = [f"__cut{i}" for i in range(len(split))]
     tagged = df.select("*", *[c.alias(n) for c, n in zip(split, cuts)])
-    before = Window.partitionBy(*keys).orderBy(*cuts).rowsBetween(Window.unboundedPreceding, -1)
+    by_cut = [F.col(c).asc_nulls_last() for c in cuts]
+    before = Window.partitionBy(*keys).orderBy(*by_cut).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         tagged.groupBy(*keys, *cuts)
         .agg(F.count(F.lit(1)).alias("__n"))
         .select(*keys, *cuts, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+        .alias("offsets")
     )
+    same = [F.col(f"rows.`{c}`").eqNullSafe(F.col(f"offsets.`{c}`")) for c in [*keys, *cuts]]
     inside = Window.partitionBy(*keys, *cuts).orderBy(*[F.col(c).asc_nulls_last() for c in order])
+    number = F.row_number().over(inside).alias("__rn")
     if limit is not None:
-        tagged = tagged.join(offsets.where(F.col("__before") < limit), keys + cuts)
-        ranked = tagged.withColumn("__rn", F.row_number().over(inside))
+        tagged = tagged.alias("rows").join(offsets.where(F.col("__before") < limit), same)
+        ranked = tagged.select("rows.*", "__before").select("*", number)
     else:
-        ranked = tagged.withColumn("__rn", F.row_number().over(inside)).join(offsets, keys + cuts)
+        ranked = tagged.select("*", number).alias("rows").join(offsets, same).select("rows.*", "__before")
     ranked = ranked.withColumn(out, (F.col("__before") + F.col("__rn")).cast("long"))
     if limit is not None:
         ranked = ranked.where(F.col(out) <= limit)
     return ranked.select(*df.columns, out)
 
 
+def range_cut(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """The table written with ``__cut``, which numbers ranges of its order, nulls last.
+
+    Works for any orderable types. The bounds are sampled, and written with the rows, so
+    that every later pass sees the same cuts.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *[F.col(c).asc_nulls_last() for c in order])
+    return stage(ranged.withColumn("__cut", F.spark_partition_id()), "ranges")
+
+
 def running_totals(
     df: DataFrame, order: str, totals: dict[str, str], descending: bool = False
 ) -> DataFrame:
@@ -137,10 +150,18 @@ def running_totals(
 
 
 def dense_ids(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Distinct values of a column numbered 1.. in their order (a global dense rank)."""
-    distinct = df.select(column).where(F.col(column).isNotNull()).distinct()
-    numbered = running_totals(distinct.withColumn("__one", F.lit(1).cast("long")), column, {"__one": out})
-    return numbered.select(column, out)
+    """Distinct values of a column of any orderable type, numbered 1.. in their order."""
+    cut = range_cut(df.select(column).where(F.col(column).isNotNull()).distinct(), [column])
+    before = Window.partitionBy(F.lit(0)).orderBy("__cut").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per range, and there are as many as shuffle partitions.
+    offsets = (
+        cut.groupBy("__cut")
+        .agg(F.count(F.lit(1)).alias("__n"))
+        .select("__cut", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    )
+    inside = F.row_number().over(Window.partitionBy("__cut").orderBy(column))
+    numbered = cut.withColumn("__rn", inside).join(F.broadcast(offsets), "__cut")
+    return numbered.select(column, (F.col("__before") + F.col("__rn")).cast("long").alias(out))
 
 
 def neighbour(
@@ -150,59 +171,35 @@ def neighbour(
     values: Sequence[str],
     prefix: str,
     step: int,
-    split: Sequence[str],
-    ranges: str | None = None,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Values of the previous (``step=-1``) or next (``step=1``) row of the same key.
 
-    Adds ``<prefix><value>`` columns, NULL at the end of a key. When a counting pass
-    finds keys above ``hot_rows``, those keys alone are cut: by each value of the leading
-    order columns ``split`` (dates and other short scales) and by ranges of the order
-    column after them, ``ranges``. Rows at the edge of a sub-group take their neighbour
-    from the sub-group beyond it.
+    Adds ``<prefix><value>`` columns, NULL at the end of a key and for rows with a NULL key.
+    The rows are cut into ranges of keys and order, so a key of any size is spread over as
+    many tasks as its share of the rows; the rows at the edge of a range take theirs from
+    the range beyond it.
     """
-    keys, order, split = list(keys), list(order), list(split)
-    if order[: len(split) + bool(ranges)] != split + ([ranges] if ranges else []):
-        raise ValueError("split columns, then the ranges column, must lead the order")
-    fn = F.lag if step < 0 else F.lead
-    payload = F.struct(*values)
-    ordering = [F.col(c).asc_nulls_last() for c in order]
-    added = [F.col(f"__near.{v}").alias(f"{prefix}{v}") for v in values]
-
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    hot = counts.where(F.col("__n") > hot_rows).select(*keys)
-    if hot.isEmpty():
-        near = fn(payload).over(Window.partitionBy(*keys).orderBy(*ordering))
-        return df.withColumn("__near", near).select(*df.columns, *added)
-
-    hot = broadcast_if_small(stage(hot, "hot_keys").withColumn("__hot", F.lit(True)))
-    tagged = df.join(hot, keys, "left")
-    cut_by = {f"__cut_{c}": F.col(c) for c in split}
-    if ranges:
-        bounds = order_bounds(df.join(hot, keys, "left_semi"), ranges)
-        tagged = with_cut(tagged, ranges, bounds, "__range")
-        cut_by["__cut_range"] = F.col("__range")
-    cuts = list(cut_by)
-    tagged = tagged.select(
-        *df.columns, "__hot", *[F.when(F.col("__hot"), c).alias(n) for n, c in cut_by.items()]
+    keys, along = list(keys), [*keys, *order]
+    fn, pick = (F.lag, F.max_by) if step < 0 else (F.lead, F.min_by)
+    payload = F.struct(
+        *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)],
+        *[F.col(v).alias(f"v{i}") for i, v in enumerate(values)],
     )
-    inside = fn(payload).over(Window.partitionBy(*keys, *cuts).orderBy(*ordering))
-    # The row nearest the edge of each sub-group of a hot key, carried to the sub-group beyond it.
-    pick = F.max_by if step < 0 else F.min_by
-    position = F.struct(*[part for c in order for part in (F.col(c).isNull(), F.col(c))])
-    along = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_last() for c in cuts])
-    edges = (
-        tagged.where("__hot")
-        .groupBy(*keys, *cuts)
-        .agg(pick(payload, position).alias("__last"))
-        .withColumn("__edge", fn("__last").over(along))
+    cut = range_cut(df, along)
+    inside = Window.partitionBy("__cut").orderBy(*[F.col(c).asc_nulls_last() for c in along])
+    position = F.struct(
+        *[part.alias(f"p{i}{j}") for i, c in enumerate(along) for j, part in enumerate((F.col(c).isNull(), F.col(c)))]
     )
-    left, right = tagged.withColumn("__in", inside).alias("l"), edges.alias("r")
-    same = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys]
-    same += [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in cuts]
-    joined = left.join(right, same, "left").select("l.*", "r.__edge")
-    return joined.withColumn("__near", F.coalesce("__in", "__edge")).select(*df.columns, *added)
+    # One row per range, and there are as many as shuffle partitions.
+    edges = cut.groupBy("__cut").agg(pick(payload, position).alias("__last"))
+    edges = edges.select("__cut", fn("__last").over(Window.partitionBy(F.lit(0)).orderBy("__cut")).alias("__edge"))
+    joined = cut.withColumn("__in", fn(payload).over(inside)).join(F.broadcast(edges), "__cut")
+    near = joined.withColumn("__near", F.coalesce("__in", "__edge"))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & (F.col(f"__near.k{i}") == F.col(k))
+    added = [F.when(same, F.col(f"__near.v{i}")).alias(f"{prefix}{v}") for i, v in enumerate(values)]
+    return near.select(*df.columns, *added)
 
 
 def group_median(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:

@@ -62,7 +62,7 @@ def confusion_report(counts: DataFrame) -> DataFrame:
         ((sensitivity + specificity) / 2).alias("balanced_accuracy"),
         div(accuracy - chance, 1 - chance).alias("kappa"),
         div(F.greatest(tp + fn, tn + fp), n).alias("no_information_rate"),
-        div((F.abs(fp - fn) - 1) * (F.abs(fp - fn) - 1), fp + fn).alias("mcnemar"),
+        div(F.pow(F.greatest(F.abs(fp - fn) - 1, F.lit(0)), 2), fp + fn).alias("mcnemar"),
     )
 
 

@@ -28,9 +28,11 @@ def match_exact(
     Taking cases in turn and removing the controls they use is the same as numbering
     cases and controls within the stratum and pairing case *i* with the *i*-th run of
     ``k`` controls. Numbering and pairing key on (stratum, slot), so neither step holds
-    a whole stratum in one task. Cases for which the pool has run out get no row.
+    a whole stratum in one task. Cases for which the pool has run out get no row. Rows
+    without a person are nobody: they take no place in the numbering.
     """
     strata = list(strata)
+    cases, pool = (df.where(F.col(person).isNotNull()) for df in (cases, pool))
     slots = rank_in_group(cases, strata, case_order, case_split, "__slot")
     runs = rank_in_group(pool, strata, pool_order, pool_split, "__rank")
     runs = runs.select(

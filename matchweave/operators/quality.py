@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchweave.functions.exprs import is_true
-from matchweave.functions.ordering import HOT_ROWS, neighbour, rank_in_group
+from matchweave.functions.ordering import neighbour, rank_in_group
 
 
 def _unpivot(row: DataFrame, label: str, names: Sequence[str], measures: Sequence[str]) -> DataFrame:
@@ -95,11 +95,12 @@ def overlaps(
     end: str,
     tie_break: Sequence[str],
     inclusive: bool = True,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Rows that start before (or, if inclusive, on) the end of the previous row of their key."""
-    ranges = tie_break[0] if tie_break else None
-    near = neighbour(df, keys, [start, *tie_break], [end], "previous_", -1, [start], ranges, hot_rows)
+    """Rows that start before (or, if inclusive, on) the end of the previous row of their key.
+
+    Rows with a NULL key belong to nobody and overlap nothing.
+    """
+    near = neighbour(df, keys, [start, *tie_break], [end], "previous_", -1)
     previous = F.col(f"previous_{end}")
     return near.where(F.col(start) <= previous if inclusive else F.col(start) < previous)
 
@@ -111,18 +112,16 @@ def sequence_overlaps(
     start: str,
     end: str,
     tie_break: Sequence[str] = (),
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Rows whose successor by sequence number starts before they end."""
-    order = [sequence, start, *tie_break]
-    ranges = tie_break[0] if tie_break else None
-    near = neighbour(df, keys, order, [sequence, start], "next_", 1, [sequence, start], ranges, hot_rows)
+    near = neighbour(df, keys, [sequence, start, *tie_break], [sequence, start], "next_", 1)
     return near.where((F.col(f"next_{sequence}") > F.col(sequence)) & (F.col(f"next_{start}") < F.col(end)))
 
 
 def inconsistent_within(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
-    """Keys in which a supposedly constant column takes more than one value."""
-    counts = df.groupBy(*keys).agg(F.count_distinct(F.col(column)).alias("n_distinct"))
+    """Keys in which a supposedly constant column takes more than one value; NULL is no key."""
+    known = df.where(F.forall(F.array(*[F.col(k).isNotNull() for k in keys]), lambda x: x))
+    counts = known.groupBy(*keys).agg(F.count_distinct(F.col(column)).alias("n_distinct"))
     return counts.where(F.col("n_distinct") > 1)
 
 

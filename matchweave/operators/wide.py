@@ -18,12 +18,20 @@ VALUE_PREFIX = "val_"
 
 
 def column_names(codes: Sequence[str]) -> dict[str, str]:
-    """Code -> the part of a column name it is written as; two codes may not share one."""
+    """Code -> the part of a column name it is written as.
+
+    Names differ also without regard to case, as Spark compares them: of codes that would
+    share a name, the later in order get a number.
+    """
     if len(codes) > MAX_CODES:
         raise ValueError(f"{len(codes)} codes are too many for columns")
-    names = {c: safe_name(c) for c in codes}
-    if len(set(names.values())) != len(names):
-        raise ValueError("codes collide once written as column names")
+    names, taken = {}, set()
+    for c in sorted(codes):
+        name, n = safe_name(c), 2
+        while name.lower() in taken:
+            name, n = f"{safe_name(c)}_{n}", n + 1
+        taken.add(name.lower())
+        names[c] = name
     return names
 
 
@@ -42,16 +50,20 @@ def pivot_wide(
     without features among them, keep their member but add no column.
     """
     names = column_names(codes)
+    number = {c: i for i, c in enumerate(codes)}
+    # Codes become numbers first, so that column names cannot clash inside the pivot.
+    numbered = F.create_map(*[F.lit(x) for c, i in number.items() for x in (c, i)]) if codes else F.lit(None)
     pivoted = (
-        features.repartition(*ids)
+        features.withColumn("__number", numbered[F.col(code)] if codes else numbered.cast("int"))
+        .repartition(*ids)
         .groupBy(*ids)
-        .pivot(code, list(codes))
+        .pivot("__number", list(number.values()))
         .agg(F.first(count).alias("c"), F.first(value).alias("v"))
     )
     return pivoted.select(
         *ids,
-        *[F.coalesce(F.col(f"`{c}_c`"), F.lit(0).cast("long")).alias(COUNT_PREFIX + names[c]) for c in codes],
-        *[F.col(f"`{c}_v`").alias(VALUE_PREFIX + names[c]) for c in codes],
+        *[F.coalesce(F.col(f"`{i}_c`"), F.lit(0).cast("long")).alias(COUNT_PREFIX + names[c]) for c, i in number.items()],
+        *[F.col(f"`{i}_v`").alias(VALUE_PREFIX + names[c]) for c, i in number.items()],
     )
 
 
@@ -154,7 +166,7 @@ def group_split(groups: DataFrame, group: str, fraction: float, seed: int, out:
     total = ids.agg(F.floor(F.count(F.lit(1)) * F.lit(fraction)).alias("__train"))
     keyed = ids.withColumn("__order", hash_order(F.col(group), seed))
     ranked = rank_in_group(keyed, [], ["__order", group], [hash_bucket(F.col("__order"))], "__rank")
-    bound = total.scalar() if hasattr(total, "scalar") else F.lit(total.first()[0])
+    bound = total.scalar()
     return ranked.select(
         group, F.when(F.col("__rank") <= bound, F.lit("train")).otherwise(F.lit("test")).alias(out)
     )

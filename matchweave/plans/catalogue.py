@@ -145,17 +145,12 @@ _CTE = {
             WHERE (year(index_date) - year(event_date)) * 365 + (month(index_date) - month(event_date)) * 30
                   + (day(index_date) - day(event_date)) >= {GAP_DAYS}""",
     ),
-    "seq": (
-        ("old",),
-        """SELECT *, avg(value) OVER (PARTITION BY person, brand) AS mean_value,
-           row_number() OVER (PARTITION BY person, brand ORDER BY event_date, fileseq) AS first_seq,
-           row_number() OVER (PARTITION BY person, brand ORDER BY event_date DESC, fileseq) AS n_events
-           FROM (SELECT *, row_number() OVER (ORDER BY person, event_date) AS fileseq FROM old)""",
-    ),
     "found": (
-        ("seq",),
-        """SELECT person, segment, area, group_id, label, brand, mean_value, n_events
-           FROM seq WHERE first_seq = 1""",
+        ("old",),
+        """SELECT person, segment, area, group_id, label, brand, avg(value) AS mean_value,
+           count(*) FILTER (WHERE event_date > first_day) + 1 AS n_events
+           FROM (SELECT *, min(event_date) OVER (PARTITION BY person, brand) AS first_day FROM old)
+           GROUP BY person, segment, area, group_id, label, brand""",
     ),
     "feats": (
         ("found", "members"),
@@ -357,7 +352,7 @@ def episode_sequence_overlap(s: RetailStudy) -> DataFrame:
 
 
 @query(
-    """SELECT user_id, count(DISTINCT event_type) AS n_distinct FROM events
+    """SELECT user_id, count(DISTINCT event_type) AS n_distinct FROM events WHERE user_id IS NOT NULL
        GROUP BY 1 HAVING count(DISTINCT event_type) > 1"""
 )
 def inconsistent_within_key(s: RetailStudy) -> DataFrame:
@@ -450,13 +445,12 @@ def eligible_window(s: RetailStudy) -> DataFrame:
                 CASE WHEN status = 'F' THEN NULL ELSE segment END AS segment,
                 CASE WHEN status = 'P' THEN NULL ELSE year(episode_start) - year(born) END AS age
                 FROM hosp JOIN persons USING (person))
-       SELECT COALESCE(b.person, a.person) AS person, COALESCE(a.segment, b.segment) AS segment,
-              CASE WHEN b.index_date <= a.index_date OR a.index_date IS NULL THEN b.index_date
-                   ELSE a.index_date END AS index_date,
-              CAST(CASE WHEN b.age < a.age OR a.age IS NULL THEN b.age
-                   WHEN b.age IS NULL THEN a.age ELSE a.age END AS INTEGER) AS age,
+       , least_of AS (SELECT person, min(index_date) AS index_date, min(age) AS age
+                      FROM (SELECT person, index_date, age FROM elig UNION ALL SELECT person, index_date, age FROM b)
+                      GROUP BY person)
+       SELECT m.person, COALESCE(a.segment, b.segment) AS segment, m.index_date, CAST(m.age AS INTEGER) AS age,
               a.code AS primary_code, b.code AS hospital_code
-       FROM elig a FULL OUTER JOIN b ON a.person = b.person"""
+       FROM least_of m LEFT JOIN elig a ON a.person = m.person LEFT JOIN b ON b.person = m.person"""
 )
 def reconcile_sources(s: RetailStudy) -> DataFrame:
     hospital = s.hospital_index().join(s.persons, "person").select(
@@ -797,7 +791,7 @@ def _labelled(s: RetailStudy) -> DataFrame:
               round(tp / n, 9) AS detection_rate, round((tp + fp) / n, 9) AS detection_prevalence,
               round((sens + spec) / 2, 9) AS balanced_accuracy, round((acc - chance) / (1 - chance), 9) AS kappa,
               round(greatest(tp + fn, tn + fp) / n, 9) AS no_information_rate,
-              round((abs(fp - fn) - 1) * (abs(fp - fn) - 1) / (fp + fn), 9) AS mcnemar FROM e"""
+              round(greatest(abs(fp - fn) - 1, 0) ** 2 / (fp + fn), 9) AS mcnemar FROM e"""
 )
 def confusion_report(s: RetailStudy) -> DataFrame:
     report = evaluate.confusion_report(evaluate.confusion_counts(s.table("labels"), "quality", "toxic"))

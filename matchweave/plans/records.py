@@ -384,8 +384,8 @@ class RecordStudy:
         )
 
     def codes(self) -> list[str]:
-        """Selected codes as a list; their number is bounded by ``top_codes``."""
-        return sorted(r[0] for r in self.selected_codes.select("code").collect())
+        """Selected codes as a list, without NULL; their number is bounded by ``top_codes``."""
+        return sorted(r[0] for r in self.selected_codes.select("code").collect() if r[0] is not None)
 
     def wide(self, balanced: bool = False, keep: str = "any") -> DataFrame:
         """One row per member: counts, and values filled by the median of the class."""

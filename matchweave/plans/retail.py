@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchweave.functions.exprs import age_years, hash_bucket, hash_order, year_window
-from matchweave.functions.ordering import HOT_ROWS, neighbour
+from matchweave.functions.ordering import neighbour
 from matchweave.operators import cases, controls, features, matching, wide
 from matchweave.sources.store import broadcast_if_small, read_table, split_hot_joins, stage
 
@@ -148,7 +148,7 @@ class RetailStudy:
             ["episode_start", "episode", "diag_num", "code", "spell"],
         )
 
-    def intervals(self, hot_rows: int = HOT_ROWS) -> DataFrame:
+    def intervals(self) -> DataFrame:
         """Validity intervals: each order's priority holds until the day before the next order."""
         orders = self.table("orders").select(
             F.col("o_custkey").alias("person"),
@@ -156,9 +156,7 @@ class RetailStudy:
             F.col("o_orderkey").alias("o_orderkey"),
             F.col("o_orderpriority").alias("priority"),
         )
-        near = neighbour(
-            orders, ["person"], ["start", "o_orderkey"], ["start"], "next_", 1, ["start"], "o_orderkey", hot_rows
-        )
+        near = neighbour(orders, ["person"], ["start", "o_orderkey"], ["start"], "next_", 1)
         return near.select(
             "person",
             "o_orderkey",

@@ -47,15 +47,42 @@ def test_rank_equals_row_number(rows, limit):
 
 
 @pytest.mark.parametrize("step", [-1, 1])
-@pytest.mark.parametrize("hot_rows", [1, 200, 1_000_000])
-def test_neighbour_equals_window(rows, small_cuts, step, hot_rows):
+def test_neighbour_equals_window(rows, step):
     df = rows.withColumn("step", F.when(F.col("step") > 2, F.col("step")))
     order = [F.col("step").asc_nulls_last(), F.col("id").asc_nulls_last()]
     fn = F.lag if step < 0 else F.lead
     want = df.withColumn("near_value", fn("value").over(Window.partitionBy("key").orderBy(*order)))
-    for ranges in (None, "id"):
-        got = ordering.neighbour(df, ["key"], ["step", "id"], ["value"], "near_", step, ["step"], ranges, hot_rows)
-        same(got, want)
+    same(ordering.neighbour(df, ["key"], ["step", "id"], ["value"], "near_", step), want)
+
+
+def test_neighbour_of_text_and_null_keys(spark):
+    data = [(i, None if i % 5 == 0 else "ab"[i % 2], f"t{i:03d}", float(i)) for i in range(200)]
+    df = spark.createDataFrame(data, "id long, key string, t string, value double").repartition(5)
+    got = {r.id: r.near_value for r in ordering.neighbour(df, ["key"], ["t"], ["value"], "near_", -1).collect()}
+    last, want = {}, {}
+    for i, key, _, value in data:
+        want[i] = last.get(key) if key else None
+        last[key] = value
+    assert got == want
+
+
+def test_ranks_with_null_keys_and_cuts(spark):
+    data = [(i, None if i % 4 == 0 else i % 3, None if i % 7 == 0 else i % 11) for i in range(300)]
+    df = spark.createDataFrame(data, "id long, key long, v long").repartition(4)
+    got = {r.id: r["rank"] for r in ordering.rank_in_group(df, ["key"], ["v", "id"], [F.col("v")], "rank").collect()}
+    want, place = {}, {}
+    for i, key, _ in sorted(data, key=lambda r: (r[2] is None, r[2], r[0])):
+        place[key] = place.get(key, 0) + 1
+        want[i] = place[key]
+    assert got == want
+    few = ordering.rank_in_group(df, ["key"], ["v", "id"], [F.col("v")], "rank", limit=9)
+    assert {r.id: r["rank"] for r in few.collect()} == {i: r for i, r in want.items() if r <= 9}
+
+
+def test_dense_ids_of_text(spark):
+    df = spark.createDataFrame([(f"é{x % 40:02d}" if x % 3 else None,) for x in range(300)], "c string")
+    got = {r.c: r.g for r in ordering.dense_ids(df, "c", "g").collect()}
+    assert got == {f"é{x:02d}": x + 1 for x in range(40)}
 
 
 def same(got, want):
@@ -65,11 +92,6 @@ def same(got, want):
     )
 
 
-def test_neighbour_rejects_other_split(rows):
-    with pytest.raises(ValueError):
-        ordering.neighbour(rows, ["key"], ["step", "id"], ["value"], "n_", 1, ["id"])
-
-
 @pytest.mark.parametrize("descending", [False, True])
 def test_running_totals(spark, small_cuts, descending):
     rng = random.Random(1)
