@@ -26,8 +26,8 @@ from matchweave.operators.evaluate import confusion_counts, confusion_report
 LABEL = "label"
 
 
-def forest(trees: int = 500, depth: int = 10, seed: int = 42) -> RandomForestClassifier:
-    """Random forest trying sqrt(p) variables per split."""
+def forest(trees: int = 500, depth: int = 30, seed: int = 42) -> RandomForestClassifier:
+    """Random forest of trees grown as deep as MLlib allows, trying sqrt(p) variables per split."""
     return RandomForestClassifier(
         labelCol=LABEL, numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed
     )

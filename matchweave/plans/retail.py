@@ -230,7 +230,7 @@ class RetailStudy:
     def features(self) -> DataFrame:
         """Features of every member, those without any code included."""
         found = stage(self.lookback(), "found")
-        return features.backfill(found, self.members.drop("index_date"), "person", "brand")
+        return stage(features.backfill(found, self.members.drop("index_date"), "person", "brand"), "features")
 
     @cached_property
     def brand_names(self) -> list[str]:
