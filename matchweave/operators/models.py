@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
@@ -131,17 +133,23 @@ def cross_validate(
     return validator.fit(ready)
 
 
+def side_by_side(work, items, parallelism: int = 4) -> list:
+    """Results of independent fits, a few at a time, in the order of the items."""
+    with ThreadPoolExecutor(parallelism) as pool:
+        return list(pool.map(work, items))
+
+
 def out_of_fold(
     train: DataFrame, columns: Sequence[str], estimator, group: str, ids: Sequence[str], folds: int = 10, seed: int = 42
 ) -> DataFrame:
     """Prediction of every training row by a model that has not seen its matched group."""
     folded = train.withColumn("fold", fold_of(group, folds, seed))
-    scored = None
-    for i in range(folds):
+
+    def one(i: int) -> DataFrame:
         model = fit(folded.where(F.col("fold") != i), columns, estimator)
-        part = predict(model, folded.where(F.col("fold") == i), ids)
-        scored = part if scored is None else scored.unionByName(part)
-    return scored
+        return predict(model, folded.where(F.col("fold") == i), ids)
+
+    return reduce(DataFrame.unionByName, side_by_side(one, range(folds)))
 
 
 def tree_size_table(
@@ -159,13 +167,16 @@ def tree_size_table(
         {base.maxDepth: d, base.minInfoGain: g} for d in depths for g in gains
     ]
     validated = cross_validate(train, columns, base, group, folds, grid, seed)
-    rows = []
-    for params, accuracy in zip(grid, validated.avgMetrics):
+
+    def one(point) -> tuple:
+        params, accuracy = point
         depth, gain = params[base.maxDepth], params[base.minInfoGain]
         model = fit(train, columns, tree(depth, gain, seed))
         scored = predict(model, train, [])
         wrong = scored.agg(F.avg((F.col("prediction") != F.col(LABEL)).cast("double"))).first()[0]
-        rows.append((depth, gain, model.stages[-1].numNodes, wrong, 1 - float(accuracy)))
+        return depth, gain, model.stages[-1].numNodes, wrong, 1 - float(accuracy)
+
+    rows = side_by_side(one, zip(grid, validated.avgMetrics))
     return train.sparkSession.createDataFrame(
         rows, "max_depth int, min_gain double, n_nodes int, train_error double, cv_error double"
     )
@@ -198,13 +209,13 @@ def poisson_count(key: str, seed: int) -> Column:
     """How often a bootstrap replicate draws a row: a Poisson(1) count from the row's hash.
 
     The draw depends on the row alone, so it is the same wherever and however often the
-    row is computed.
+    row is computed. Draws end where the chance left is below the hash's resolution.
     """
-    bits = 52
+    bits, most = 52, 19
     unit = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << bits)) / F.lit(float(1 << bits))
-    chance, reached, count = math.exp(-1.0), math.exp(-1.0), F.lit(12)
+    chance, reached, count = math.exp(-1.0), math.exp(-1.0), F.lit(most)
     steps = []
-    for k in range(12):
+    for k in range(most):
         steps.append((reached, k))
         chance /= k + 1
         reached += chance
@@ -217,13 +228,15 @@ def glm_bootstrap(
     train: DataFrame, columns: Sequence[str], key: str, replicates: int = 25, seed: int = 42
 ) -> DataFrame:
     """Accuracy and kappa of the logistic GLM on the rows each bootstrap replicate leaves out."""
-    rows = []
-    for i in range(replicates):
+
+    def one(i: int) -> tuple:
         weighted = train.withColumn("weight", poisson_count(key, seed + i).cast("double"))
         drawn = weighted.where(F.col("weight") > 0)
         used = varying_columns(drawn, columns)
         model = fit(drawn, used, logistic_glm().setWeightCol("weight"))
         scored = predict(model, weighted.where(F.col("weight") == 0), [])
         report = confusion_report(confusion_counts(scored, LABEL, "prediction")).first()
-        rows.append((i + 1, report["accuracy"], report["kappa"]))
+        return i + 1, report["accuracy"], report["kappa"]
+
+    rows = side_by_side(one, range(replicates))
     return train.sparkSession.createDataFrame(rows, "replicate int, accuracy double, kappa double")

@@ -11,6 +11,8 @@ from matchweave.functions.exprs import hash_bucket, hash_order, safe_name
 from matchweave.functions.ordering import group_median, rank_in_group
 from matchweave.sources.store import broadcast_if_small, stage
 
+# Rows of a training table in one partition, about.
+ROWS_PER_PARTITION = 50_000
 # A wide table is for a chosen list of codes, not for a whole dictionary.
 MAX_CODES = 5_000
 COUNT_PREFIX = "n_"
@@ -172,6 +174,12 @@ def group_split(groups: DataFrame, group: str, fraction: float, seed: int, out:
     )
 
 
+def training_partitions(members: DataFrame) -> int:
+    """Partitions for a training table: by its rows, and one per core at least."""
+    cores = members.sparkSession.sparkContext.defaultParallelism
+    return max(cores, members.count() // ROWS_PER_PARTITION + 1)
+
+
 def split_parts(wide: DataFrame, part: str = "part") -> tuple[DataFrame, DataFrame]:
     """Rows of the train groups and of the test groups."""
     train, test = (wide.where(F.col(part) == p).drop(part) for p in ("train", "test"))

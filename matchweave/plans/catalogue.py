@@ -1029,21 +1029,20 @@ def rf_predictions(s: RetailStudy) -> DataFrame:
 
 @query()
 def rf_reduced(s: RetailStudy) -> DataFrame:
-    return _predictions(s, models.forest(trees=100), top=15)
+    return _predictions(s, models.forest(), top=15)
 
 
 @query()
 def rf_importance(s: RetailStudy) -> DataFrame:
     train, _ = s.train_test
     columns = wide.feature_columns(train)
-    return models.importance(models.fit(train, columns, models.forest(trees=100)), columns, train)
+    return models.importance(models.fit(train, columns, models.forest()), columns, train)
 
 
 @query()
 def rf_cv(s: RetailStudy) -> DataFrame:
     train, _ = s.train_test
-    forest = models.forest(trees=20, depth=5)
-    found = models.cross_validate(train, wide.feature_columns(train), forest, "group_id", folds=10)
+    found = models.cross_validate(train, wide.feature_columns(train), models.forest(), "group_id", folds=10)
     return s.spark.createDataFrame(
         [(10, float(found.avgMetrics[0]), float(found.stdMetrics[0]))],
         "folds int, accuracy double, accuracy_sd double",
@@ -1055,7 +1054,7 @@ def rf_error(s: RetailStudy) -> DataFrame:
     """Error and confusion of the forest on rows its trees have not seen."""
     train, _ = s.train_test
     scored = models.out_of_fold(
-        train, wide.feature_columns(train), models.forest(trees=50, depth=5), "group_id", ["person"], folds=5
+        train, wide.feature_columns(train), models.forest(), "group_id", ["person"], folds=10
     )
     counts = evaluate.confusion_counts(scored, models.LABEL, "prediction")
     return evaluate.confusion_report(counts).withColumn("error", 1 - F.col("accuracy"))
@@ -1079,7 +1078,7 @@ def tree_predictions(s: RetailStudy) -> DataFrame:
 @query()
 def tree_size_table(s: RetailStudy) -> DataFrame:
     train, _ = s.train_test
-    return models.tree_size_table(train, wide.feature_columns(train), "group_id", [1, 3, 5], [0.0, 0.01], folds=5)
+    return models.tree_size_table(train, wide.feature_columns(train), "group_id", [1, 3, 5], [0.0, 0.01], folds=10)
 
 
 @query()
@@ -1092,7 +1091,7 @@ def glm_summary(s: RetailStudy) -> DataFrame:
 @query()
 def glm_bootstrap(s: RetailStudy) -> DataFrame:
     train, _ = s.train_test
-    return models.glm_bootstrap(train, wide.feature_columns(train), "person", replicates=5)
+    return models.glm_bootstrap(train, wide.feature_columns(train), "person", replicates=25)
 
 
 @query()

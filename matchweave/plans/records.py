@@ -401,9 +401,9 @@ class RecordStudy:
         s = self.settings
         split = wide.group_split(self.members, "group_id", s.train_share, s.seed)
         table = self.wide(balanced, keep="all").join(split, "group_id")
-        # Fitting passes over the rows many times: spread them evenly over all cores once.
-        cores = table.sparkSession.sparkContext.defaultParallelism
-        return wide.split_parts(stage(table.repartition(cores, "group_id"), "model_table"))
+        # Fitting passes over the rows many times: spread them evenly once.
+        parts = wide.training_partitions(self.members)
+        return wide.split_parts(stage(table.repartition(parts, "group_id"), "model_table"))
 
     def contrast(self, balanced: bool = True) -> DataFrame:
         """Mean and median of value and count by code and class."""

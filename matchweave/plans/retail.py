@@ -255,8 +255,7 @@ class RetailStudy:
     @cached_property
     def train_test(self) -> tuple[DataFrame, DataFrame]:
         split = wide.group_split(self.members, "group_id", 0.75, SEED)
-        # Fitting passes over the rows many times: spread them evenly over all cores once.
-        cores = self.spark.sparkContext.defaultParallelism
-        joined = self.model_table().join(split, "group_id").repartition(cores, "group_id")
-        ready = stage(joined, "model_table")
-        return wide.split_parts(ready)
+        # Fitting passes over the rows many times: spread them evenly once.
+        parts = wide.training_partitions(self.members)
+        joined = self.model_table().join(split, "group_id").repartition(parts, "group_id")
+        return wide.split_parts(stage(joined, "model_table"))
