@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchweave.llm.shared import write_stage
-from matchweave.sources.store import new_path
+from matchweave.sources.store import broadcast_if_small, new_path
 
 CHUNK = 1 << 20
 # A writing task begins a new file when this many bytes are written.
@@ -63,8 +63,12 @@ def planned(pages: DataFrame, minimum: int = 0) -> DataFrame:
     numbered = numbered.withColumn("row", F.monotonically_increasing_id()).withColumn("key", F.sha2("payload", 256))
     staged, _ = write_stage(numbered, "pages")
     order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")
-    first = staged.where(F.length("payload") >= minimum).groupBy("key").agg(F.min(order).alias("first"))
-    joined = staged.join(first, "key", "left")
+    first = staged.where(F.length("payload") >= minimum).groupBy("key").agg(
+        F.min(order).alias("first"), F.count(F.lit(1)).alias("many")
+    )
+    # Most payloads occur once; unless very many repeat, no payload need be moved to find them.
+    repeated, _ = write_stage(first.where("many > 1").select("key", "first"), "repeated")
+    joined = staged.join(broadcast_if_small(repeated), "key", "left")
     repeats = F.col("first").isNotNull() & (F.col("first.row") != F.col("row"))
     return joined.select(
         "page_id",
