@@ -521,7 +521,7 @@ _FREQUENT = (
 
 
 def _frequent(s: RetailStudy) -> DataFrame:
-    events = s.brand_events.join(s.persons.select("person", "segment"), "person")
+    events = s.brand_events_of(s.cases).join(s.persons.select("person", "segment"), "person")
     return features.frequent_codes(
         s.cases, events, ["person", "segment"], "brand", "index_date", "event_date", GAP_DAYS,
         k=15, exclude=["Brand#3", "Brand#7"], keep=10,

@@ -49,11 +49,16 @@ class RetailStudy:
     @property
     def events(self) -> DataFrame:
         """Person-event log with its event code (part) and value."""
-        orders = self.table("orders").select(
+        return self._log(self._dated_orders())
+
+    def _dated_orders(self) -> DataFrame:
+        return self.table("orders").select(
             F.col("o_orderkey"),
             F.col("o_custkey").alias("person"),
             F.col("o_orderdate").cast("date").alias("event_date"),
         )
+
+    def _log(self, orders: DataFrame) -> DataFrame:
         lines = self.table("lineitem").select(
             F.col("l_orderkey").alias("o_orderkey"),
             "l_linenumber",
@@ -63,11 +68,19 @@ class RetailStudy:
         )
         return lines.join(orders, "o_orderkey")
 
+    def _by_brand(self, events: DataFrame) -> DataFrame:
+        brands = self.table("part").select(F.col("p_partkey").alias("code"), F.col("p_brand").alias("brand"))
+        return events.join(brands, "code").select("person", "event_date", "brand", "value")
+
     @property
     def brand_events(self) -> DataFrame:
         """The same log coded by brand."""
-        brands = self.table("part").select(F.col("p_partkey").alias("code"), F.col("p_brand").alias("brand"))
-        return self.events.join(brands, "code").select("person", "event_date", "brand", "value")
+        return self._by_brand(self.events)
+
+    def brand_events_of(self, persons: DataFrame) -> DataFrame:
+        """The log of some persons, who are looked up among the orders before the lines are joined."""
+        listed = broadcast_if_small(persons.select("person").distinct())
+        return self._by_brand(self._log(self._dated_orders().join(listed, "person", "left_semi")))
 
     def codes(self, pattern: str = "%gizmo", max_size: int = 5) -> DataFrame:
         found = cases.code_list(

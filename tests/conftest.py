@@ -1,5 +1,6 @@
 import datetime
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -7,6 +8,8 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
+from matchweave.sources.store import drop_staged  # noqa: E402
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -17,10 +20,12 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "6g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="matchweave-tests-"))
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    drop_staged(session)
     session.stop()
 
 
