@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,9 +30,13 @@ VOCABULARY = 1024
 # Letters of the beginnings of longer words.
 BEGINNINGS = (4, 5)
 LEAST_DOCS = 5
-LEAST_Z = 4.0
+LEAST_Z = 5.5
+LEAST_ODDS = 4.0
 FOLDS = 3
-SPARSE = 5e-5
+# The vocabulary is already small; a stronger penalty would let no word decide alone.
+SPARSE = 1e-6
+RIDGE = 1e-6
+STEPS = 600
 THRESHOLD = 0.5
 # Words that mark the weak labels of the categories before the last. A labelled
 # toxic document belongs to a category if it holds one of its words.
@@ -68,27 +73,42 @@ def _marked(sample: DataFrame, categories: dict[str, Sequence[str]]) -> DataFram
     return chosen.mapInArrow(mark, "doc_id string, words array<string>, marks array<long>")
 
 
-def _vocabulary(marked: DataFrame, kinds: int) -> list[str]:
-    """Words whose share of documents differs most between a category and the rest.
+def _numbered(marked: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """``held``, the places in the vocabulary of the words that a text holds, and its ``marks``."""
+    names = pa.array(vocabulary, pa.string())
 
-    Counted over the sample; at most ``VOCABULARY`` words, each significant in one category.
+    def number(batches):
+        for batch in batches:
+            words = batch.column(0)
+            places = pc.index_in(words.flatten(), value_set=names)
+            known = np.asarray(places.is_valid())
+            rows = np.repeat(np.arange(len(words)), np.asarray(words.value_lengths()))[known]
+            ends = np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=len(words))))).astype(np.int32)
+            held = pa.ListArray.from_arrays(pa.array(ends), places.drop_null())
+            yield pa.RecordBatch.from_arrays([held, batch.column(1)], ["held", "marks"])
+
+    return marked.select("words", "marks").mapInArrow(number, "held array<int>, marks array<long>")
+
+
+def _vocabulary(marked: DataFrame) -> list[str]:
+    """Words that toxic documents of the sample hold significantly and many times more often.
+
+    At most ``VOCABULARY`` of them. Only toxicity chooses: the weak labels of the categories
+    before it also go along with the language, whose common words say nothing of toxicity.
     """
-    totals = marked.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col("marks")[i]).alias(f"m{i}") for i in range(kinds)]).first()
-    counts = marked.select(F.explode("words").alias("word"), "marks").groupBy("word").agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(F.col("marks")[i]).alias(f"m{i}") for i in range(kinds)]
-    )
-    scores = []
-    for i in range(kinds):
-        inside, all_docs = float(totals[f"m{i}"] or 0), float(totals["n"] or 0)
-        if not 0 < inside < all_docs:
-            continue
-        share = F.col("n") / all_docs
-        expected, spread = inside * share, F.sqrt(inside * share * (1 - share) * (1 - inside / all_docs) + 1e-9)
-        scores.append(F.abs(F.col(f"m{i}") - expected) / spread)
-    if not scores:
+    toxic = F.element_at("marks", -1)
+    totals = marked.agg(F.count(F.lit(1)).alias("n"), F.sum(toxic).alias("toxic")).first()
+    inside, all_docs = float(totals["toxic"] or 0), float(totals["n"] or 0)
+    if not 0 < inside < all_docs:
         return []
-    z = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    rows = counts.where(F.col("n") >= LEAST_DOCS).select("word", z.alias("z")).where(F.col("z") >= LEAST_Z)
+    counts = marked.select(F.explode("words").alias("word"), toxic.alias("toxic")).groupBy("word").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("m")
+    )
+    share = F.col("n") / all_docs
+    spread = F.sqrt(inside * share * (1 - share) * (1 - inside / all_docs) + 1e-9)
+    odds = (F.col("m") + 0.5) / (F.col("n") - F.col("m") + 0.5) / ((inside + 0.5) / (all_docs - inside + 0.5))
+    rows = counts.where(F.col("n") >= LEAST_DOCS).select("word", ((F.col("m") - inside * share) / spread).alias("z"), odds.alias("odds"))
+    rows = rows.where((F.col("z") >= LEAST_Z) & (F.col("odds") >= LEAST_ODDS))
     return [r["word"] for r in rows.orderBy(F.desc("z"), "word").limit(VOCABULARY).collect()]
 
 
@@ -118,6 +138,11 @@ def cells(held: Sequence[Sequence[int]], width: int) -> Cells:
     return Cells(rows, cols, (len(held), width))
 
 
+def cells_of(held: pa.ListArray, width: int) -> Cells:
+    rows = np.repeat(np.arange(len(held)), np.asarray(held.value_lengths()))
+    return Cells(rows, np.asarray(held.flatten()).astype(np.int64), (len(held), width))
+
+
 def fit_chain(x: Cells, marks: np.ndarray, folds: int = FOLDS) -> list[np.ndarray]:
     """Weights of each category's model; earlier categories enter by out-of-fold probabilities."""
     out, fold = [], np.arange(x.shape[0]) % folds
@@ -126,8 +151,8 @@ def fit_chain(x: Cells, marks: np.ndarray, folds: int = FOLDS) -> list[np.ndarra
         beyond = np.zeros(x.shape[0])
         for f in range(folds):
             seen = fold != f
-            beyond[~seen] = predict(x.some(~seen), fit_logistic(x.some(seen), y[seen], SPARSE))
-        out.append(fit_logistic(x, y, SPARSE))
+            beyond[~seen] = predict(x.some(~seen), fit_logistic(x.some(seen), y[seen], SPARSE, RIDGE, STEPS))
+        out.append(fit_logistic(x, y, SPARSE, RIDGE, STEPS))
         x = x.with_column(beyond)
     return out
 
@@ -142,12 +167,12 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Sequence[str]]
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `sample` ids
     marked, _ = write_stage(_marked(joined, categories), "marked")
     names = [*categories, TOXIC]
-    vocabulary = {w: i for i, w in enumerate(_vocabulary(marked, len(names)))}
-    held = F.array_intersect("words", F.lit(list(vocabulary)) if vocabulary else F.array().cast("array<string>"))
+    vocabulary = {w: i for i, w in enumerate(_vocabulary(marked))}
     # A repeated id brings all its rows, so the bound is set again on what comes to the driver.
-    rows = marked.select("doc_id", held.alias("held"), "marks").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
-    x = cells([[vocabulary[w] for w in r["held"]] for r in rows], len(vocabulary))
-    marks = np.array([r["marks"] for r in rows], int).reshape(len(rows), len(names))
+    chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = _numbered(chosen, list(vocabulary)).toArrow()
+    x = cells_of(rows.column("held").combine_chunks(), len(vocabulary))
+    marks = np.array(rows.column("marks").to_pylist(), int).reshape(rows.num_rows, len(names))
     return Chain(names, vocabulary, fit_chain(x, marks))
 
 

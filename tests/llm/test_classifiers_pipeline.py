@@ -71,12 +71,12 @@ def test_chain_equals_its_parts_one_after_another():
     x = toxicity.cells(held, 6)
     first = np.array([0 in h for h in held], int)
     marks = np.stack([first, ((first == 1) | np.array([1 in h for h in held])).astype(int)], axis=1)
-    weights = toxicity.fit_chain(x, marks)
+    weights, how = toxicity.fit_chain(x, marks), (toxicity.SPARSE, toxicity.RIDGE, toxicity.STEPS)
     fold, beyond = np.arange(300) % toxicity.FOLDS, np.zeros(300)
     for f in range(toxicity.FOLDS):
-        beyond[fold == f] = linear.predict(x.some(fold == f), linear.fit_logistic(x.some(fold != f), marks[fold != f, 0].astype(float), toxicity.SPARSE))
-    assert np.allclose(weights[0], linear.fit_logistic(x, marks[:, 0].astype(float), toxicity.SPARSE))
-    assert np.allclose(weights[1], linear.fit_logistic(x.with_column(beyond), marks[:, 1].astype(float), toxicity.SPARSE))
+        beyond[fold == f] = linear.predict(x.some(fold == f), linear.fit_logistic(x.some(fold != f), marks[fold != f, 0].astype(float), *how))
+    assert np.allclose(weights[0], linear.fit_logistic(x, marks[:, 0].astype(float), *how))
+    assert np.allclose(weights[1], linear.fit_logistic(x.with_column(beyond), marks[:, 1].astype(float), *how))
     assert len(weights[1]) == len(weights[0]) + 1
 
 
