@@ -13,10 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchweave.llm.shared import write_stage
 from matchweave.llm.tokens import default_vocabulary, encoder_of, slices
 
 # Lengths per range of the two-level sums.
-RANGE = 1024
+RANGE = 128
 
 
 def encoded_lengths(docs: DataFrame, vocabulary: str | None = None, text: str = "text") -> DataFrame:
@@ -44,8 +45,9 @@ def every_limit(histogram: DataFrame) -> DataFrame:
     ``docs`` of that length, ``docs_within`` and ``docs_longer`` (up to and over the limit),
     ``tokens_total``, ``tokens_kept`` (each document cut at the limit), ``tokens_lost`` and
     ``quantile`` (share of documents up to the limit). Limits between two lengths follow
-    with `at_limits`.
+    with `at_limits`. The histogram is written once, as it is passed over twice.
     """
+    histogram, _ = write_stage(histogram, "histogram")
     ranged = histogram.withColumn("__range", F.floor(F.col("length") / RANGE))
     tokens = (F.col("length") * F.col("docs")).alias("__tokens")
     per_range = ranged.select("*", tokens).groupBy("__range").agg(
