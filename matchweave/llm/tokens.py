@@ -22,7 +22,7 @@ import pyarrow as pa
 # Texts taken from an Arrow batch at a time, so that no copy of a whole batch is held.
 TEXTS_AT_ONCE = 256
 # Parts kept by a worker before the older half is forgotten, and the longest part kept.
-REMEMBERED = 300_000
+REMEMBERED = 160_000
 LONGEST = 48
 # Fixed values of the vocabulary's splitting rule, for lower-cased characters below U+0100.
 LETTERS = "a-zªµºß-öø-ÿ"
