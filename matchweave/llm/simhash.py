@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchweave.llm.components import components
+from matchweave.llm.minhash import row_classes
 from matchweave.llm.shared import drop_stage, write_stage
 from matchweave.llm.tokens import slices
 from matchweave.sources.store import broadcast_if_small
@@ -233,16 +234,16 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents with one left of each near-duplicate class, that with the smallest doc_id.
+    """The documents with one left of each class of near copies, that with the smallest doc_id.
 
-    Of rows that repeat this id the first is kept; null ids come last. The input is written
-    once with its rows numbered.
+    The classes are those of `minhash`, by five-word likeness of 0.8 or more: such texts
+    differ in about ten bits of a fingerprint, where bits no longer tell copies from others.
+    Of rows that repeat the smallest id the first is kept; null ids come last. The input is
+    written once with its rows numbered.
     """
     names = docs.columns
     numbered, _ = write_stage(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    of_rows = fingerprints(numbered, "__row").withColumnRenamed("doc_id", "__row")
-    of_rows, _ = write_stage(of_rows, "fingerprints")
-    ids = numbered.select("__row", "doc_id").join(of_rows, "__row").join(class_roots(of_rows), "fp")
+    ids = numbered.select("__row", "doc_id").join(row_classes(numbered), "__row")
     ids, _ = write_stage(ids.select("__row", "doc_id", "root"), "classes")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")
     kept = ids.groupBy("root").agg(F.min(order).alias("first"))
