@@ -31,7 +31,7 @@ def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op2_winnowing(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprints of every text and its edited text, and their likeness."""
-    return winnow.with_edits(documents(spark, folder)).drop("marks")
+    return winnow.with_edits(documents(spark, folder), rolled=True).drop("marks")
 
 
 @query

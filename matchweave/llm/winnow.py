@@ -1,10 +1,14 @@
 """Document fingerprints by winnowing, as DataFrame expressions.
 
-A text is a sequence of tokens: words of `[^\\x20\\x09-\\x0D]+`, longer ones cut every eight
-code points, so that texts without spaces have tokens too. Every run of k tokens is hashed;
-of each window of w such hashes the smallest is chosen, of equal ones the rightmost, and
-its position is kept. Any run of w + k - 1 tokens that two texts share is therefore seen by
-at least one hash chosen in both.
+A text is a sequence of tokens. Rolled, as `op2_winnowing` takes them, they are the words of
+`[^\\x20\\x09-\\x0D]+` up to eight code points and, in longer ones, the eight code points
+from each place on, so that a passage is found wherever it lies in a text without spaces.
+Tiled tokens cut longer words every eight code points counted from the word's start: they
+are fewer, but a passage in such a word is found only at the same offset modulo eight.
+
+Every run of k tokens is hashed; of each window of w such hashes the smallest is chosen, of
+equal ones the rightmost, and its position is kept. Any run of w + k - 1 tokens that two
+texts share is therefore seen by at least one hash chosen in both.
 
 Hash and position share one number, the hash above and the position counted down below, so
 the smallest number of a window is the choice, and windows are reduced by doubling.
@@ -21,6 +25,8 @@ from pyspark.sql import functions as F
 K = 3
 WINDOW_DOUBLINGS = 2  # windows of 2 ** 2 = 4 hashes
 TOKEN = r"[^\x20\x09-\x0D]{1,8}"
+# Looks ahead from each place: eight code points, or a whole word of fewer (group 1).
+ROLLED = r"(?=([^\x20\x09-\x0D]{8}|(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]{1,7}(?![^\x20\x09-\x0D])))[^\x20\x09-\x0D]"
 POSITIONS = (1 << 31) - 1
 # Ranges of ids per shuffle partition, so that each task gets several.
 RANGES = 4
@@ -47,14 +53,15 @@ def chosen(tokens: str, k: int = K, doublings: int = WINDOW_DOUBLINGS) -> list[t
     return out
 
 
-def token_hashes(text: str) -> Column:
-    return F.transform(F.regexp_extract_all(F.col(text), F.lit(TOKEN), F.lit(0)), lambda t: F.xxhash64(t))
+def token_hashes(text: str, rolled: bool = False) -> Column:
+    found = (F.lit(ROLLED), F.lit(1)) if rolled else (F.lit(TOKEN), F.lit(0))
+    return F.transform(F.regexp_extract_all(F.col(text), *found), lambda t: F.xxhash64(t))
 
 
-def with_fingerprint(df: DataFrame, text: str, out: str, k: int = K, doublings: int = WINDOW_DOUBLINGS) -> DataFrame:
+def with_fingerprint(df: DataFrame, text: str, out: str, k: int = K, doublings: int = WINDOW_DOUBLINGS, rolled: bool = False) -> DataFrame:
     """Adds ``<out>_chosen`` (hash and position in one number each) for a text column."""
     names = df.columns
-    df = df.withColumn(out, token_hashes(text))
+    df = df.withColumn(out, token_hashes(text, rolled))
     for name, step in chosen(out, k, doublings):
         df = df.withColumn(name, step)
     return df.select(*names, f"{out}_chosen")
@@ -121,13 +128,13 @@ def beside_next(docs: DataFrame) -> DataFrame:
     )
 
 
-def with_edits(docs: DataFrame, k: int = K, doublings: int = WINDOW_DOUBLINGS) -> DataFrame:
+def with_edits(docs: DataFrame, k: int = K, doublings: int = WINDOW_DOUBLINGS, rolled: bool = False) -> DataFrame:
     """Fingerprints of every text, of its edited text, and how alike they and the next one are.
 
     The edited text has its last half, rounded down, replaced by as many code points from the
     start of the next document by descending doc_id; after the last comes the first. Columns:
     doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next,
-    marks (chosen hashes with token positions). One row per input row.
+    marks (chosen hashes with token positions). One row per input row. ``rolled`` chooses the tokens.
     """
     along = Window.partitionBy("__range").orderBy("__own", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
@@ -136,11 +143,11 @@ def with_edits(docs: DataFrame, k: int = K, doublings: int = WINDOW_DOUBLINGS) -
         .withColumn("n_chars", F.char_length("text").cast("long"))
         .withColumn("__next", F.lag("text").over(along))
     )
-    rows = with_fingerprint(rows, "text", "own", k, doublings).withColumn("__hashes", hashes("own_chosen"))
+    rows = with_fingerprint(rows, "text", "own", k, doublings, rolled).withColumn("__hashes", hashes("own_chosen"))
     rows = rows.withColumn("__next_hashes", F.lag("__hashes").over(along)).where("__own")
     kept = F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - half).cast("int"))
     rows = rows.withColumn("__edited", F.concat(kept, F.substring(F.col("__next"), F.lit(1), half)))
-    rows = with_fingerprint(rows, "__edited", "edit", k, doublings).withColumn("__edit_hashes", hashes("edit_chosen"))
+    rows = with_fingerprint(rows, "__edited", "edit", k, doublings, rolled).withColumn("__edit_hashes", hashes("edit_chosen"))
     return rows.select(
         "doc_id",
         "n_chars",
