@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchweave.llm import langid, mixing, packing, quality, simhash, token_counts, topk, toxicity, warc, winnow
+from matchweave.llm import (
+    jaccard,
+    langid,
+    mixing,
+    negatives,
+    packing,
+    quality,
+    simhash,
+    token_counts,
+    topk,
+    toxicity,
+    trie,
+    warc,
+    winnow,
+)
 from matchweave.llm.shared import columns
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,6 +102,25 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(columns(spark.read.parquet(f"{folder}/pages.parquet"), "page_id", "url", "html"))
 
 
+@query
+def op11_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Set size and class of every document, by links of a four-word likeness of 85 %."""
+    return jaccard.classes(documents(spark, folder))
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Negatives just below the positives of every vector whose id is divisible by 100."""
+    vectors = columns(spark.read.parquet(f"{folder}/embeddings.parquet"), "vec_id", "embedding", "label")
+    return negatives.mine(vectors, every=100)
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """The nodes of the prefix trie of all rebuilt conversations."""
+    return trie.trie_of_rebuilt(spark.read.parquet(f"{folder}/conversations.parquet"))
+
+
 ORACLES["op10_warc"] = """
 WITH p AS (
     SELECT page_id, coalesce(html, '') AS html FROM pages
@@ -130,3 +163,105 @@ SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
 WHERE n <= 5
 """
+
+ORACLES["op12_hard_negatives"] = """
+WITH v AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT a.vec_id AS anchor_id, a.label AS own, c.vec_id, c.label,
+           CAST(list_inner_product(a.e, c.e) AS BIGINT) AS score
+    FROM v a JOIN v c ON c.vec_id <> a.vec_id
+    WHERE a.vec_id % 100 = 0
+), p AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score
+    FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS n FROM s WHERE label = own)
+    WHERE n <= 5
+), m AS (
+    SELECT p.anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score,
+           row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS n
+    FROM p JOIN s ON p.anchor_id = s.anchor_id AND s.label <> s.own
+     AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+)
+SELECT anchor_id, positive_id, CAST(n AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM m WHERE n <= 5
+"""
+
+ORACLES["op11_jaccard_join"] = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), g AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g
+    FROM w
+), n AS (
+    SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id
+), l AS (
+    SELECT x.doc_id AS a, y.doc_id AS b
+    FROM g x JOIN g y ON x.g = y.g AND x.doc_id <> y.doc_id JOIN n p ON p.doc_id = x.doc_id JOIN n q ON q.doc_id = y.doc_id
+    GROUP BY x.doc_id, y.doc_id, p.n, q.n
+    HAVING 100 * count(*) >= 85 * (p.n + q.n - count(*))
+), r(doc_id, reached) AS (
+    SELECT doc_id, doc_id FROM documents
+    UNION
+    SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.reached
+)
+SELECT r.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(reached) AS component_id
+FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
+"""
+
+# The bits of crc32 one by one: h is the last two of them.
+ORACLES["op13_prefix_trie"] = r"""
+WITH own AS (
+    SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS n
+    FROM conversations WHERE conv_id IS NOT NULL
+), heads AS (
+    SELECT c, CAST(4294967295 - list_reduce(
+        list_transform(string_split(CAST(c AS VARCHAR), ''), lambda d: CAST(ord(d) AS BIGINT)),
+        lambda crc, d: list_reduce(range(0, 8), lambda x, i:
+            CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END, xor(crc, d)),
+        CAST(4294967295 AS BIGINT)) AS BIGINT) % 4 AS h
+    FROM (SELECT DISTINCT c FROM own)
+), lines AS (
+    SELECT heads.c, n, role, text FROM heads JOIN own ON own.c = heads.c - heads.c % 20 WHERE n <= h
+    UNION ALL
+    SELECT heads.c, 3 + n, role, text FROM heads JOIN own ON own.c = heads.c WHERE n > h
+), steps AS (
+    SELECT c, row_number() OVER (PARTITION BY c ORDER BY n) AS d,
+           sha256(role || chr(1) || text) AS id, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words
+    FROM lines
+), paths AS (
+    SELECT c, d, words, string_agg(id, '/') OVER (PARTITION BY c ORDER BY d) AS path,
+           coalesce(string_agg(id, '/') OVER (PARTITION BY c ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS above
+    FROM steps
+    UNION ALL
+    SELECT c, 0, 0, '', NULL FROM heads
+), sized AS (
+    SELECT *, max(d) OVER (PARTITION BY c) AS total FROM paths
+), node AS (
+    SELECT path, any_value(above) AS above, min(c) AS conv_id, d AS depth, count(*) AS n_convs, any_value(words) AS words,
+           sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE d = total), '')) AS ends_sha256
+    FROM sized GROUP BY path, d
+), kids AS (
+    SELECT above, count(*) AS n FROM node WHERE depth > 0 GROUP BY above
+), below AS (
+    SELECT s.path, t.path AS under, t.n_convs, t.words, kids.n AS kids
+    FROM (SELECT DISTINCT x.path, y.path AS under FROM sized x JOIN sized y ON x.c = y.c AND x.d <= y.d) s
+    JOIN node t ON t.path = s.under LEFT JOIN kids ON kids.above = t.path
+), sums AS (
+    SELECT path, count(*) FILTER (WHERE kids IS NULL) AS n_leaves, sum((n_convs - 1) * words) AS saved_tokens
+    FROM below GROUP BY path
+)
+SELECT node.conv_id, CAST(node.depth AS BIGINT) AS depth, up.conv_id AS parent_conv_id, node.n_convs,
+       CAST(coalesce(kids.n, 0) AS BIGINT) AS n_children, sums.n_leaves, CAST(sums.saved_tokens AS BIGINT) AS saved_tokens,
+       node.ends_sha256
+FROM node JOIN sums ON sums.path = node.path LEFT JOIN kids ON kids.above = node.path
+LEFT JOIN node up ON up.path = node.above AND node.depth > 0
+"""
