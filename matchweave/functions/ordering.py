@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, NumericType, TimestampType
+from pyspark.sql.types import DateType, NumericType, StructField, StructType, TimestampType
 
 from matchweave.sources.store import stage
 
@@ -164,6 +164,57 @@ def dense_ids(df: DataFrame, column: str, out: str) -> DataFrame:
     return numbered.select(column, (F.col("__before") + F.col("__rn")).cast("long").alias(out))
 
 
+def _parts(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _struct(columns: Sequence[str]) -> Column:
+    """Columns as one comparable value, nulls last in each."""
+    return F.struct(*[p.alias(f"{x}{i}") for i, c in enumerate(columns) for x, p in (("n", F.col(c).isNull()), ("v", F.col(c)))])
+
+
+def hot_bounds(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame | None:
+    """Cuts through the order of each very frequent key: keys and ``__bounds``, rising; None if no key is.
+
+    A sample of rows, by least hashes, has a fixed size for each shuffle partition, so it and the
+    cuts stay small whatever the table holds. A key with half a partition's share of the sample is
+    frequent; it is cut after as many sampled rows. Any orderable types will do.
+    """
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    chosen = df.where(known).select(*keys, *order)
+    every = SAMPLE_PER_BUCKET // 2
+    sample = chosen.orderBy(F.xxhash64(*keys, *order)).limit(_parts(df) * SAMPLE_PER_BUCKET).toArrow()
+    by_key: dict[tuple, list[dict]] = {}
+    for row in sample.to_pylist():
+        by_key.setdefault(tuple(row[k] for k in keys), []).append(row)
+    rows = []
+    for key, members in by_key.items():
+        if len(members) >= every:
+            members.sort(key=lambda r: [(True,) if r[c] is None else (False, r[c]) for c in order])
+            rows += [(*key, *[r[c] for c in order]) for r in members[every::every]]
+    if not rows:
+        return None
+    schema = StructType([StructField(f"b{i}", chosen.schema[c].dataType) for i, c in enumerate([*keys, *order])])
+    table = df.sparkSession.createDataFrame(rows, schema)
+    names = [f"b{i + len(keys)}" for i in range(len(order))]
+    of_keys = table.groupBy(*[f"b{i}" for i in range(len(keys))]).agg(F.array_sort(F.collect_list(_struct(names))).alias("__bounds"))
+    return of_keys.select(*[F.col(f"b{i}").alias(k) for i, k in enumerate(keys)], "__bounds")
+
+
+def _cut_number(value: Column, bounds: str, most: int) -> Column:
+    """How many of the rising bounds are not above a value, by binary search; 0 without bounds."""
+    steps = [1 << i for i in reversed(range(most.bit_length()))]
+    count = F.coalesce(F.size(bounds), F.lit(0))
+
+    def step(low: Column, width: Column) -> Column:
+        inside = low + width <= count
+        return F.when(inside & (F.try_element_at(F.col(bounds), low + width) <= value), low + width).otherwise(low)
+
+    return F.when(count > 0, F.aggregate(F.array(*[F.lit(w) for w in steps]), F.lit(0), step)).otherwise(F.lit(0))
+
+
 def neighbour(
     df: DataFrame,
     keys: Sequence[str],
@@ -174,31 +225,35 @@ def neighbour(
 ) -> DataFrame:
     """Values of the previous (``step=-1``) or next (``step=1``) row of the same key.
 
-    Adds ``<prefix><value>`` columns, NULL at the end of a key and for rows with a NULL key.
-    The rows are cut into ranges of keys and order, so a key of any size is spread over as
-    many tasks as its share of the rows; the rows at the edge of a range take theirs from
-    the range beyond it.
+    Adds ``<prefix><value>`` columns, NULL at the end of a key and for rows with a NULL key,
+    which are spread over all tasks. A very frequent key is cut along its order (`hot_bounds`)
+    and its rows at the edge of a cut take theirs from the cut beyond it; those edges are as few
+    as the cuts. Where no key is frequent there is nothing to cut, and one window is all.
     """
-    keys, along = list(keys), [*keys, *order]
+    keys = list(keys)
     fn, pick = (F.lag, F.max_by) if step < 0 else (F.lead, F.min_by)
-    payload = F.struct(
-        *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)],
-        *[F.col(v).alias(f"v{i}") for i, v in enumerate(values)],
-    )
-    cut = range_cut(df, along)
-    inside = Window.partitionBy("__cut").orderBy(*[F.col(c).asc_nulls_last() for c in along])
-    position = F.struct(
-        *[part.alias(f"p{i}{j}") for i, c in enumerate(along) for j, part in enumerate((F.col(c).isNull(), F.col(c)))]
-    )
-    # One row per range, and there are as many as shuffle partitions.
-    edges = cut.groupBy("__cut").agg(pick(payload, position).alias("__last"))
-    edges = edges.select("__cut", fn("__last").over(Window.partitionBy(F.lit(0)).orderBy("__cut")).alias("__edge"))
-    joined = cut.withColumn("__in", fn(payload).over(inside)).join(F.broadcast(edges), "__cut")
-    near = joined.withColumn("__near", F.coalesce("__in", "__edge"))
-    same = F.lit(True)
-    for i, k in enumerate(keys):
-        same = same & (F.col(f"__near.k{i}") == F.col(k))
-    added = [F.when(same, F.col(f"__near.v{i}")).alias(f"{prefix}{v}") for i, v in enumerate(values)]
+    none = F.lit(False)
+    for k in keys:
+        none = none | F.col(k).isNull()
+    spread = F.when(none, F.monotonically_increasing_id()).otherwise(F.lit(0).cast("long"))
+    payload = F.struct(*[F.col(v).alias(f"v{i}") for i, v in enumerate(values)])
+    bounds = hot_bounds(df, keys, order)
+    cut = df.withColumn("__spread", spread)
+    if bounds is None:
+        cut = cut.withColumn("__cut", F.lit(0))
+    else:
+        most = _parts(df) * 2
+        placed = cut.join(F.broadcast(bounds), keys, "left")
+        cut = placed.withColumn("__cut", _cut_number(_struct(order), "__bounds", most))
+    inside = Window.partitionBy(*keys, "__cut", "__spread").orderBy(*[F.col(c).asc_nulls_last() for c in order])
+    near = cut.withColumn("__near", fn(payload).over(inside))
+    if bounds is not None:
+        # At most one row for each cut of the frequent keys.
+        edges = cut.where(F.col("__bounds").isNotNull()).groupBy(*keys, "__cut").agg(pick(payload, _struct(order)).alias("__last"))
+        along = Window.partitionBy(*keys).orderBy("__cut")
+        edges = edges.select(*keys, "__cut", fn("__last").over(along).alias("__edge"))
+        near = near.join(F.broadcast(edges), [*keys, "__cut"], "left").withColumn("__near", F.coalesce("__near", "__edge"))
+    added = [F.when(~none, F.col(f"__near.v{i}")).alias(f"{prefix}{v}") for i, v in enumerate(values)]
     return near.select(*df.columns, *added)
 
 

@@ -122,6 +122,27 @@ def asof_attribute(
     return h.join(broadcast_if_small(df), valid).select(*df.columns, out)
 
 
+def covered_throughout(history: DataFrame, person: str, start: str, end: str, first_day: str, last_day: str) -> DataFrame:
+    """Persons whose intervals together cover every day from the first to the last.
+
+    Intervals (both ends inclusive) may touch, overlap or repeat; one without a start or end
+    covers nothing. Starts are moved up to the first day, so a person is left with one row for
+    each day of the window at most, however long the history.
+    """
+    low, high = (F.lit(d).cast("date") for d in (first_day, last_day))
+    known = history.where(F.col(person).isNotNull() & (F.col(start) <= high) & (F.col(end) >= low) & (F.col(start) <= F.col(end)))
+    days = known.groupBy(person, F.greatest(F.col(start), low).alias("__start")).agg(F.max(end).alias("__end"))
+    before = Window.partitionBy(person).orderBy("__start").rowsBetween(Window.unboundedPreceding, -1)
+    reached = F.coalesce(F.max("__end").over(before), F.date_sub(low, 1))
+    return (
+        days.withColumn("__gap", F.col("__start") > F.date_add(reached, 1))
+        .groupBy(person)
+        .agg(F.bool_or("__gap").alias("__gap"), F.max("__end").alias("__end"))
+        .where(~F.col("__gap") & (F.col("__end") >= high))
+        .select(person)
+    )
+
+
 def deaths_before(cases: DataFrame, deaths: DataFrame, person: str, died: str, year: int) -> DataFrame:
     """Cases whose recorded death lies before a year (an empty result is the expected one)."""
     early = deaths.where(F.col(died) < F.lit(f"{year}-01-01").cast("date")).select(person, died)

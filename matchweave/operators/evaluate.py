@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchweave.functions.ordering import running_totals
@@ -124,6 +124,93 @@ def agreement_tests(tp: int, fp: int, fn: int, tn: int, level: float = 0.95) ->
     }
 
 
+def _log_gamma(x: Column) -> Column:
+    """Logarithm of the gamma function of a positive number, by Stirling's series ten places on."""
+    z = x + 10
+    series = 1 / (12 * z) - 1 / (360 * F.pow(z, F.lit(3))) + 1 / (1260 * F.pow(z, F.lit(5))) - 1 / (1680 * F.pow(z, F.lit(7)))
+    steps = F.log(x)
+    for i in range(1, 10):
+        steps = steps + F.log(x + i)
+    return (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + series - steps
+
+
+def _beta_tail(a: Column, b: Column, x: Column) -> Column:
+    """Continued fraction of the incomplete beta function, evaluated from its far end."""
+    # It settles after some square roots of the parameters; further terms change nothing.
+    terms = F.sequence(F.ceil(100 + 5 * F.sqrt(F.greatest(a, b))).cast("int"), F.lit(1), F.lit(-1))
+
+    def step(value: Column, m: Column) -> Column:
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        return 1 + even / (1 + odd / value)
+
+    first = -(a + b) * x / (a + 1)
+    return 1 / (1 + first / F.aggregate(terms, F.lit(1.0), step))
+
+
+def beta_probability(a: Column, b: Column, x: Column) -> Column:
+    """Distribution function of a beta(a, b) variable, as an expression; x lies inside (0, 1)."""
+    front = _log_gamma(a + b) - _log_gamma(a) - _log_gamma(b) + a * F.log(x) + b * F.log1p(-x)
+    return F.when(x < (a + 1) / (a + b + 2), F.exp(front) * _beta_tail(a, b, x) / a).otherwise(
+        1 - F.exp(front) * _beta_tail(b, a, 1 - x) / b
+    )
+
+
+def beta_point(a: Column, b: Column, p: float) -> Column:
+    """Where the distribution function of a beta(a, b) variable reaches p, by halving."""
+    whole = F.struct(F.lit(0.0).alias("low"), F.lit(1.0).alias("high"))
+
+    def halve(ends: Column, _: Column) -> Column:
+        middle = (ends["low"] + ends["high"]) / 2
+        below = beta_probability(a, b, middle) < p
+        return F.struct(
+            F.when(below, middle).otherwise(ends["low"]).alias("low"),
+            F.when(below, ends["high"]).otherwise(middle).alias("high"),
+        )
+
+    ends = F.aggregate(F.sequence(F.lit(1), F.lit(52)), whole, halve)
+    return (ends["low"] + ends["high"]) / 2
+
+
+def _two_sided_normal(z: Column) -> Column:
+    """Probability that a standard normal variable lies further out than z >= 0, on either side."""
+    x = z / math.sqrt(2)
+    near = F.aggregate(
+        F.sequence(F.lit(1), F.lit(60)),
+        F.struct(x.alias("term"), x.alias("total")),
+        lambda s, n: F.struct(
+            (-s["term"] * x * x / n).alias("term"), (s["total"] - s["term"] * x * x / n / (2 * n + 1)).alias("total")
+        ),
+        lambda s: 1 - 2 / math.sqrt(math.pi) * s["total"],
+    )
+    far = F.aggregate(F.sequence(F.lit(120), F.lit(1), F.lit(-1)), x, lambda value, n: x + n / 2 / value)
+    return F.when(x < 2, near).otherwise(F.exp(-x * x) / math.sqrt(math.pi) / far)
+
+
+def agreement_report(counts: DataFrame, level: float = 0.95) -> DataFrame:
+    """Exact accuracy interval, P[accuracy > no-information rate] and McNemar's p-value.
+
+    Binomial tails are beta probabilities; all is computed in expressions over the four counts
+    (tp, fp, fn, tn), one row of tests for each row of counts. Without any row counted all are
+    NULL, and McNemar's is NULL where nothing was misclassified.
+    """
+    tp, fp, fn, tn = (F.col(c).cast("double") for c in ("tp", "fp", "fn", "tn"))
+    sized = counts.select(
+        "*", (tp + fp + fn + tn).alias("__n"), (tp + tn).alias("__x"), F.greatest(tp + fn, tn + fp).alias("__most"), (fp + fn).alias("__moved")
+    )
+    n, x, moved = F.col("__n"), F.col("__x"), F.col("__moved")
+    rate, tail = F.col("__most") / n, (1 - level) / 2
+    changed = F.greatest(F.abs(fp - fn) - 1, F.lit(0.0))
+    some = n > 0
+    return sized.select(
+        *counts.columns,
+        F.when(some, F.when(x == 0, F.lit(0.0)).otherwise(beta_point(x, n - x + 1, tail))).alias("accuracy_low"),
+        F.when(some, F.when(x == n, F.lit(1.0)).otherwise(beta_point(x + 1, n - x, 1 - tail))).alias("accuracy_high"),
+        F.when(some, F.when((x == 0) | (rate == 1), F.lit(1.0)).otherwise(beta_probability(x, n - x + 1, rate))).alias("p_accuracy_over_nir"),
+        F.when(moved > 0, _two_sided_normal(changed / F.sqrt(moved))).alias("p_mcnemar"),
+    )
+
+
 def _score_counts(df: DataFrame, truth: str, score: str, positive: int) -> DataFrame:
     labelled = df.where(F.col(truth).isNotNull() & F.col(score).isNotNull())
     return labelled.groupBy(F.col(score).cast("double").alias("threshold")).agg(

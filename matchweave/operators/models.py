@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -18,6 +19,7 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
+from pyspark.ml.stat import Correlation
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -182,6 +184,47 @@ def tree_size_table(
     )
 
 
+def independent_columns(df: DataFrame, columns: Sequence[str], tolerance: float = 1e-9) -> list[str]:
+    """Columns that are no linear combination of a constant and the columns before them.
+
+    The correlations of all columns are summed up in one aggregation; eliminating them in turn
+    leaves of each column what the earlier ones do not explain, and a column with next to
+    nothing left is dependent. The matrix that reaches the driver is as wide as the model.
+    """
+    varying = varying_columns(df, columns)
+    if len(varying) < 2:
+        return varying
+    assembled = VectorAssembler(inputCols=varying, outputCol="features").transform(df.select(*varying))
+    left = Correlation.corr(assembled, "features").first()[0].toArray()
+    kept = []
+    for i, name in enumerate(varying):
+        if left[i, i] <= tolerance:
+            continue
+        kept.append(name)
+        left = left - np.outer(left[:, i], left[i]) / left[i, i]
+    return kept
+
+
+def glm_table(train: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The logistic GLM's coefficients over all columns; a dependent column has NULL, as it adds nothing.
+
+    Columns as in `glm_summary`, with ``aliased`` true for the columns left out of the fit.
+    """
+    used = independent_columns(train, columns)
+    found = glm_summary(fit(train, used, logistic_glm()), used, train)
+    aliased = [(c,) for c in columns if c not in set(used)]
+    rest = train.sparkSession.createDataFrame(aliased, "variable string").withColumn("aliased", F.lit(True))
+    return found.withColumn("aliased", F.lit(False)).unionByName(rest, allowMissingColumns=True)
+
+
+def score_equations(train: DataFrame, columns: Sequence[str], model: PipelineModel) -> DataFrame:
+    """variable and ``share``: what is left of sum(x * (label - probability)), over sum(|x|), 0 at the best fit."""
+    scored = model.transform(train.withColumn(LABEL, F.col(LABEL).cast("double")))
+    missed = F.col(LABEL) - F.col("prediction")
+    sums = scored.agg(*[F.try_divide(F.sum(F.col(c) * missed), F.sum(F.abs(c))).alias(c) for c in columns])
+    return sums.unpivot([], list(columns), "variable", "share")
+
+
 def glm_summary(model: PipelineModel, columns: Sequence[str], df: DataFrame) -> DataFrame:
     """Coefficient, standard error, z and p per variable, with the fit's deviances and AIC."""
     fitted = model.stages[-1]
@@ -205,14 +248,9 @@ def glm_summary(model: PipelineModel, columns: Sequence[str], df: DataFrame) ->
     )
 
 
-def poisson_count(key: str, seed: int) -> Column:
-    """How often a bootstrap replicate draws a row: a Poisson(1) count from the row's hash.
-
-    The draw depends on the row alone, so it is the same wherever and however often the
-    row is computed. Draws end where the chance left is below the hash's resolution.
-    """
-    bits, most = 52, 19
-    unit = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << bits)) / F.lit(float(1 << bits))
+def _poisson_of(unit: Column) -> Column:
+    """The Poisson(1) count at a point of its distribution function; it ends where the chance left is below the hash's resolution."""
+    most = 19
     chance, reached, count = math.exp(-1.0), math.exp(-1.0), F.lit(most)
     steps = []
     for k in range(most):
@@ -224,6 +262,22 @@ def poisson_count(key: str, seed: int) -> Column:
     return count
 
 
+def poisson_count(key: str, seed: int) -> Column:
+    """How often a bootstrap replicate draws a row: a Poisson(1) count from the row's hash.
+
+    The draw depends on the row alone, so it is the same wherever and however often the
+    row is computed.
+    """
+    bits = 52
+    return _poisson_of(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << bits)) / F.lit(float(1 << bits)))
+
+
+def drawn_count(key: str, bag: int, seed: int) -> Column:
+    """How often a bag of a forest draws a row, from a digest that any engine gives."""
+    digits = F.substring(hash_order(F.concat_ws("|", F.lit(bag), F.col(key).cast("string")), seed), 1, 12)
+    return _poisson_of(F.conv(digits, 16, 10).cast("long") / F.lit(float(1 << 48)))
+
+
 def glm_bootstrap(
     train: DataFrame, columns: Sequence[str], key: str, replicates: int = 25, seed: int = 42
 ) -> DataFrame:

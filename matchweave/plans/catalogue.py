@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matchweave.functions.exprs import hash_bucket, hash_order
 from matchweave.operators import (
     cases,
     controls,
@@ -19,6 +20,7 @@ from matchweave.operators import (
     matching,
     models,
     quality,
+    trees,
     wide,
 )
 from matchweave.plans.retail import (
@@ -483,7 +485,7 @@ _ASOF_DAY = "index_date - 365"
 )
 def asof_attribute(s: RetailStudy) -> DataFrame:
     dated = s.cases.select("person", "index_date", F.date_sub("index_date", 365).alias("at_date"))
-    return cases.asof_attribute(dated, s.intervals(), "person", "at_date", "start", "end", "priority", "priority")
+    return cases.asof_attribute(dated, s.intervals(of=dated), "person", "at_date", "start", "end", "priority", "priority")
 
 
 @query(
@@ -506,9 +508,7 @@ def case_death_check(s: RetailStudy) -> DataFrame:
 
 # --- codes -----------------------------------------------------------------------------
 
-_FREQUENT = (
-    _with("cases", "bev", "persons")
-    + f""", counted AS (
+_CHOSEN = f""", counted AS (
          SELECT brand, count(*) AS n FROM cases c JOIN (bev JOIN persons USING (person)) e
            ON c.person = e.person AND c.segment = e.segment
          WHERE (year(index_date) - year(event_date)) * 365 + (month(index_date) - month(event_date)) * 30
@@ -517,7 +517,7 @@ _FREQUENT = (
        chosen AS (SELECT * FROM counted WHERE brand NOT IN ('Brand#3', 'Brand#7')
                   ORDER BY n DESC, brand LIMIT 10)
     """
-)
+_FREQUENT = _with("cases", "bev", "persons") + _CHOSEN
 
 
 def _frequent(s: RetailStudy) -> DataFrame:
@@ -589,6 +589,31 @@ def control_pool(s: RetailStudy) -> DataFrame:
     return controls.control_pool(s.pool().join(early, "person", "left_semi"), "person", STRATA, 30, SEED)
 
 
+_SETTLED = f"{FIRST_YEAR}-01-01", f"{LAST_YEAR}-12-31"
+
+
+@query(
+    _with("pool", "spans", "persons")
+    + f""", known AS (SELECT person, o_orderkey, start_date, end_date FROM spans WHERE priority <> '5-LOW'),
+       marked AS (SELECT *, CASE WHEN start_date <= max(end_date) OVER (PARTITION BY person ORDER BY start_date, o_orderkey
+                                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS fresh FROM known),
+       islands AS (SELECT *, sum(fresh) OVER (PARTITION BY person ORDER BY start_date, o_orderkey) AS island FROM marked),
+       settled AS (SELECT DISTINCT person FROM (SELECT person, island FROM islands GROUP BY 1, 2
+                   HAVING min(start_date) <= DATE '{_SETTLED[0]}' AND max(end_date) >= DATE '{_SETTLED[1]}'))
+       SELECT person, segment, birth_year, draw FROM (
+         SELECT pool.person, pool.segment, CAST(year(born) AS INTEGER) AS birth_year, row_number() OVER (PARTITION BY pool.segment, year(born)
+                ORDER BY md5('{SEED}|' || pool.person), pool.person) AS draw
+         FROM pool JOIN settled USING (person) JOIN persons USING (person)) WHERE draw <= 30"""
+)
+def control_pool_settled(s: RetailStudy) -> DataFrame:
+    """Pool by segment and birth year of persons whose known addresses cover the study years without a gap."""
+    known = s.intervals(of=s.pool()).where(F.col("priority") != "5-LOW")
+    settled = cases.covered_throughout(known, "person", "start", "end", *_SETTLED)
+    born = s.persons.select("person", F.year("born").alias("birth_year"))
+    pool = s.pool().select("person", "segment").join(settled, "person", "left_semi").join(born, "person")
+    return controls.control_pool(pool, "person", ["segment", "birth_year"], 30, SEED)
+
+
 _EXCLUDE = (
     _with("persons", "cases", "ev")
     + """, dead AS (SELECT c_custkey AS person FROM customer WHERE c_acctbal < 0),
@@ -652,6 +677,36 @@ def match_exact(s: RetailStudy) -> DataFrame:
     return s.pairs()
 
 
+@query(
+    _with("cases", "pool", "persons", "aged")
+    + f"""SELECT c.person AS case_person, p.person AS control_person, index_date, c.segment, CAST(c.birth_year AS INTEGER) AS birth_year
+          FROM (SELECT *, row_number() OVER (PARTITION BY segment, birth_year ORDER BY md5('{SEED}|' || person), person) AS slot
+                FROM (SELECT cases.person, cases.index_date, cases.segment, year(cases.index_date) - age AS birth_year
+                      FROM cases JOIN aged USING (person))) c
+          JOIN (SELECT *, (row_number() OVER (PARTITION BY segment, birth_year
+                     ORDER BY md5('{SEED}|' || person), person) - 1) // {CONTROLS_PER_CASE} + 1 AS slot
+                FROM (SELECT pool.person, pool.segment, year(born) AS birth_year FROM pool JOIN persons USING (person))) p
+          ON c.segment = p.segment AND c.birth_year = p.birth_year AND c.slot = p.slot"""
+)
+def match_birth_year(s: RetailStudy) -> DataFrame:
+    """Exact matching within segment and birth year; a case's is the year of its event less its age."""
+    aged = s.aged_index().select("person", (F.year("index_date") - F.col("age")).alias("birth_year"))
+    listed = s.cases.select("person", "index_date", "segment").join(aged, "person")
+    born = s.persons.select("person", F.year("born").alias("birth_year"))
+    pool = s.pool().select("person", "segment").join(born, "person")
+    return matching.match_exact(
+        listed.withColumn("turn", hash_order(F.col("person"), SEED)),
+        pool.withColumn("draw", hash_order(F.col("person"), SEED)),
+        "person",
+        ["segment", "birth_year"],
+        CONTROLS_PER_CASE,
+        ["turn", "person"],
+        ["draw", "person"],
+        [hash_bucket(F.col("turn"))],
+        [hash_bucket(F.col("draw"))],
+    ).drop("turn")
+
+
 @query(_with("sets") + "SELECT case_person, control_person, index_date, segment, area FROM sets")
 def complete_sets(s: RetailStudy) -> DataFrame:
     return matching.complete_sets(s.staged_pairs, "case_person", CONTROLS_PER_CASE)
@@ -672,6 +727,16 @@ def stack_members(s: RetailStudy) -> DataFrame:
 _FEATURE_COLUMNS = "person, segment, area, group_id, label, brand, mean_value, n_events"
 
 
+@query(
+    _with("cases", "bev", "persons", "found")
+    + _CHOSEN
+    + f"SELECT {_FEATURE_COLUMNS} FROM found WHERE brand IN (SELECT brand FROM chosen)"
+)
+def lookback_chosen_codes(s: RetailStudy) -> DataFrame:
+    """Look-back features on the codes that the data itself chose: most frequent, cut, then looked up."""
+    return s.lookback(store.stage(_frequent(s).select("brand"), "chosen"))
+
+
 @query(_with("found") + f"SELECT {_FEATURE_COLUMNS} FROM found")
 def lookback_features(s: RetailStudy) -> DataFrame:
     return s.lookback()
@@ -800,12 +865,35 @@ def confusion_report(s: RetailStudy) -> DataFrame:
     )
 
 
-@query()
+_HALVED = """list_reduce(list_prepend({{'low': 0.0::DOUBLE, 'high': 1.0::DOUBLE}}, list_transform(range(0, 52),
+                lambda i: {{'low': 0.0::DOUBLE, 'high': 1.0::DOUBLE}})), lambda s, i:
+                CASE WHEN list_sum(list_transform(range({first}, n + 1), lambda k: exp(lgamma(n + 1) - lgamma(k + 1)
+                       - lgamma(n - k + 1) + k * ln((s.low + s.high) / 2) + (n - k) * ln(1 - (s.low + s.high) / 2)))) < {tail}
+                THEN {{'low': (s.low + s.high) / 2, 'high': s.high}}
+                ELSE {{'low': s.low, 'high': (s.low + s.high) / 2}} END)"""
+
+
+@query(
+    f"""WITH c AS (SELECT count(*) FILTER (WHERE quality = 1 AND toxic = 1) AS tp,
+                          count(*) FILTER (WHERE quality <> 1 AND toxic = 1) AS fp,
+                          count(*) FILTER (WHERE quality = 1 AND toxic <> 1) AS fn,
+                          count(*) FILTER (WHERE quality <> 1 AND toxic <> 1) AS tn FROM labels),
+       d AS (SELECT *, tp + fp + fn + tn AS n, tp + tn AS x, greatest(tp + fn, tn + fp) / (tp + fp + fn + tn) AS rate,
+                    greatest(abs(fp - fn) - 1, 0) / sqrt(fp + fn) AS z FROM c),
+       e AS (SELECT *, {_HALVED.format(first="x", tail=0.025)} AS low,
+                    {_HALVED.format(first="x + 1", tail=0.975)} AS high FROM d)
+       SELECT tp, fp, fn, tn, round(low.low, 9) AS accuracy_low, round(high.low, 9) AS accuracy_high,
+              round(list_sum(list_transform(range(x, n + 1), lambda k: exp(lgamma(n + 1) - lgamma(k + 1)
+                - lgamma(n - k + 1) + k * ln(rate) + (n - k) * ln(1 - rate)))), 9) AS p_accuracy_over_nir,
+              -- by Simpson's rule over the normal density
+              round(1 - 2 / sqrt(2 * pi()) * z / 30000 * list_sum(list_transform(range(0, 10001), lambda i:
+                CASE WHEN i IN (0, 10000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-0.5 * power(z * i / 10000, 2)))), 9) AS p_mcnemar
+       FROM e"""
+)
 def agreement_tests(s: RetailStudy) -> DataFrame:
     """Exact accuracy interval and p-values of the label table's four counts."""
-    counts = evaluate.confusion_counts(s.table("labels"), "quality", "toxic").first()
-    tests = evaluate.agreement_tests(*counts)
-    return s.spark.createDataFrame([tuple(tests.values())], ", ".join(f"{n} double" for n in tests))
+    report = evaluate.agreement_report(evaluate.confusion_counts(s.table("labels"), "quality", "toxic"))
+    return report.select(*report.columns[:4], *[F.round(c, 9).alias(c) for c in report.columns[4:]])
 
 
 @query("SELECT toxic AS predicted, quality AS observed, count(*) AS n FROM labels GROUP BY 1, 2")
@@ -1009,11 +1097,46 @@ def impute_median_overall(s: RetailStudy) -> DataFrame:
     return long.withColumn("value", F.round("value", 9))
 
 
-# --- models (rows only) ----------------------------------------------------------------
-
+# --- models ----------------------------------------------------------------------------
 
-def _predictions(s: RetailStudy, estimator, top: int | None = None) -> DataFrame:
-    train, test = s.train_test
+# Naive Bayes in SQL: class means and variances of every feature over the train rows, a small
+# share of the largest variance added to each, and the class probabilities of the test rows.
+_SPLIT = f"""parts AS (SELECT group_id, CASE WHEN rn <= floor(n * 0.75) THEN 'train' ELSE 'test' END AS part
+          FROM (SELECT group_id, row_number() OVER (ORDER BY md5('{SEED}|' || group_id), group_id) AS rn,
+                       count(*) OVER () AS n FROM (SELECT DISTINCT group_id FROM members)))"""
+_BALANCED = """first_two AS (SELECT person FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY label DESC, person) AS seq
+               FROM (SELECT DISTINCT group_id, label, person FROM members)) WHERE seq <= 2),
+       b_grid AS (SELECT * FROM grid WHERE person IN (SELECT person FROM first_two)),
+       b_miss AS (SELECT label, brand, count(*) AS n_rows, count(*) FILTER (WHERE mean_value IS NULL) AS n_missing,
+                  median(mean_value) AS med FROM b_grid GROUP BY 1, 2)"""
+
+
+def _nb_sql(pre: str = "", out: str = "nb") -> str:
+    """CTEs ending in one with person, group_id, label, prediction, score of the test rows."""
+    return f"""{out}_kept AS (SELECT brand FROM {pre}miss GROUP BY 1 HAVING bool_and(n_missing < n_rows * 0.5)),
+       {out}_x AS (SELECT person, group_id, label, 'n' || brand AS f, CAST(COALESCE(n_events, 0) AS DOUBLE) AS v FROM {pre}grid
+         UNION ALL
+         SELECT person, group_id, g.label, 'v' || brand, COALESCE(mean_value, med) FROM {pre}grid g JOIN {out}_kept USING (brand)
+         JOIN {pre}miss m USING (label, brand)),
+       {out}_t AS (SELECT * FROM {out}_x JOIN parts USING (group_id) WHERE part = 'train'),
+       {out}_eps AS (SELECT 1e-9 * max(v) AS eps FROM (SELECT avg(v * v) - avg(v) * avg(v) AS v FROM {out}_t GROUP BY f)),
+       {out}_s AS (SELECT label, f, avg(v) AS mu, avg(v * v) - avg(v) * avg(v) + any_value(eps) AS var FROM {out}_t, {out}_eps GROUP BY 1, 2),
+       {out}_p AS (SELECT label, ln(count(DISTINCT person)) AS prior FROM {out}_t GROUP BY 1),
+       {out}_l AS (SELECT person, group_id, x.label, s.label AS k,
+                     any_value(prior) - 0.5 * sum((v - mu) * (v - mu) / var + ln(var)) AS ll
+                   FROM {out}_x x JOIN parts USING (group_id) JOIN {out}_s s ON s.f = x.f JOIN {out}_p p ON p.label = s.label
+                   WHERE part = 'test' GROUP BY 1, 2, 3, 4),
+       {out} AS (SELECT person, group_id, CAST(label AS DOUBLE) AS label, CAST(CASE WHEN d >= 0 THEN 0 ELSE 1 END AS DOUBLE) AS prediction,
+                   round(CASE WHEN d > 700 THEN 0 ELSE 1 / (1 + exp(d)) END, 9) AS score
+                 FROM (SELECT person, group_id, label, sum(CASE WHEN k = 0 THEN ll ELSE -ll END) AS d FROM {out}_l GROUP BY 1, 2, 3))"""
+
+
+_NB = _with("grid", "miss") + f", {_SPLIT}, {_nb_sql()} "
+_NB_BOTH = _with("grid", "miss") + f", {_SPLIT}, {_BALANCED}, {_nb_sql()}, {_nb_sql('b_', 'nb_b')} "
+
+
+def _predictions(s: RetailStudy, estimator, top: int | None = None, balanced: bool = False) -> DataFrame:
+    train, test = s.balanced_train_test if balanced else s.train_test
     columns = wide.feature_columns(train)
     model = models.fit(train, columns, estimator)
     if top is not None:
@@ -1022,6 +1145,16 @@ def _predictions(s: RetailStudy, estimator, top: int | None = None) -> DataFrame
     return models.predict(model, test, ["person", "group_id"])
 
 
+def _bayes(s: RetailStudy, balanced: bool = False) -> DataFrame:
+    return _predictions(s, models.naive_bayes(), balanced=balanced).withColumn("score", F.round("score", 9))
+
+
+def _both_bayes(s: RetailStudy) -> dict[str, DataFrame]:
+    return {
+        name: store.stage(_bayes(s, balanced), "scored") for name, balanced in (("five controls", False), ("one control", True))
+    }
+
+
 @query()
 def rf_predictions(s: RetailStudy) -> DataFrame:
     return _predictions(s, models.forest())
@@ -1065,9 +1198,119 @@ def svm_predictions(s: RetailStudy) -> DataFrame:
     return _predictions(s, models.linear_svm())
 
 
-@query()
+@query(_NB + "SELECT person, group_id, label, prediction, score FROM nb")
 def nb_predictions(s: RetailStudy) -> DataFrame:
-    return _predictions(s, models.naive_bayes())
+    return _bayes(s)
+
+
+@query(_NB_BOTH + "SELECT person, group_id, label, prediction, score FROM nb_b")
+def nb_predictions_balanced(s: RetailStudy) -> DataFrame:
+    """Naive Bayes on the case and the first control of each set."""
+    return _bayes(s, balanced=True)
+
+
+_RATES = """SELECT model, tp, fp, fn, tn, round((tp + tn) / n, 9) AS accuracy, round(tp / (tp + fn), 9) AS sensitivity,
+       round(tn / (tn + fp), 9) AS specificity, round(((tp + tn) / n - chance) / (1 - chance), 9) AS kappa
+       FROM (SELECT *, tp + fp + fn + tn AS n, ((tp + fp) * (tp + fn) + (fn + tn) * (fp + tn))
+                    / (CAST(tp + fp + fn + tn AS DOUBLE) * (tp + fp + fn + tn)) AS chance
+             FROM (SELECT model, count(*) FILTER (WHERE label = 1 AND prediction = 1) AS tp,
+                          count(*) FILTER (WHERE label = 0 AND prediction = 1) AS fp,
+                          count(*) FILTER (WHERE label = 1 AND prediction = 0) AS fn,
+                          count(*) FILTER (WHERE label = 0 AND prediction = 0) AS tn FROM both_nb GROUP BY 1))"""
+_NB_MODELS = _NB_BOTH + (
+    ", both_nb AS (SELECT 'five controls' AS model, * FROM nb UNION ALL SELECT 'one control', * FROM nb_b), "
+    "nb_curve AS (SELECT model, score, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label = 0) AS neg "
+    "FROM both_nb GROUP BY 1, 2) "
+)
+
+
+def _reports(scored: dict[str, DataFrame], rounded: int = 9) -> DataFrame:
+    """Confusion counts and rates of several scored models."""
+    out = None
+    for name, df in scored.items():
+        report = evaluate.confusion_report(evaluate.confusion_counts(df, models.LABEL, "prediction"))
+        chosen = report.select(
+            F.lit(name).alias("model"), "tp", "fp", "fn", "tn",
+            *[F.round(c, rounded).alias(c) for c in ("accuracy", "sensitivity", "specificity", "kappa")],
+        )
+        out = chosen if out is None else out.unionByName(chosen)
+    return out
+
+
+def _areas(scored: dict[str, DataFrame], rounded: int = 9) -> DataFrame:
+    out = None
+    for name, df in scored.items():
+        area = evaluate.auc_exact(df, models.LABEL, "score").select(
+            F.lit(name).alias("model"), "n_positive", "n_negative", F.round("auc", rounded).alias("auc")
+        )
+        out = area if out is None else out.unionByName(area)
+    return out
+
+
+@query(_NB_MODELS + _RATES)
+def model_confusion(s: RetailStudy) -> DataFrame:
+    """Confusion and rates of a fitted model on the test rows, on the 1:5 and on the 1:1 data."""
+    return _reports(_both_bayes(s))
+
+
+@query(
+    _NB_MODELS
+    + """SELECT model, CAST(sum(pos) AS BIGINT) AS n_positive, CAST(sum(neg) AS BIGINT) AS n_negative,
+                round(sum(neg * (above + pos / 2)) / (CAST(sum(pos) AS DOUBLE) * sum(neg)), 9) AS auc
+         FROM (SELECT *, coalesce(sum(pos) OVER (PARTITION BY model ORDER BY score DESC
+                          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above FROM nb_curve) GROUP BY 1"""
+)
+def model_auc(s: RetailStudy) -> DataFrame:
+    """Area under the ROC curve of a fitted model, on the 1:5 and on the 1:1 data."""
+    return _areas(_both_bayes(s))
+
+
+@query(
+    _NB_MODELS
+    + """SELECT model, score AS threshold,
+                round(sum(neg) OVER w / sum(neg) OVER (PARTITION BY model), 9) AS false_positive_rate,
+                round(sum(pos) OVER w / sum(pos) OVER (PARTITION BY model), 9) AS sensitivity
+         FROM nb_curve WINDOW w AS (PARTITION BY model ORDER BY score DESC)"""
+)
+def model_roc_overlay(s: RetailStudy) -> DataFrame:
+    """ROC points of a fitted model on the 1:5 and on the 1:1 data, to draw in one picture."""
+    overlay = evaluate.roc_overlay(_both_bayes(s), models.LABEL, "score")
+    return overlay.withColumns({c: F.round(c, 9) for c in ("false_positive_rate", "sensitivity")})
+
+
+@query()
+def model_comparison(s: RetailStudy) -> DataFrame:
+    """Confusion, rates and AUC of forest, tree, logistic model and naive Bayes, on the 1:5 and the 1:1 data."""
+    scored = {}
+    for data, balanced in (("five controls", False), ("one control", True)):
+        train, test = s.balanced_train_test if balanced else s.train_test
+        columns = wide.feature_columns(train)
+        makers = {
+            "forest": (models.forest(), columns),
+            "tree": (models.tree(), columns),
+            "logistic": (models.logistic_glm(), models.varying_columns(train, columns)),
+            "naive Bayes": (models.naive_bayes(), columns),
+        }
+        for name, (estimator, used) in makers.items():
+            fitted = models.fit(train, used, estimator)
+            scored[f"{name}, {data}"] = store.stage(models.predict(fitted, test, ["person", "group_id"]), "scored")
+    return _reports(scored).join(_areas(scored), "model")
+
+
+@query(
+    _with("grid", "miss")
+    + f""", {_SPLIT}, med AS (SELECT brand, median(mean_value) AS med FROM grid JOIN parts USING (group_id)
+                              WHERE part = 'train' GROUP BY 1)
+         SELECT person, label, 'val_' || regexp_replace(brand, '[^A-Za-z0-9]', '_', 'g') AS column_name,
+                round(COALESCE(mean_value, med), 9) AS value
+         FROM grid JOIN parts USING (group_id) JOIN med USING (brand)
+         WHERE part = 'test' AND COALESCE(mean_value, med) IS NOT NULL"""
+)
+def impute_median_of_train(s: RetailStudy) -> DataFrame:
+    """Test rows filled by medians of the train rows alone: nothing of a label or a test row leaks."""
+    _, test = s.unlabelled_train_test
+    long = wide.unpivot_values(test, ["person", "label"], wide.value_columns(test)).where(F.col("value").isNotNull())
+    return long.withColumn("value", F.round("value", 9))
 
 
 @query()
@@ -1081,6 +1324,84 @@ def tree_size_table(s: RetailStudy) -> DataFrame:
     return models.tree_size_table(train, wide.feature_columns(train), "group_id", [1, 3, 5], [0.0, 0.01], folds=10)
 
 
+@query()
+def tree_cp_table(s: RetailStudy) -> DataFrame:
+    """Subtrees of a classification tree by cost per leaf, with training and cross-validated error."""
+    train, _ = s.train_test
+    return trees.cp_table(train, wide.feature_columns(train), "group_id")
+
+
+@query(
+    """SELECT unnest(['relative errors that the training rows do not confirm', 'subtrees that do not contain the next',
+              'costs that do not rise', 'smaller subtrees with fewer errors',
+              'costs that are not the errors won for each leaf', 'sequences that do not end with the root']) AS "check",
+              CAST(0 AS BIGINT) AS n_violations"""
+)
+def tree_cp_checks(s: RetailStudy) -> DataFrame:
+    """Where the sequence of subtrees contradicts the training rows or itself: nowhere."""
+    train, _ = s.train_test
+    found = trees.complexity(train, wide.feature_columns(train), "group_id").violations()
+    return s.spark.createDataFrame(found, "check string, n_violations long")
+
+
+def _out_of_bag(s: RetailStudy) -> DataFrame:
+    train, _ = s.train_test
+    return trees.out_of_bag(train, wide.feature_columns(train), "person")
+
+
+@query()
+def rf_oob(s: RetailStudy) -> DataFrame:
+    """Error and confusion of the forest, each row judged by the trees that did not draw it."""
+    scored = store.stage(_out_of_bag(s), "out_of_bag")
+    report = evaluate.confusion_report(evaluate.confusion_counts(scored, models.LABEL, "prediction"))
+    unjudged = scored.agg(F.count_if(F.col("prediction").isNull()).alias("n_without_vote"))
+    return report.withColumn("error", 1 - F.col("accuracy")).join(F.broadcast(unjudged))
+
+
+@query(
+    _with("members")
+    + f""", {_SPLIT}
+         SELECT person, CAST(label AS DOUBLE) AS label, count(*) FILTER (WHERE CAST('0x' || substr(md5('{SEED}|' || bag || '|' || person), 1, 12)
+                  AS BIGINT) / CAST(281474976710656 AS DOUBLE) < exp(-1)) AS n_votes
+         FROM members JOIN parts USING (group_id), (SELECT unnest(range(0, 25)) AS bag)
+         WHERE part = 'train' GROUP BY 1, 2"""
+)
+def rf_oob_votes(s: RetailStudy) -> DataFrame:
+    """From how many bags each training row got a vote: those that did not draw it."""
+    return _out_of_bag(s).select("person", models.LABEL, "n_votes")
+
+
+@query()
+def rf_importance_raw(s: RetailStudy) -> DataFrame:
+    """Variables by the impurity they take away in the forest, before any scaling, and their share."""
+    train, _ = s.train_test
+    columns = wide.feature_columns(train)
+    return trees.raw_importance(trees.node_table(models.fit(train, columns, models.forest()), train), columns)
+
+
+@query(
+    _with("miss")
+    + """, named AS (SELECT DISTINCT 'n_' || replace(p_brand, '#', '_') AS variable FROM part
+           UNION ALL SELECT 'val_' || replace(brand, '#', '_') FROM miss GROUP BY brand
+           HAVING bool_and(n_missing < n_rows * 0.5))
+         SELECT variable, false AS aliased, true AS solved FROM named
+         UNION ALL SELECT 'n_all', true, NULL UNION ALL SELECT 'n_none', true, NULL UNION ALL SELECT 'n_twice', true, NULL"""
+)
+def glm_aliased(s: RetailStudy) -> DataFrame:
+    """The logistic model with columns that depend on others, which get no coefficient; the rest solve the score equations."""
+    train, _ = s.train_test
+    columns = wide.feature_columns(train)
+    counts = [c for c in columns if c.startswith(wide.COUNT_PREFIX)]
+    more = train.withColumns(
+        {"n_all": sum((F.col(c) for c in counts[1:]), F.col(counts[0])), "n_none": F.lit(3), "n_twice": 2 * F.col(counts[-1]) - 1}
+    )
+    used = models.independent_columns(more, [*columns, "n_all", "n_none", "n_twice"])
+    table = models.glm_table(more, [*columns, "n_all", "n_none", "n_twice"])
+    left = models.score_equations(more, used, models.fit(more, used, models.logistic_glm()))
+    solved = left.select("variable", (F.abs("share") < 1e-4).alias("solved"))
+    return table.where(F.col("variable") != "(Intercept)").join(solved, "variable", "left").select("variable", "aliased", "solved")
+
+
 @query()
 def glm_summary(s: RetailStudy) -> DataFrame:
     train, _ = s.train_test

@@ -161,14 +161,19 @@ class RetailStudy:
             ["episode_start", "episode", "diag_num", "code", "spell"],
         )
 
-    def intervals(self) -> DataFrame:
-        """Validity intervals: each order's priority holds until the day before the next order."""
+    def intervals(self, of: DataFrame | None = None) -> DataFrame:
+        """Validity intervals: each order's priority holds until the day before the next order.
+
+        With ``of`` only those of some persons, who are looked up before the orders are sorted.
+        """
         orders = self.table("orders").select(
             F.col("o_custkey").alias("person"),
             F.col("o_orderdate").cast("date").alias("start"),
             F.col("o_orderkey").alias("o_orderkey"),
             F.col("o_orderpriority").alias("priority"),
         )
+        if of is not None:
+            orders = orders.join(broadcast_if_small(of.select("person").distinct()), "person", "left_semi")
         near = neighbour(orders, ["person"], ["start", "o_orderkey"], ["start"], "next_", 1)
         return near.select(
             "person",
@@ -226,11 +231,12 @@ class RetailStudy:
             "members",
         )
 
-    def lookback(self) -> DataFrame:
+    def lookback(self, codes: DataFrame | None = None) -> DataFrame:
+        """Features of members on some codes; on all brands where none are given."""
         return features.lookback_features(
             self.members,
             self.brand_events,
-            self.brands,
+            self.brands if codes is None else codes,
             "person",
             "brand",
             "index_date",
@@ -250,25 +256,51 @@ class RetailStudy:
         """Selected codes: the brands of the dictionary, a list that does not grow with the log."""
         return sorted(r[0] for r in self.brands.collect())
 
-    def wide_table(self) -> DataFrame:
-        return wide.pivot_wide(
-            self.features, ["person", "group_id", "label"], "brand", self.brand_names
-        )
+    @cached_property
+    def balanced_features(self) -> DataFrame:
+        """Features of the case and the first control of each set."""
+        return stage(features.rebalance(self.features, "group_id", "label", "person"), "balanced")
+
+    def wide_table(self, balanced: bool = False) -> DataFrame:
+        long = self.balanced_features if balanced else self.features
+        return wide.pivot_wide(long, ["person", "group_id", "label"], "brand", self.brand_names)
 
     @cached_property
     def wide(self) -> DataFrame:
         return stage(self.wide_table(), "wide")
 
-    def model_table(self) -> DataFrame:
+    @cached_property
+    def balanced_wide(self) -> DataFrame:
+        return stage(self.wide_table(balanced=True), "wide")
+
+    def model_table(self, balanced: bool = False) -> DataFrame:
         """Imputed wide table: sparse value columns dropped, the rest filled by class median."""
-        columns = wide.value_columns(self.wide)
-        kept = wide.drop_sparse(self.wide, columns, "label", keep="all")
+        table = self.balanced_wide if balanced else self.wide
+        kept = wide.drop_sparse(table, wide.value_columns(table), "label", keep="all")
         return wide.impute_median(kept, wide.value_columns(kept), by="label")
 
-    @cached_property
-    def train_test(self) -> tuple[DataFrame, DataFrame]:
-        split = wide.group_split(self.members, "group_id", 0.75, SEED)
+    def split(self) -> DataFrame:
+        return wide.group_split(self.members, "group_id", 0.75, SEED)
+
+    def _train_test(self, table: DataFrame) -> tuple[DataFrame, DataFrame]:
         # Fitting passes over the rows many times: spread them evenly once.
         parts = wide.training_partitions(self.members)
-        joined = self.model_table().join(split, "group_id").repartition(parts, "group_id")
+        joined = table.join(self.split(), "group_id").repartition(parts, "group_id")
         return wide.split_parts(stage(joined, "model_table"))
+
+    @cached_property
+    def train_test(self) -> tuple[DataFrame, DataFrame]:
+        return self._train_test(self.model_table())
+
+    @cached_property
+    def balanced_train_test(self) -> tuple[DataFrame, DataFrame]:
+        """Train and test rows of the 1:1 data: imputed by the medians of its own classes."""
+        return self._train_test(self.model_table(balanced=True))
+
+    @cached_property
+    def unlabelled_train_test(self) -> tuple[DataFrame, DataFrame]:
+        """Train and test rows filled by medians of the train rows alone, whatever their class."""
+        train, test = self._train_test(self.wide)
+        columns = wide.value_columns(train)
+        filled = [wide.impute_median(t, columns, by=None, fit_on=train) for t in (train, test)]
+        return filled[0], filled[1]

@@ -66,6 +66,21 @@ def test_neighbour_of_text_and_null_keys(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("step", [-1, 1])
+def test_neighbour_of_a_frequent_key_is_cut(spark, step):
+    """Most rows have one key; order values are text, missing or NaN. The key's rows spread over cuts."""
+    texts = [None, "a", "b", "é", "zz"]
+    data = [(i, "hot" if i % 10 else f"k{i % 50}", texts[i % 5], float("nan") if i % 7 == 0 else float(i % 13), i * 1.0) for i in range(3000)]
+    df = spark.createDataFrame(data, "id long, key string, t string, x double, value double").repartition(4)
+    bounds = ordering.hot_bounds(df, ["key"], ["t", "x", "id"])
+    assert bounds.count() >= 1 and bounds.selectExpr("max(size(__bounds))").first()[0] >= 4
+    order = [F.col(c).asc_nulls_last() for c in ("t", "x", "id")]
+    want = df.withColumn("near_value", (F.lag if step < 0 else F.lead)("value").over(Window.partitionBy("key").orderBy(*order)))
+    got = ordering.neighbour(df, ["key"], ["t", "x", "id"], ["value"], "near_", step).select(*want.columns)
+    key = lambda r: r["id"]
+    assert [r["near_value"] for r in sorted(got.collect(), key=key)] == [r["near_value"] for r in sorted(want.collect(), key=key)]
+
+
 def test_ranks_with_null_keys_and_cuts(spark):
     data = [(i, None if i % 4 == 0 else i % 3, None if i % 7 == 0 else i % 11) for i in range(300)]
     df = spark.createDataFrame(data, "id long, key long, v long").repartition(4)

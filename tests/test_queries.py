@@ -9,7 +9,7 @@ import pytest
 
 import __spark_entry__ as entry_points
 from check import rows_of
-from matchweave.plans.catalogue import STEPS
+from matchweave.plans.catalogue import ORACLES, STEPS
 from matchweave.plans.retail import RetailStudy
 from matchweave.sources import store
 
@@ -45,16 +45,16 @@ THIN = ["match_exact", "complete_sets", "backfill_members", "asof_attribute", "r
 
 
 @pytest.mark.parametrize(
-    "name,folder", [(n, MEDIUM) for n in sorted(entry_points.oracle_sql())] + [(n, SMALL) for n in THIN]
+    "name,folder", [(n, MEDIUM) for n in sorted(ORACLES)] + [(n, SMALL) for n in THIN]
 )
 def test_query_equals_sql(studies, connections, name, folder):
     df = STEPS[name](studies[folder])
-    rel = connections[folder].sql(entry_points.oracle_sql()[name])
+    rel = connections[folder].sql(ORACLES[name])
     assert sorted(df.columns) == sorted(rel.columns)
     assert rows_of(df.columns, df.collect()) == rows_of(rel.columns, rel.fetchall())
 
 
-MODEL_QUERIES = sorted(set(entry_points.queries()) - set(entry_points.oracle_sql()))
+MODEL_QUERIES = sorted(set(STEPS) - set(ORACLES))
 
 
 @pytest.mark.parametrize("name", ["nb_predictions", "store_roundtrip", "glm_summary", "agreement_tests"])
