@@ -16,11 +16,15 @@ dear are dealt again by segments of other hashes, since linked sets share some s
 Sets that share a key are first compared with the smallest of them only, and what links falls
 into classes. Only pairs of different classes are compared afterwards, so that large groups of
 copies cost little. A comparison first bounds the difference from below by sketches of parities,
-which can only admit too much, and then counts the whole sets' common shingles.
+which can only admit too much, and then counts the whole sets' common shingles. In how many
+shingles two sets differ is a metric: where one set is close to the smallest of a key and another
+is far from it, the two are told apart by numbers alone.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -28,18 +32,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchweave.llm.components import components
-from matchweave.llm.minhash import shingles
 from matchweave.llm.shared import drop_stage, write_stage
+from matchweave.llm.shingling import shingles
 from matchweave.llm.tokens import slices
 from matchweave.sources.store import broadcast_if_small, split_hot_joins
 
 WORDS = 4
 THRESHOLD = (85, 100)
-# A key is dear when its sets have more pairs of different classes than this many a set.
+# A key is dear when its sets have more pairs of different classes than this many a set, pairs with
+# the key's largest class aside; of those, which distances mostly settle, there may be more.
 PAIRS_PER_SET = 16
+BOUNDED_PAIRS_PER_SET = 1024
 # How often dear keys are dealt again before their remaining pairs are compared all the same.
 REDEALS = 3
 LARGEST = 1 << 40
+# Of keys that sets of any size may share.
+ANY_BAND = -1
 
 _MIX_A, _MIX_B = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
@@ -51,6 +59,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+@functools.cache
 def _salt(*parts: int) -> np.uint64:
     return np.uint64(xxhash.xxh64_intdigest(" ".join(map(str, parts)).encode()))
 
@@ -88,11 +97,10 @@ class Bands:
     def sums(self, hashes: np.ndarray, band: int, deal: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Sum of the (scrambled) shingles in each segment, and the segment of each shingle."""
         count = self.segments(band)
-        place = (_mix(hashes ^ _salt(band, deal)) >> np.uint64(11)) % np.uint64(count)
-        order = np.argsort(place, kind="stable")
-        run = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mix(hashes)[order], dtype=np.uint64)))
-        ends = np.searchsorted(place[order], np.arange(count, dtype=np.uint64), side="right")
-        return np.diff(run[np.concatenate(([0], ends))]), place
+        place = ((_mix(hashes ^ _salt(band, deal)) >> np.uint64(11)) % np.uint64(count)).astype(np.int64)
+        sums = np.zeros(count, np.uint64)
+        np.add.at(sums, place, _mix(hashes))
+        return sums, place
 
     def keys(self, hashes: np.ndarray, band: int, deal: int = 0) -> np.ndarray:
         """One key for each segment."""
@@ -128,11 +136,12 @@ class Bands:
     def dealt_again(self, hashes: np.ndarray, dear: np.ndarray, bands: np.ndarray, deal: int):
         """Keys, and their bands, of each dear key with each segment of another dealing."""
         keys, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
-        for band in np.unique(bands).tolist():
-            segments = self.keys(hashes, band, deal)
-            for key in dear[bands == band]:
-                keys.append(_mix(segments ^ _mix(key + _salt(deal, 3))))
-                of.append(np.full(len(segments), band, np.int32))
+        for given in np.unique(bands).tolist():
+            for band in self.of(len(hashes)) if given == ANY_BAND else [given]:
+                segments = self.keys(hashes, band, deal)
+                for key in dear[bands == given]:
+                    keys.append(_mix(segments ^ _mix(key + _salt(deal, 3))))
+                    of.append(np.full(len(segments), band, np.int32))
         return np.concatenate(keys), np.concatenate(of)
 
 
@@ -239,7 +248,7 @@ def _differing_bits(x: Column, y: Column) -> Column:
     return F.aggregate(differ, F.lit(0), lambda total, n: total + n)
 
 
-class _Join:
+class Join:
     """The links between representatives, round by round."""
 
     def __init__(self, docs: DataFrame, reps: DataFrame, words: int, bands: Bands):
@@ -247,26 +256,54 @@ class _Join:
         self.spark = docs.sparkSession
         self.links: DataFrame | None = None
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of representatives that link."""
-        low, high = self.bands.low, self.bands.high
+    def met(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) with the size of a, both sizes together and the bits that differ (a lower bound)."""
         side = self.reps.select("rep", "size", "sketch")
         of_a, of_b = (side.select(*[F.col(c).alias(f"{c}_{n}") for c in side.columns]) for n in "ab")
-        met = pairs.join(of_a, F.col("a") == F.col("rep_a")).join(of_b, F.col("b") == F.col("rep_b"))
-        both = F.col("size_a") + F.col("size_b")
-        near = met.where(high * F.least("size_a", "size_b") >= low * F.greatest("size_a", "size_b")).where(
-            _differing_bits(F.col("sketch_a"), F.col("sketch_b")) * (high + low) <= (high - low) * both
-        )
-        near, near_path = write_stage(near.select("a", "b", both.alias("both")), "near")
+        joined = pairs.join(of_a, F.col("a") == F.col("rep_a")).join(of_b, F.col("b") == F.col("rep_b"))
+        both = (F.col("size_a") + F.col("size_b")).alias("both")
+        bits = _differing_bits(F.col("sketch_a"), F.col("sketch_b")).cast("long")
+        # Sets whose sizes are too far apart differ by that much at least.
+        return joined.select("a", "b", "size_a", both, F.greatest(bits, F.abs(F.col("size_a") - F.col("size_b"))).alias("low"))
+
+    def may_link(self, low: Column, both: Column) -> Column:
+        return low * (self.bands.high + self.bands.low) <= (self.bands.high - self.bands.low) * both
+
+    def counted(self, near: DataFrame) -> DataFrame:
+        """a, b, both, common (shingles that both sets hold) of written pairs."""
         wanted = near.select(F.col("a").alias("rep")).unionByName(near.select(F.col("b").alias("rep"))).distinct()
-        sets, sets_path = write_stage(_sets(self.docs, self.reps, wanted, self.words), "sets")
+        sets, path = write_stage(_sets(self.docs, self.reps, wanted, self.words), "sets")
         x, y = sets.select(F.col("rep").alias("a"), F.col("set").alias("x")), sets.select(F.col("rep").alias("b"), F.col("set").alias("y"))
-        common = F.size(F.array_intersect("x", "y"))
-        held = near.join(x, "a").join(y, "b").where(high * common >= low * (F.col("both") - common))
-        found, _ = write_stage(held.select("a", "b"), "links")
-        drop_stage(self.spark, near_path, sets_path)
+        common = F.size(F.array_intersect("x", "y")).alias("common")
+        out, _ = write_stage(near.join(x, "a").join(y, "b").select("a", "b", "both", common), "common")
+        drop_stage(self.spark, path)
+        return out
+
+    def linked(self, counted: DataFrame) -> DataFrame:
+        low, high = self.bands.low, self.bands.high
+        return counted.where(high * F.col("common") >= low * (F.col("both") - F.col("common"))).select("a", "b")
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) of representatives that link."""
+        near = self.met(pairs).where(self.may_link(F.col("low"), F.col("both")))
+        near, path = write_stage(near.select("a", "b", "both"), "near")
+        found = self.linked(self.counted(near))
+        drop_stage(self.spark, path)
         return found
 
+    def measured(self, pairs: DataFrame) -> DataFrame:
+        """a, b, size (of a), low, high: bounds of the difference of all pairs, exact where they may link.
+
+        Adds the links among them.
+        """
+        met, _ = write_stage(self.met(pairs), "met")
+        near = met.where(self.may_link(F.col("low"), F.col("both"))).select("a", "b", "both")
+        counted = self.counted(near)
+        self.add(self.linked(counted))
+        exact = counted.select("a", "b", (F.col("both") - 2 * F.col("common")).alias("exact"))
+        bounds = met.join(broadcast_if_small(exact), ["a", "b"], "left")
+        return bounds.select("a", "b", F.col("size_a").alias("size"), F.coalesce("exact", "low").alias("low"), F.coalesce("exact", "both").alias("high"))
+
     def classed(self) -> DataFrame:
         """node, root of all links so far."""
         out, _ = write_stage(components(self.links), "classes")
@@ -282,7 +319,7 @@ class _Join:
         held, held_path = write_stage(members.join(broadcast_if_small(groups), "key"), "members")
         drop_stage(self.spark, groups_path)
         star = held.where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct()
-        self.add(self.verified(star))
+        far = self.measured(star).withColumnsRenamed({"a": "rep", "b": "first"})
         # Keys of two sets are settled; of others, what is still in different classes is to be met.
         roots = self.classed()
         rooted = held.where("n > 2").join(broadcast_if_small(roots), F.col("rep") == F.col("node"), "left")
@@ -290,16 +327,23 @@ class _Join:
         rooted, rooted_path = write_stage(rooted, "rooted")
         parts = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).cast("double").alias("n"))
         sums = parts.groupBy("key").agg(
-            F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.max_by("root", F.struct("n", "root")).alias("most")
-        )
-        pairs = (F.col("n") * F.col("n") - F.col("squares")) / 2
-        apart, apart_path = write_stage(sums.where(pairs > 0).select("key", "most", "n", pairs.alias("pairs")), "apart")
-        cheap = F.lit(True) if all_pairs else F.col("pairs") <= PAIRS_PER_SET * F.col("n")
-        direct = rooted.join(broadcast_if_small(apart.where(cheap).select("key", "most")), "key")
+            F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"),
+            F.max("n").alias("largest"), F.max_by("root", F.struct("n", "root")).alias("most"),
+        )
+        rest = F.col("n") - F.col("largest")
+        among = (rest * rest - F.col("squares") + F.col("largest") * F.col("largest")) / 2
+        apart = sums.where(rest > 0).select("key", "most", "n", among.alias("pairs"), (rest * F.col("largest")).alias("bounded"))
+        apart, apart_path = write_stage(apart, "apart")
+        cheap = (F.col("pairs") <= PAIRS_PER_SET * F.col("n")) & (F.col("bounded") <= BOUNDED_PAIRS_PER_SET * F.col("n"))
+        cheap = F.lit(True) if all_pairs else cheap
         # What the smallest set was compared with needs no second look.
-        direct = direct.where(F.col("rep") != F.col("first"))
-        strays = direct.where("root <> most").select("key", F.col("rep").alias("rep2"), F.col("root").alias("root2"))
-        met = direct.join(strays, "key").where("root <> root2")
+        direct = rooted.where(F.col("rep") != F.col("first")).join(broadcast_if_small(apart.where(cheap).select("key", "most")), "key")
+        direct = direct.join(far, ["rep", "first"])
+        second = {c: f"{c}2" for c in ("rep", "root", "size", "low", "high")}
+        strays = direct.where("root <> most").select("key", *[F.col(c).alias(n) for c, n in second.items()])
+        both = F.col("size") + F.col("size2")
+        least = F.greatest(F.col("low") - F.col("high2"), F.col("low2") - F.col("high"), F.abs(F.col("size") - F.col("size2")))
+        met = direct.join(strays, (direct["key"] == strays["key"]) & (F.col("root") != F.col("root2")) & self.may_link(least, both))
         met = met.select(F.greatest("rep", "rep2").alias("a"), F.least("rep", "rep2").alias("b")).distinct()
         self.add(self.verified(met))
         dear = apart.where(~cheap).select("key")
@@ -310,10 +354,13 @@ class _Join:
         drop_stage(self.spark, held_path, rooted_path, apart_path)
         return left, [left_path]
 
-    def run(self) -> DataFrame:
-        members = self.reps.select(F.explode("keys").alias("key"), F.lit(0).alias("band"), "rep")
+    def run(self, members: DataFrame, first_deal: int = 0) -> DataFrame:
+        """node, root: the classes of all sets that link and share a key (key, band, rep).
+
+        The first dealing of dear keys leaves one shingle out; it needs keys of segments.
+        """
         dear, paths = self.round(members)
-        for deal in range(REDEALS + 1):
+        for deal in range(first_deal, REDEALS + 1):
             if dear is None:
                 break
             further = _further_keys(self.docs, self.reps, dear, self.words, self.bands, deal)
@@ -346,7 +393,7 @@ def classes(docs: DataFrame, words: int = WORDS, threshold: tuple[int, int] = TH
     reps, reps_path = write_stage(reps, "reps")
     ids, _ = write_stage(signed.select("doc_id", "size", "digest").join(broadcast_if_small(first.select("digest", "rep")), "digest", "left").drop("digest"), "ids")
     drop_stage(spark, signed_path, first_path)
-    found = _Join(docs, reps, words, bands).run()
+    found = Join(docs, reps, words, bands).run(reps.select(F.explode("keys").alias("key"), F.lit(0).alias("band"), "rep"))
     least = found.join(reps.select("rep", "least"), F.col("node") == F.col("rep"))
     ends = least.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = found.join(ends, "root").select(F.col("node").alias("rep"), "component_id")

@@ -173,9 +173,9 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert {r["doc_id"] for r in steps[0]} >= {i for i, *_, x in rows if not x}
     assert not {r["doc_id"] for r in steps[0]} & {i for i, *_, x in rows if x}
     assert {r["doc_id"] for r in steps[1]} == clean
-    prints = {i: simhash.fingerprint(t.encode()) for i, t, *_ in rows if i in clean}
+    sets = {i: _five_words(t) for i, t, *_ in rows if i in clean}
     kept = {r["doc_id"] for r in steps[2]}
-    assert kept == {i for i in clean if _least(i, prints) == i}
+    assert kept == {i for i in clean if _least(i, sets) == i}
     sizes = Counter({s: sum(len(t.split()) for i, t, x, *_ in rows if i in kept and x == s) for s in {r[2] for r in rows}})
     taken = Counter()
     for r in steps[3]:
@@ -194,17 +194,24 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert ran == Counter(r["doc_id"] for r in steps[4])
 
 
-def _least(i, prints):
+def _least(i, sets):
+    """Smallest id that likeness of 0.8 or more over five-word shingles reaches."""
     reached, todo = {i}, [i]
     while todo:
         a = todo.pop()
-        for b, f in prints.items():
-            if b not in reached and (prints[a] ^ f).bit_count() <= simhash.RADIUS:
+        for b, x in sets.items():
+            both = len(sets[a] | x)
+            if b not in reached and (not both or len(sets[a] & x) / both >= 0.8):
                 reached.add(b)
                 todo.append(b)
     return min(reached)
 
 
+def _five_words(text):
+    words = text.lower().split()
+    return {tuple(words[n : n + 5]) for n in range(max(len(words) - 4, 1))} if words else set()
+
+
 def test_seeded_choices_do_not_follow_crc(spark):
     # folds of other operators must not decide what a sample holds
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(1000)], "doc_id long, quality int, toxic int")

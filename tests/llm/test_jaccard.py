@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from matchweave.llm import jaccard
-from matchweave.llm.minhash import shingles
+from matchweave.llm.shingling import shingles
 
 
 def slow_sets(rows):
@@ -67,6 +67,7 @@ def test_pairs_at_every_likeness_and_length(documents):
 def test_dear_keys_lose_no_link(documents, monkeypatch, redeals, pairs):
     """Many unlike texts that share most of a passage: nearly all keys are dear."""
     monkeypatch.setattr(jaccard, "PAIRS_PER_SET", pairs)
+    monkeypatch.setattr(jaccard, "BOUNDED_PAIRS_PER_SET", pairs)
     monkeypatch.setattr(jaccard, "REDEALS", redeals)
     rng, rows = random.Random(6), []
     passage = prose(rng, 60)

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from matchweave.llm import minhash, simhash
+from matchweave.llm import jaccard, minhash, simhash
 
 
 def slow_shingles(text):
@@ -57,10 +57,11 @@ def test_keep_one_finds_copies_at_every_likeness(documents):
     assert kept == slow_kept(rows)
 
 
-@pytest.mark.parametrize("chunk", [minhash.CHUNK, 2])
-def test_keep_one_links_chains_also_in_large_buckets(documents, monkeypatch, chunk):
-    # every text is like the one before it and unlike most others; with 2 every bucket is dealt over tasks
-    monkeypatch.setattr(minhash, "CHUNK", chunk)
+@pytest.mark.parametrize("pairs", [16, 0.01])
+def test_keep_one_links_chains_also_in_large_buckets(documents, monkeypatch, pairs):
+    # every text is like the one before it and unlike most others; with few pairs allowed every bucket is dealt again
+    monkeypatch.setattr(jaccard, "PAIRS_PER_SET", pairs)
+    monkeypatch.setattr(jaccard, "BOUNDED_PAIRS_PER_SET", pairs)
     rng = random.Random(9)
     text = words(rng, 200)
     rows = [(1000 + i, " ".join(words(rng, 200))) for i in range(20)] + [(2000, ""), (2001, None), (2002, " \t"), (2003, "one two"), (2004, "One  two")]
@@ -81,3 +82,15 @@ def test_band_keys_of_long_sets_and_of_parts():
     assert len(keys) == minhash.BANDS and len(set(keys.tolist())) == minhash.BANDS
     half = (hashes[: len(hashes) // 2, None] * minhash._FACTORS + minhash._SHIFTS).min(axis=0).reshape(minhash.BANDS, -1)
     assert [x == y for x, y in zip(keys, other)] == [bool((a == b).all()) for a, b in zip(at, half)]
+
+
+def test_thousands_of_unlike_texts_in_one_bucket(documents, monkeypatch):
+    """All texts share every band: what they meet there is bounded, and only the true copies link."""
+    monkeypatch.setattr(minhash, "band_keys", lambda hashes: np.arange(minhash.BANDS, dtype=np.uint64))
+    rng = random.Random(11)
+    rows = [(i, " ".join(words(rng, 60))) for i in range(1500)]
+    rows += [(5000 + i, " ".join(edited(rng, rows[i][1].split(), 1))) for i in range(0, 1500, 50)]
+    kept = {r["doc_id"] for r in simhash.keep_one(documents(rows)).collect()}
+    sets = {i: slow_shingles(t) for i, t in rows[1500:]}
+    alike = {i for i, s in sets.items() if len(s & slow_shingles(rows[i - 5000][1])) / len(s | slow_shingles(rows[i - 5000][1])) >= 0.8}
+    assert kept == {i for i, _ in rows} - alike and len(alike) > 10
