@@ -18,7 +18,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchweave.functions.ordering import rank_in_group
 from matchweave.llm.shared import WORD, group_count, hash_share, write_stage
+from matchweave.sources.store import broadcast_if_small
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -113,7 +115,7 @@ def pivotal_rounding(units: DataFrame, seed: int = SEED, group: int = GROUP, fan
 
     ``units`` has row (unique), key (a number that stays the same in reruns), source, size
     (over 0) and p (over 0, under 1). Each level meets in groups that leave one fraction per
-    source; the last fraction of a source is drawn by itself. No unit gives no row.
+    source; the last fraction of a source goes to the nearer end. No unit gives no row.
     """
     groups = group_count(units.count(), group)
     level, decided = 0, None
@@ -132,23 +134,37 @@ def pivotal_rounding(units: DataFrame, seed: int = SEED, group: int = GROUP, fan
         groups, level = math.ceil(groups / fan_in), level + 1
 
 
+def repeats(sized: DataFrame) -> DataFrame:
+    """row and ``occurrence`` (from 2) of rows that repeat source, doc_id and size.
+
+    Equal rows change places in another layout, so their numbers together do not depend on it.
+    """
+    many = sized.where(F.col("doc_id").isNotNull()).groupBy("doc_id", "size").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = sized.join(broadcast_if_small(many.select("doc_id", "size")), ["doc_id", "size"], "left_semi")
+    numbered = rank_in_group(rows, ["source", "doc_id", "size"], ["row"], [F.shiftright("row", 33)], "occurrence")
+    return numbered.where("occurrence > 1").select("row", "occurrence")
+
+
 def copies(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED) -> DataFrame:
     """``row``, ``source_size``, ``target``, ``copies`` (0 to ``most``) of each row.
 
     ``sized`` is a written table with row (unique), doc_id, source and size. Rows without a
     word take no part in the rounding: their fraction is drawn by itself. Equal rows are
-    separate documents. A null source is a source; a null doc_id is drawn by its row.
+    separate documents, told apart by a number so that they need not meet. A null source is a source; a null doc_id is drawn by its row.
     """
     found, _ = write_stage(targets(sized, weights, share, most), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    key = F.xxhash64("doc_id", "size", F.when(F.col("doc_id").isNull(), F.col("row")))
+    again, _ = write_stage(repeats(sized), "again")
+    key = F.xxhash64("doc_id", "size", F.when(F.col("doc_id").isNull(), F.col("row")), "occurrence")
     same_source = sized["source"].eqNullSafe(found["source"])
     rated = (
         sized.join(found, same_source)
         .select("row", "doc_id", sized["source"].alias("source"), "size", "source_size", "target", rate.alias("rate"))
         .withColumn("whole", F.floor("rate"))
         .withColumn("p", F.col("rate") - F.col("whole"))
+        .join(broadcast_if_small(again), "row", "left")
         .withColumn("key", key)
+        .drop("occurrence")
     )
     rated, _ = write_stage(rated, "rated")
     rounded = pivotal_rounding(rated.where("size > 0 and p > 0").select("row", "key", "source", "size", "p"), seed)

@@ -199,6 +199,8 @@ def _chooser(for_windows: bool):
     """Cells of anchors and zone maps to (anchor, shelf, bits of the blocks it must read)."""
 
     def each(asked: pa.Table, zones: pa.Table) -> pa.Table:
+        if not asked.num_rows or not zones.num_rows:
+            return pa.table([pa.array([], pa.int64())] * 3, ["a", "shelf", "bits"])
         a, label, x = np.asarray(asked.column("a")), np.asarray(asked.column("label")), _matrix(asked.column("x"))
         home = np.asarray(asked.column("home"))
         windows, floors = ([r or [] for r in asked.column(c).to_pylist()] for c in ("windows", "floors"))

@@ -168,20 +168,20 @@ def with_posterior(scored: DataFrame, host: str = "source", path: str = "lang")
     Paths lie within hosts; a null host or path is one of its own. Shares leave out the row
     itself. Of an empty table nothing follows.
     """
-    sums = [F.sum("__p").alias("good"), F.count(F.lit(1)).alias("many")]
+    sums = [F.sum("__p").alias("__good"), F.count(F.lit(1)).alias("__many")]
     paths, _ = write_stage(scored.groupBy(F.col(host).alias("__host"), F.col(path).alias("__path")).agg(*sums), "paths")
-    hosts, _ = write_stage(paths.groupBy("__host").agg(F.sum("good").alias("host_good"), F.sum("many").alias("host_many")), "hosts")
-    total = hosts.agg(F.sum("host_good"), F.sum("host_many")).first()
+    hosts, _ = write_stage(paths.groupBy("__host").agg(F.sum("__good").alias("__host_good"), F.sum("__many").alias("__host_many")), "hosts")
+    total = hosts.agg(F.sum("__host_good"), F.sum("__host_many")).first()
     base = float(np.clip((total[0] or 0.0) / (total[1] or 1), 1e-6, 1 - 1e-6))
-    of_hosts = _strength(hosts, "host_good", "host_many", F.lit(base))
+    of_hosts = _strength(hosts, "__host_good", "__host_many", F.lit(base))
     sites = paths.join(hosts, paths["__host"].eqNullSafe(hosts["__host"])).select(
-        paths["__host"], "__path", "good", "many", "host_good", "host_many"
+        paths["__host"], "__path", "__good", "__many", "__host_good", "__host_many"
     )
-    host_share = (F.col("host_good") + of_hosts * base) / (F.col("host_many") + of_hosts)
-    of_paths = _strength(sites, "good", "many", host_share)
+    host_share = (F.col("__host_good") + of_hosts * base) / (F.col("__host_many") + of_hosts)
+    of_paths = _strength(sites, "__good", "__many", host_share)
     sites = broadcast_if_small(sites)
-    own_host = (F.col("host_good") - F.col("__p") + of_hosts * base) / (F.col("host_many") - 1 + of_hosts)
-    own_path = (F.col("good") - F.col("__p") + of_paths * F.col("__host_share")) / (F.col("many") - 1 + of_paths)
+    own_host = (F.col("__host_good") - F.col("__p") + of_hosts * base) / (F.col("__host_many") - 1 + of_hosts)
+    own_path = (F.col("__good") - F.col("__p") + of_paths * F.col("__host_share")) / (F.col("__many") - 1 + of_paths)
     same = F.col(f"`{host}`").eqNullSafe(F.col("__host")) & F.col(f"`{path}`").eqNullSafe(F.col("__path"))
     joined = scored.join(sites, same).withColumn("__host_share", own_host).withColumn("__path_share", own_path)
     odds = _log_odds(F.col("__p")) + SITE_WEIGHT * (_log_odds(F.col("__path_share")) - float(np.log(base / (1 - base))))
@@ -209,6 +209,10 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents whose posterior reaches the threshold, with their columns."""
+    """The documents whose posterior reaches the threshold, with their columns.
+
+    A null or empty text is judged by its zero counts, a null source or language is a site of its
+    own, and rows that repeat an id are judged one by one. An empty table gives none.
+    """
     scored, _ = write_stage(with_evidence(docs, fit(docs, labels)), "evidence")
     return with_posterior(scored).where(F.col("__posterior") >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])

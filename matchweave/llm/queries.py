@@ -150,17 +150,17 @@ FROM bits
 
 ORACLES["op6_topk"] = """
 WITH v AS (
-    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+    SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
     FROM embeddings
     WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
       AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
-    FROM v q JOIN v c ON c.vec_id <> q.vec_id
+    SELECT q.vec_id AS query_id, q.r, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+    FROM v q JOIN v c ON c.r <> q.r
     WHERE q.vec_id % 50 = 0
 )
 SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id, r ORDER BY score DESC, vec_id) AS n FROM s)
 WHERE n <= 5
 """
 

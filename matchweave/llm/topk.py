@@ -27,15 +27,16 @@ LONG = (1 << 63) - 1
 
 
 def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """vec_id, embedding as doubles, of rows that take part.
+    """vec_id, embedding as doubles, row (its number), of rows that take part.
 
-    Rows with a null id or vector, or a null or non-finite component, are left out. Of rows
-    that repeat an id the smallest vector counts. Shorter vectors count as ended by zeros.
+    Rows with a null id or vector, or a null or non-finite component, are left out. Rows that
+    repeat an id are rows of their own. Shorter vectors count as ended by zeros.
     """
     x = F.col(embedding).cast("array<double>")
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     rows = vectors.select(F.col(vec_id).alias("vec_id"), x.alias("embedding")).where(F.col("vec_id").isNotNull())
-    return rows.where(F.col("embedding").isNotNull() & F.coalesce(finite, F.lit(False))).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    kept = rows.where(F.col("embedding").isNotNull() & F.coalesce(finite, F.lit(False)))
+    return kept.withColumn("row", F.monotonically_increasing_id())
 
 
 def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
@@ -49,23 +50,27 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return np.ascontiguousarray(out.T)
 
 
-def best_of(queries: np.ndarray, query_ids: np.ndarray, cands: np.ndarray, cand_ids: np.ndarray, k: int = K, step: int = STEP):
+def best_of(
+    queries: np.ndarray, query_rows: np.ndarray, cands: np.ndarray, cand_ids: np.ndarray, k: int = K, step: int = STEP, cand_rows: np.ndarray | None = None
+):
     """(query, candidate, score) positions and values of each query's k best candidates.
 
     Matrices are (dimensions, rows) of integral doubles; candidates come by rising id.
-    Equal scores go to the smaller id; a query's own id is not a candidate.
+    Equal scores go to the smaller id; a query's own row (by its number, or by its id where no
+    numbers are given) is not a candidate.
     """
+    cand_rows = cand_ids if cand_rows is None else cand_rows
     dims = len(cands)
     largest = np.abs(queries).max(initial=0.0) * np.abs(cands).max(initial=0.0) * max(dims, 1)
     if largest >= 2.0**52:
-        yield from _best_of_large(queries, query_ids, cands, cand_ids, k)
+        yield from _best_of_large(queries, query_rows, cands, cand_ids, k, cand_rows)
         return
     cuts = list(range(0, dims, step))
     # Length of the part of each vector from a cut on, rounded up.
     rest = lambda m: [np.sqrt((m[c:] ** 2).sum(axis=0)) * (1 + 1e-9) for c in [*cuts[1:], dims]]
     q_rest, c_rest = rest(queries), rest(cands)
     for q in range(queries.shape[1]):
-        live = np.flatnonzero(cand_ids != query_ids[q])
+        live = np.flatnonzero(cand_rows != query_rows[q])
         score, block = np.zeros(len(live)), cands
         block_live = None if len(live) == cands.shape[1] else live
         for n, cut in enumerate(cuts):
@@ -85,7 +90,7 @@ def best_of(queries: np.ndarray, query_ids: np.ndarray, cands: np.ndarray, cand_
             yield q, int(live[i]), int(score[i])
 
 
-def _best_of_large(queries, query_ids, cands, cand_ids, k):
+def _best_of_large(queries, query_rows, cands, cand_ids, k, cand_rows):
     """The same with unbounded integers, for components too large for exact doubles."""
     whole = [[int(x) for x in row] for row in cands.T]
     for q in range(queries.shape[1]):
@@ -93,7 +98,7 @@ def _best_of_large(queries, query_ids, cands, cand_ids, k):
         scores = [
             (-max(-LONG, min(LONG, sum(a * b for a, b in zip(own, row)))), int(cand_ids[i]), i)
             for i, row in enumerate(whole)
-            if cand_ids[i] != query_ids[q]
+            if cand_rows[i] != query_rows[q]
         ]
         for score, _, i in sorted(scores)[:k]:
             yield q, i, -score
@@ -102,35 +107,44 @@ def _best_of_large(queries, query_ids, cands, cand_ids, k):
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, step: int = STEP) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of the k best candidates of each query.
 
-    Both tables have vec_id (long, unique) and embedding (doubles) as `usable` gives them.
+    Both tables have vec_id, embedding and row (unique) as `usable` gives them.
     Scores beyond a long stop at its limits. Fewer candidates than k are all returned.
     """
     slots = group_count(candidates.count(), CANDIDATES)
     blocks = group_count(queries.count(), QUERIES)
-    slot = F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(slots))
-    block = F.pmod(F.xxhash64(F.lit(2), "vec_id"), F.lit(blocks))
+    slot = F.pmod(F.xxhash64(F.lit(1), "row"), F.lit(slots))
+    block = F.pmod(F.xxhash64(F.lit(2), "row"), F.lit(blocks))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    c = candidates.select("vec_id", "embedding", slot.alias("slot"), every(blocks).alias("block"))
-    q = queries.select("vec_id", "embedding", block.alias("block"), every(slots).alias("slot"))
+    c = candidates.select("vec_id", "row", "embedding", slot.alias("slot"), every(blocks).alias("block"))
+    q = queries.select("vec_id", "row", "embedding", block.alias("block"), every(slots).alias("slot"))
     cell = (F.col("slot") * F.lit(blocks) + F.col("block")).alias("cell")
 
+    names = ("query_row", "row", "query_id", "vec_id", "score")
+
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        left = left.sort_by("vec_id")
+        if not left.num_rows or not right.num_rows:
+            return pa.table([pa.array([], pa.int64())] * len(names), list(names))
+        left = left.sort_by([("vec_id", "ascending"), ("row", "ascending")])
         width = max([0, *(int(np.max(np.asarray(t.column("embedding").combine_chunks().value_lengths()), initial=0)) for t in (left, right))])
         ids, asked = np.asarray(left.column("vec_id")), np.asarray(right.column("vec_id"))
-        found = list(best_of(_matrix(right.column("embedding"), width), asked, _matrix(left.column("embedding"), width), ids, k, step))
+        rows, own = np.asarray(left.column("row")), np.asarray(right.column("row"))
+        found = list(best_of(_matrix(right.column("embedding"), width), own, _matrix(left.column("embedding"), width), ids, k, step, rows))
         qi, ci, score = (np.array(x, np.int64) for x in zip(*found)) if found else [np.zeros(0, np.int64)] * 3
-        return pa.table({"query_id": pa.array(asked[qi], pa.int64()), "vec_id": pa.array(ids[ci], pa.int64()), "score": pa.array(score, pa.int64())})
+        return pa.table({"query_row": pa.array(own[qi], pa.int64()), "row": pa.array(rows[ci], pa.int64()), "query_id": pa.array(asked[qi], pa.int64()), "vec_id": pa.array(ids[ci], pa.int64()), "score": pa.array(score, pa.int64())})
 
-    cells = c.select(cell, "vec_id", "embedding").groupBy("cell")
-    met = cells.cogroup(q.select(cell, "vec_id", "embedding").groupBy("cell")).applyInArrow(
-        search, "query_id long, vec_id long, score long"
+    cells = c.select(cell, "vec_id", "row", "embedding").groupBy("cell")
+    met = cells.cogroup(q.select(cell, "vec_id", "row", "embedding").groupBy("cell")).applyInArrow(
+        search, "query_row long, row long, query_id long, vec_id long, score long"
     )
-    ranked = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    ranked = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row"))
     return met.withColumn("rank", ranked).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def nearest_of_every(vectors: DataFrame, every: int = 50, k: int = K) -> DataFrame:
-    """The k best of all other rows for each row whose id is divisible by ``every``."""
+    """The k best of all other rows for each row whose id is divisible by ``every``.
+
+    Which rows take part, and what repeated ids, nulls and short vectors mean: `usable`. Equal
+    scores go to the smaller id, then to the earlier row. An empty table gives no row.
+    """
     rows, _ = write_stage(usable(vectors), "vectors")
     return top_k(rows.where(F.col("vec_id") % every == 0), rows, k)

@@ -45,6 +45,8 @@ CATEGORIES = {
     "contempt": ("trash", "worthless", "scum", "pathetic", "disgusting", "vile", "garbage"),
 }
 TOXIC = "toxic"
+# Intercept of a model that finds nothing.
+NEVER = -50.0
 
 
 def words_of(text: str | None) -> set[str]:
@@ -160,7 +162,7 @@ def fit_chain(x: Cells, marks: np.ndarray, folds: int = FOLDS) -> list[np.ndarra
 def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Sequence[str]] | None = None, sample: int = SAMPLE) -> Chain:
     """A chain learned from labels (doc_id, toxic) of documents (doc_id, text).
 
-    With no labelled document of either class, the chain predicts the share of toxic labels.
+    Without labelled documents of both classes nothing tells them apart: no document is toxic.
     """
     categories = CATEGORIES if categories is None else categories
     chosen = sampled_labels(labels, TOXIC, sample)
@@ -173,6 +175,8 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Sequence[str]]
     rows = _numbered(chosen, list(vocabulary)).toArrow()
     x = cells_of(rows.column("held").combine_chunks(), len(vocabulary))
     marks = np.array(rows.column("marks").to_pylist(), int).reshape(rows.num_rows, len(names))
+    if len(set(marks[:, -1].tolist())) < 2:
+        return Chain(names, {}, [np.append(np.zeros(i), NEVER) for i in range(len(names))])
     return Chain(names, vocabulary, fit_chain(x, marks))
 
 
@@ -204,7 +208,14 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that are not judged toxic, with their columns."""
+    """The documents that are not judged toxic, with their columns, whatever those are called.
+
+    A null or empty text has no word and is judged by that; rows that repeat an id are judged one
+    by one, and a probability equal to the threshold is toxic. Without labels of both classes
+    every document stays; an empty table gives none.
+    """
     chain = fit(docs, labels)
     names = docs.columns
-    return score(docs, chain).where(F.col(f"p_{TOXIC}") < threshold).select(*names)
+    own = {c: f"__own_{i}" for i, c in enumerate(names) if c != "text"}
+    scored = score(docs.withColumnsRenamed(own), chain).where(F.col(f"p_{TOXIC}") < threshold)
+    return scored.select(*[F.col(f"`{own.get(c, c)}`").alias(c) for c in names])

@@ -17,6 +17,7 @@ import posixpath
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -41,14 +42,14 @@ def sha1_base32(digest: bytes) -> str:
 
 
 def record_id(page: object, row: int) -> str:
-    """Identifier of a record: the page's id and the number of its row, which keeps it unique."""
-    return f"<urn:page:{'' if page is None else page}:{row}>"
+    """Identifier of a record: the page's id, percent-encoded, and the number of its row, which keeps it unique."""
+    return f"<urn:page:{'' if page is None else '=' + quote(str(page), safe='')}:{row}>"
 
 
 def page_of(column: str) -> Column:
     """The page id that a record identifier holds; null where the page had none."""
-    found = F.regexp_extract(F.col(column), r"^<urn:page:(.*):\d+>$", 1)
-    return F.when(F.col(column).isNotNull() & (found != ""), found)
+    found = F.regexp_extract(F.col(column), r"^<urn:page:(=?.*):\d+>$", 1)
+    return F.when(F.col(column).isNotNull() & found.startswith("="), F.url_decode(F.substr(found, F.lit(2))))
 
 
 def planned(pages: DataFrame, minimum: int = 0) -> DataFrame:

@@ -116,3 +116,11 @@ def test_files_are_standard(spark, tmp_path):
         with store.open_input_stream(path, compression=None) as stream:
             data = gzip.decompress(stream.read())
         assert data.startswith(b"WARC/1.1\r\nWARC-Type: ") and data.endswith(b"\r\n\r\n")
+
+
+def test_any_page_id_comes_back(spark):
+    ids = ["", "a\nb", "x+y%20z", "é:1", "=", None, "plain"]
+    rows = [(i, "u", "x" * 50) for i in ids]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id string, url string, html string").repartition(2)).collect()
+    assert sorted(map(repr, (r["page_id"] for r in got))) == sorted(map(repr, ids))
+    assert {r["refers_to"] for r in got if r["record_type"] == "revisit"} == {""}
