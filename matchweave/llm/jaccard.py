@@ -41,7 +41,7 @@ WORDS = 4
 THRESHOLD = (85, 100)
 # A key is dear when its sets have more pairs of different classes than this many a set, pairs with
 # the key's largest class aside; of those, which distances mostly settle, there may be more.
-PAIRS_PER_SET = 16
+PAIRS_PER_SET = 8
 BOUNDED_PAIRS_PER_SET = 1024
 # How often dear keys are dealt again before their remaining pairs are compared all the same.
 REDEALS = 3
@@ -343,7 +343,9 @@ class Join:
         strays = direct.where("root <> most").select("key", *[F.col(c).alias(n) for c, n in second.items()])
         both = F.col("size") + F.col("size2")
         least = F.greatest(F.col("low") - F.col("high2"), F.col("low2") - F.col("high"), F.abs(F.col("size") - F.col("size2")))
-        met = direct.join(strays, (direct["key"] == strays["key"]) & (F.col("root") != F.col("root2")) & self.may_link(least, both))
+        # Two strays meet from both sides, so one of them is enough.
+        once = (F.col("root") == F.col("most")) | (F.col("rep") < F.col("rep2"))
+        met = direct.join(strays, (direct["key"] == strays["key"]) & (F.col("root") != F.col("root2")) & once & self.may_link(least, both))
         met = met.select(F.greatest("rep", "rep2").alias("a"), F.least("rep", "rep2").alias("b")).distinct()
         self.add(self.verified(met))
         dear = apart.where(~cheap).select("key")
