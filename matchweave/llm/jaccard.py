@@ -2,19 +2,21 @@
 
 Sets are grouped into size bands no wider than the threshold's ratio, so linked sets lie in one
 band or in two neighbouring ones. For a band the most that two linked sets can differ by, H, is
-known, and hashing deals all shingles into an even number of segments, more than H. Segments are
-taken two by two: of linked sets some couple of segments differs in at most one shingle. One of
-its two segments is then equal, and the other equal or one shingle short on one side.
-
-So a set is indexed by what it has in each single segment, which finds every linked pair. What
-this costs is counted for every key over all data. Where a key is cheap, the sets that share it
-are compared. Where it is dear (a common passage, an empty segment), the sets are instead
-indexed by that key together with the couple's other segment: whole, and once for each shingle
-left out. Linked sets that met in a dear key meet there again; others hardly do. Keys that stay
-dear are dealt again by segments of other hashes, since linked sets share some segment of each.
+known, and hashing deals all shingles into an even number of segments, by some more than H. So
+linked sets have several segments in common, and of segments taken two by two, several couples
+differ in at most one shingle: one segment is equal, the other equal or one shingle short on one
+side.
+
+A set is indexed by what it has in each single segment. What this costs is counted for every key
+over all data. Where a key is cheap, the sets that share it are compared; a dear key (a common
+passage, an empty segment) is left alone. Who has fewer dear keys than linked sets have segments
+in common has met all its partners in cheap ones. Only the few other sets are indexed further:
+by a dear segment together with the couple's other one, whole and once for each shingle left out.
+Again only sets with too many dear couples stay; they are dealt anew by other hashes, and what is
+dear at last is compared all the same.
 
 Sets that share a key are first compared with the smallest of them only, and what links falls
-into classes. Only pairs of different classes are compared afterwards, so that large groups of
+into classes; what stays apart is compared with a few members of the key's largest class. Only pairs of different classes are compared afterwards, so that large groups of
 copies cost little. A comparison first bounds the difference from below by sketches of parities,
 which can only admit too much, and then counts the whole sets' common shingles. In how many
 shingles two sets differ is a metric: where one set is close to the smallest of a key and another
@@ -43,11 +45,23 @@ THRESHOLD = (85, 100)
 # the key's largest class aside; of those, which distances mostly settle, there may be more.
 PAIRS_PER_SET = 8
 BOUNDED_PAIRS_PER_SET = 1024
-# How often dear keys are dealt again before their remaining pairs are compared all the same.
-REDEALS = 3
+# Segments beyond the least number, in hundredths of how much linked sets differ by at most.
+SPARE = 15
+# How many members of a key's largest class the others are compared with before all of them.
+PIVOTS = 2
+# How often sets with too many dear keys are dealt again before these keys' pairs are compared all the same.
+REDEALS = 1
 LARGEST = 1 << 40
 # Of keys that sets of any size may share.
 ANY_BAND = -1
+BAND_BITS = np.uint64(0xFF)
+# Sets whose keys are packed together, and keys of a bucket that one task sorts at once.
+SETS_AT_ONCE = 4096
+KEYS_PER_BUCKET = 2_000_000
+# A key that so many sets of a pack share does not go to the one task of its bucket.
+OFTEN = 8
+# Numbers without other columns may be broadcast up to this count (about 32 MB).
+BROADCAST_NUMBERS = 1_000_000
 
 _MIX_A, _MIX_B = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
@@ -91,9 +105,15 @@ class Bands:
         return (self.high - self.low) * 2 * (self.starts[band + 1] - 1) // (self.high + self.low)
 
     def segments(self, band: int) -> int:
-        more = self.difference(band) + 1
+        differ = self.difference(band)
+        more = differ + 1 + SPARE * differ // 100
         return more + more % 2
 
+    def in_common(self) -> tuple[list[int], list[int]]:
+        """For each band, how many segments of linked sets are equal, and how many couples nearly, at least."""
+        of = [(self.segments(b), self.difference(b)) for b in range(len(self.starts) - 1)]
+        return [n - d for n, d in of], [n // 2 - d // 2 for n, d in of]
+
     def sums(self, hashes: np.ndarray, band: int, deal: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Sum of the (scrambled) shingles in each segment, and the segment of each shingle."""
         count = self.segments(band)
@@ -103,46 +123,36 @@ class Bands:
         return sums, place
 
     def keys(self, hashes: np.ndarray, band: int, deal: int = 0) -> np.ndarray:
-        """One key for each segment."""
+        """One key for each segment; its last bits are the band."""
         sums, _ = self.sums(hashes, band, deal)
-        return _mix(sums + _mix(np.arange(len(sums), dtype=np.uint64) + _salt(band, deal, 1)))
+        mixed = _mix(sums + _mix(np.arange(len(sums), dtype=np.uint64) + _salt(band, deal, 1)))
+        return (mixed & ~BAND_BITS) | np.uint64(band)
 
-    def all_keys(self, hashes: np.ndarray) -> np.ndarray:
-        found = [self.keys(hashes, b) for b in self.of(len(hashes))]
+    def all_keys(self, hashes: np.ndarray, deal: int = 0) -> np.ndarray:
+        found = [self.keys(hashes, b, deal) for b in self.of(len(hashes))]
         return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
-    def one_left_out(self, hashes: np.ndarray, dear: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Keys, and their bands, of dear segments with the other segment of their couple.
+    def one_left_out(self, hashes: np.ndarray, dear: np.ndarray, deal: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Keys, and their couples, of dear segments with the other segment of their couple.
 
-        The other segment counts whole and once for each of its shingles left out.
+        The other segment counts whole and once for each of its shingles left out. The last bits
+        of a key are the band.
         """
-        keys, bands = [], []
+        keys, couples = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for band in self.of(len(hashes)):
-            own = self.keys(hashes, band)
+            own = self.keys(hashes, band, deal)
             at = np.flatnonzero(np.isin(own, dear))
             if not len(at):
                 continue
-            sums, place = self.sums(hashes, band)
+            sums, place = self.sums(hashes, band, deal)
             mixed = _mix(hashes)
             for i in at.tolist():
                 other = i ^ 1
                 left = np.append(sums[other] - mixed[place == other], sums[other])
-                keys.append(_mix(_mix(left + _salt(band, 2)) ^ own[i]))
-                bands.append(np.full(len(left), band, np.int32))
-        if not keys:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int32)
-        return np.concatenate(keys), np.concatenate(bands)
-
-    def dealt_again(self, hashes: np.ndarray, dear: np.ndarray, bands: np.ndarray, deal: int):
-        """Keys, and their bands, of each dear key with each segment of another dealing."""
-        keys, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
-        for given in np.unique(bands).tolist():
-            for band in self.of(len(hashes)) if given == ANY_BAND else [given]:
-                segments = self.keys(hashes, band, deal)
-                for key in dear[bands == given]:
-                    keys.append(_mix(segments ^ _mix(key + _salt(deal, 3))))
-                    of.append(np.full(len(segments), band, np.int32))
-        return np.concatenate(keys), np.concatenate(of)
+                found = _mix(_mix(left + _salt(band, deal, 2)) ^ own[i])
+                keys.append((found & ~BAND_BITS) | np.uint64(band))
+                couples.append(np.full(len(left), i // 2, np.int64))
+        return np.concatenate(keys), np.concatenate(couples)
 
 
 def parities(hashes: np.ndarray) -> np.ndarray:
@@ -170,7 +180,7 @@ def _signatures(docs: DataFrame, words: int, bands: Bands) -> DataFrame:
                     part.column(3),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([bands.all_keys(s).view(np.int64) if len(s) else [] for s in sets], pa.list_(pa.int64())),
+                    pa.array([bands.all_keys(s).tobytes() if len(s) else b"" for s in sets], pa.binary()),
                     pa.array([parities(s) if len(s) else [] for s in sets], pa.list_(pa.int64())),
                 ]
                 yield pa.RecordBatch.from_arrays(arrays, ["row", "doc_id", "text_hash", "digest", "size", "keys", "sketch"])
@@ -184,7 +194,7 @@ def _signatures(docs: DataFrame, words: int, bands: Bands) -> DataFrame:
     )
     return numbered.mapInArrow(
         each,
-        f"row long, doc_id {kind}, text_hash long, digest binary, size long, keys array<long>, sketch array<long>",
+        f"row long, doc_id {kind}, text_hash long, digest binary, size long, keys binary, sketch array<long>",
     )
 
 
@@ -210,30 +220,111 @@ def _sets(docs: DataFrame, reps: DataFrame, wanted: DataFrame, words: int) -> Da
     return texts.mapInArrow(each, "rep long, set array<long>").dropDuplicates(["rep"])
 
 
-def _further_keys(docs: DataFrame, reps: DataFrame, dear: DataFrame, words: int, bands: Bands, deal: int) -> DataFrame:
-    """key, band, rep in place of the dear keys (key, band, rep) of each set.
+def _shared_keys(signed: DataFrame, bands: Bands) -> DataFrame:
+    """key, band, slot, rep of the keys that several sets (``row``, ``keys``) share.
+
+    Most keys are of one set only. So the keys of some thousand sets are packed together by
+    bucket, sorted, and only packs are shuffled; the task of a bucket keeps what comes twice. Of a
+    key that is frequent in a pack only a mark goes to its bucket, and its sets go to any task.
+    """
+    total = signed.agg(F.sum(F.octet_length("keys"))).first()[0] or 0
+    buckets = max(int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // 8 // KEYS_PER_BUCKET + 1)
+    schema = pa.schema([("bucket", pa.int32()), ("reps", pa.binary()), ("keys", pa.binary()), ("at", pa.binary())])
+    mark = np.uint16(SETS_AT_ONCE)
+
+    def packed(rows: np.ndarray, lists: list[bytes]) -> pa.RecordBatch:
+        keys = np.concatenate([np.frombuffer(k, np.uint64) for k in lists])
+        at = np.repeat(np.arange(len(lists), dtype=np.uint16), [len(k) // 8 for k in lists])
+        order = np.argsort(keys, kind="stable")
+        keys, at = keys[order], at[order]
+        _, start, many = np.unique(keys, return_index=True, return_counts=True)
+        often = np.repeat(many >= OFTEN, many)
+        marked = start[many >= OFTEN]
+        plain = np.concatenate((keys[~often], keys[marked]))
+        whose = np.concatenate((at[~often], np.full(len(marked), mark)))
+        bucket = ((_mix(plain) >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+        by = np.argsort(bucket, kind="stable")
+        ends = np.searchsorted(bucket[by], np.arange(buckets + 1))
+        parts = [(n, plain[by[i:j]], whose[by[i:j]]) for n, (i, j) in enumerate(zip(ends, ends[1:])) if i < j]
+        if often.any():
+            any_bucket = int(_mix(rows[:1].astype(np.uint64) + np.uint64(1))[0] % np.uint64(buckets))
+            parts.append((buckets + any_bucket, keys[often], at[often]))
+        found = []
+        for n, k, w in parts:
+            used, place = np.unique(w, return_inverse=True)
+            reps = np.where(used == mark, -1, rows[np.minimum(used, len(rows) - 1)])
+            found.append({"bucket": n, "reps": reps.tobytes(), "keys": k.tobytes(), "at": place.astype(np.uint16).tobytes()})
+        return pa.RecordBatch.from_pylist(found, schema)
+
+    def pack(batches):
+        rows, lists = [], []
+        for batch in batches:
+            for part in slices(batch):
+                rows += part.column(0).to_pylist()
+                lists += part.column(1).to_pylist()
+                while len(rows) >= SETS_AT_ONCE:
+                    yield packed(np.array(rows[:SETS_AT_ONCE]), lists[:SETS_AT_ONCE])
+                    del rows[:SETS_AT_ONCE], lists[:SETS_AT_ONCE]
+        if rows:
+            yield packed(np.array(rows), lists)
+
+    def settled(held):
+        keys = np.concatenate([k for k, _ in held])
+        reps = np.concatenate([r for _, r in held])
+        order = np.argsort(keys, kind="stable")
+        keys, reps = keys[order], reps[order]
+        edge = np.append(True, keys[1:] != keys[:-1])
+        several = ~(edge & np.append(edge[1:], True))
+        kept = several & (reps >= 0)
+        return pa.RecordBatch.from_arrays([pa.array(keys[kept].view(np.int64)), pa.array(reps[kept])], ["key", "rep"])
+
+    def unpack(batches):
+        held, now = [], None
+        for batch in batches:
+            for bucket, reps, keys, at in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if bucket != now and held:
+                    yield settled(held)
+                    held = []
+                now = bucket
+                k, r = np.frombuffer(keys, np.uint64), np.frombuffer(reps, np.int64)[np.frombuffer(at, np.uint16)]
+                if bucket >= buckets:
+                    yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(r)], ["key", "rep"])
+                else:
+                    held.append((k, r))
+        if held:
+            yield settled(held)
+
+    packs = signed.select("row", "keys").mapInArrow(pack, "bucket int, reps binary, keys binary, at binary")
+    dealt = packs.repartition(min(buckets, 4096), "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(unpack, "key long, rep long").select("key", _band_of("key"), F.col("key").alias("slot"), "rep")
+
+
+def _band_of(key: str) -> Column:
+    return F.col(key).bitwiseAND(F.lit(int(BAND_BITS))).cast("int").alias("band")
 
-    At first (``deal`` 0) with one shingle left out, later by another dealing of all shingles.
+
+def _further_keys(docs: DataFrame, reps: DataFrame, dear: DataFrame, words: int, bands: Bands, deal: int, whole: bool) -> DataFrame:
+    """key, band, slot, rep of the sets with dear keys (key, rep).
+
+    Either of each segment of a dealing (``whole``), or of the dear ones with one shingle left out.
     """
 
     def each(batches):
         for batch in batches:
             for part in slices(batch):
-                reps, texts, keys, of = (part.column(i) for i in range(4))
-                for rep, text, own, in_band in zip(reps.to_pylist(), texts.to_pylist(), keys, of):
-                    dear_keys = np.array(own.as_py(), np.int64).view(np.uint64)
-                    if deal:
-                        found, band = bands.dealt_again(shingles(text, words), dear_keys, np.array(in_band.as_py(), np.int32), deal)
+                for rep, text, own in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2)):
+                    if whole:
+                        found = bands.all_keys(shingles(text, words), deal)
+                        slots = found.view(np.int64)
                     else:
-                        found, band = bands.one_left_out(shingles(text, words), dear_keys)
-                    arrays = [pa.array(found.view(np.int64)), pa.array(band, pa.int32()), pa.array(np.full(len(found), rep, np.int64))]
-                    yield pa.RecordBatch.from_arrays(arrays, ["key", "band", "rep"])
+                        found, slots = bands.one_left_out(shingles(text, words), np.array(own.as_py(), np.int64).view(np.uint64), deal)
+                    arrays = [pa.array(found.view(np.int64)), pa.array(slots), pa.array(np.full(len(found), rep, np.int64))]
+                    yield pa.RecordBatch.from_arrays(arrays, ["key", "slot", "rep"])
 
     # A set has no more dear keys than keys, so the lists are as long as its own text at most.
-    listed = dear.groupBy("rep").agg(F.collect_list(F.struct("key", "band")).alias("dear"))
-    listed = listed.select("rep", F.col("dear.key").alias("keys"), F.col("dear.band").alias("bands"))
-    texts = _texts_of(docs, reps, listed).select("rep", "text", "keys", "bands")
-    return texts.mapInArrow(each, "key long, band int, rep long").distinct()
+    listed = dear.groupBy("rep").agg(F.collect_set("key").alias("keys"))
+    texts = _texts_of(docs, reps, listed).select("rep", "text", "keys")
+    return texts.mapInArrow(each, "key long, slot long, rep long").distinct().select("key", _band_of("key"), "slot", "rep")
 
 
 def _differing_bits(x: Column, y: Column) -> Column:
@@ -254,7 +345,8 @@ class Join:
     def __init__(self, docs: DataFrame, reps: DataFrame, words: int, bands: Bands):
         self.docs, self.reps, self.words, self.bands = docs, reps, words, bands
         self.spark = docs.sparkSession
-        self.links: DataFrame | None = None
+        self.links = self.spark.createDataFrame([], "a long, b long")
+        self.equal, self.nearly = bands.in_common()
 
     def met(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) with the size of a, both sizes together and the bits that differ (a lower bound)."""
@@ -307,24 +399,53 @@ class Join:
     def classed(self) -> DataFrame:
         """node, root of all links so far."""
         out, _ = write_stage(components(self.links), "classes")
+        # The classes say the same as all links that they came from, in fewer rows.
+        self.links = out.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
         return out
 
     def add(self, found: DataFrame) -> None:
-        self.links = found if self.links is None else self.links.unionByName(found)
+        self.links = self.links.unionByName(found)
 
-    def round(self, members: DataFrame, all_pairs: bool = False) -> tuple[DataFrame | None, list[str]]:
-        """Links the sets that share keys (key, band, rep); returns the dear keys' rows, if any, and their folder."""
+    def rooted(self, held: DataFrame) -> tuple[DataFrame, str]:
+        """key, band, slot, rep, first and the root of its class so far."""
+        roots = self.classed()
+        out = held.join(broadcast_if_small(roots), F.col("rep") == F.col("node"), "left")
+        return write_stage(out.select("key", "band", "slot", "rep", "first", F.coalesce("root", "rep").alias("root")), "rooted")
+
+    def met_by_pivots(self, held: DataFrame) -> tuple[DataFrame, str]:
+        """The rows of keys with their classes, after comparing each with some of its key's largest class."""
+        rooted, path = self.rooted(held)
+        for turn in range(PIVOTS):
+            parts = rooted.groupBy("key", "root").agg(
+                F.count(F.lit(1)).alias("n"), F.min_by("rep", F.xxhash64(F.lit(turn), "rep")).alias("pivot")
+            )
+            largest = parts.groupBy("key").agg(F.max(F.struct("n", "root", "pivot")).alias("most"), F.count(F.lit(1)).alias("classes"))
+            largest = largest.where("classes > 1").select("key", F.col("most.root").alias("of"), F.col("most.pivot").alias("pivot"))
+            if largest.isEmpty():
+                break
+            pairs = rooted.join(broadcast_if_small(largest), "key").where(F.col("root") != F.col("of"))
+            pairs = pairs.select(F.greatest("rep", "pivot").alias("a"), F.least("rep", "pivot").alias("b")).distinct()
+            self.add(self.verified(pairs))
+            before = path
+            rooted, path = self.rooted(rooted.drop("root"))
+            drop_stage(self.spark, before)
+        return rooted, path
+
+    def round(self, members: DataFrame, common: list[int] | None = None, all_pairs: bool = False) -> tuple[DataFrame | None, list[str]]:
+        """Links the sets that share keys (key, band, slot, rep); returns what is dear, if anything, and its folder.
+
+        Linked sets have keys in common in at least as many slots as ``common`` has for the band.
+        """
         groups = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("first")).where("n > 1")
         groups, groups_path = write_stage(groups, "keys")
+        if groups.isEmpty():
+            return None, []
         held, held_path = write_stage(members.join(broadcast_if_small(groups), "key"), "members")
         drop_stage(self.spark, groups_path)
         star = held.where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct()
         far = self.measured(star).withColumnsRenamed({"a": "rep", "b": "first"})
         # Keys of two sets are settled; of others, what is still in different classes is to be met.
-        roots = self.classed()
-        rooted = held.where("n > 2").join(broadcast_if_small(roots), F.col("rep") == F.col("node"), "left")
-        rooted = rooted.select("key", "band", "rep", "first", F.coalesce("root", "rep").alias("root"))
-        rooted, rooted_path = write_stage(rooted, "rooted")
+        rooted, rooted_path = self.met_by_pivots(held.where("n > 2"))
         parts = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).cast("double").alias("n"))
         sums = parts.groupBy("key").agg(
             F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"),
@@ -352,24 +473,44 @@ class Join:
         if all_pairs or dear.isEmpty():
             drop_stage(self.spark, held_path, rooted_path, apart_path)
             return None, []
-        left, left_path = write_stage(rooted.join(broadcast_if_small(dear), "key", "left_semi").select("key", "band", "rep"), "dear")
+        left = rooted.join(broadcast_if_small(dear), "key", "left_semi").select("key", "band", "slot", "rep")
+        left, left_path = write_stage(left, "dear")
         drop_stage(self.spark, held_path, rooted_path, apart_path)
-        return left, [left_path]
+        if common is None:
+            return left, [left_path]
+        # Whoever has fewer dear slots than linked sets have in common met its partners elsewhere.
+        several = left.groupBy("rep", "band").agg(F.count_distinct("slot").alias("n"))
+        several = several.where(F.col("n") >= F.get(F.lit(common), F.col("band"))).select("rep", "band")
+        open_rows, open_path = write_stage(left.join(broadcast_if_small(several), ["rep", "band"], "left_semi"), "open")
+        drop_stage(self.spark, left_path)
+        if open_rows.isEmpty():
+            drop_stage(self.spark, open_path)
+            return None, []
+        return open_rows, [open_path]
+
+    def again(self, dear: DataFrame, paths: list[str], deal: int, whole: bool, all_pairs: bool = False):
+        """A round with further keys of the sets that have dear keys."""
+        further = _further_keys(self.docs, self.reps, dear, self.words, self.bands, deal, whole)
+        members, path = write_stage(further, "further")
+        drop_stage(self.spark, *paths)
+        out = self.round(members, self.equal if whole else self.nearly, all_pairs)
+        drop_stage(self.spark, path)
+        return out
 
-    def run(self, members: DataFrame, first_deal: int = 0) -> DataFrame:
-        """node, root: the classes of all sets that link and share a key (key, band, rep).
+    def run(self, members: DataFrame, segments: bool = True) -> DataFrame:
+        """node, root: the classes of all sets that link and share a key (key, band, slot, rep).
 
-        The first dealing of dear keys leaves one shingle out; it needs keys of segments.
+        The keys are those of all segments, or (``segments`` false) any that linked sets share.
         """
-        dear, paths = self.round(members)
-        for deal in range(first_deal, REDEALS + 1):
+        dear, paths = self.round(members, self.equal if segments else None)
+        if dear is not None and not segments:
+            dear, paths = self.again(dear, paths, 0, whole=True)
+        for deal in range(REDEALS + 1):
             if dear is None:
                 break
-            further = _further_keys(self.docs, self.reps, dear, self.words, self.bands, deal)
-            members, path = write_stage(further, "further")
-            drop_stage(self.spark, *paths)
-            dear, paths = self.round(members, all_pairs=deal == REDEALS)
-            drop_stage(self.spark, path)
+            dear, paths = self.again(dear, paths, deal, whole=False, all_pairs=deal == REDEALS)
+            if dear is not None:
+                dear, paths = self.again(dear, paths, deal + 1, whole=True)
         return self.classed()
 
 
@@ -390,12 +531,15 @@ def classes(docs: DataFrame, words: int = WORDS, threshold: tuple[int, int] = TH
     signed, signed_path = write_stage(_signatures(docs, words, bands), "signed")
     first = signed.where("digest is not null").groupBy("digest").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least"))
     first, first_path = write_stage(first, "firsts")
-    of_rep = signed.select("row", F.col("doc_id").alias("rep_id"), "text_hash", "size", "keys", "sketch")
+    of_rep = signed.select("row", F.col("doc_id").alias("rep_id"), "text_hash", "size", "sketch")
     reps = of_rep.join(broadcast_if_small(first.select("rep", "least")), F.col("row") == F.col("rep")).drop("row")
     reps, reps_path = write_stage(reps, "reps")
     ids, _ = write_stage(signed.select("doc_id", "size", "digest").join(broadcast_if_small(first.select("digest", "rep")), "digest", "left").drop("digest"), "ids")
+    one_each = signed.join(broadcast_if_small(first.select(F.col("rep").alias("row")), BROADCAST_NUMBERS), "row", "left_semi")
+    members, members_path = write_stage(_shared_keys(one_each, bands), "shared")
     drop_stage(spark, signed_path, first_path)
-    found = Join(docs, reps, words, bands).run(reps.select(F.explode("keys").alias("key"), F.lit(0).alias("band"), "rep"))
+    found = Join(docs, reps, words, bands).run(members)
+    drop_stage(spark, members_path)
     least = found.join(reps.select("rep", "least"), F.col("node") == F.col("rep"))
     ends = least.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = found.join(ends, "root").select(F.col("node").alias("rep"), "component_id")
