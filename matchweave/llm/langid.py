@@ -1,10 +1,17 @@
 """Language identification by interpolated Kneser-Ney models of characters.
 
-A text becomes a sequence over a small fixed alphabet: lower-cased letters, with every run
-of other characters as one boundary. A sequence of n characters is then one number below
-``ALPHABET ** ORDER``, its own perfect hash, and a model is a few sorted arrays of such
-numbers with their log probabilities. The alphabet bounds the size of every model, however
-much text it is counted from; counting itself covers all documents.
+A text becomes a sequence of lower-cased letters, with every run of other characters as one
+boundary; it starts and ends with three boundaries. A sequence of four characters is then one
+64-bit number, 16 bits for each: the code point itself, and for letters beyond U+FFFF a hash
+into the 8,448 numbers that stand for no letter. Shorter sequences are its low bits.
+
+Counts, continuation counts, discounts and back-off weights are grouped aggregations over all
+documents. A sequence's log probability is a sum over its ends of one to four characters: what
+an end adds where a language knows it, and what backing off from it costs where it is the
+context. As a text starts and ends alike, every end is a context once, so both make one weight
+for each language and end. The weights are written as sorted arrays, cut into slices by the number
+modulo their count; a task reads slices as it needs them and keeps some, so a model of any size
+will do, and the driver holds none.
 
 A document gets the language whose model gives the lowest cross-entropy per character. A
 second set of models, counted without one fold, scores that fold; how often the winner is
@@ -19,15 +26,21 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchweave.llm.shared import write_stage
+from matchweave.llm.shared import drop_stage, write_stage
 from matchweave.llm.tokens import slices
+from matchweave.sources.store import broadcast_if_small, new_path
 
 ORDER = 4
-BITS = 6
+BITS = 16
 ALPHABET = 1 << BITS
+# Numbers that no letter of the basic plane has (surrogates, private use), for letters beyond it.
+BEYOND, BEYOND_MANY = 0xD800, 0xF900 - 0xD800
 FOLDS = 5
 HELD_OUT = 0
 CALIBRATION = 1
@@ -35,14 +48,20 @@ UNKNOWN = "und"
 REJECT_BELOW = 0.5
 # Characters gathered before equal sequences are counted together.
 CODES_AT_ONCE = 4_000_000
-# All models together may take this much memory; their number of languages is checked by it.
-MODEL_BYTES = 400_000_000
+# Sequences a counting task holds before it hands them on.
+CODES_HELD = 8_000_000
+# Rows of a slice of the models (about 20 MB in a task), and how many slices a worker keeps.
+SLICE_ROWS = 1_000_000
+SLICES_KEPT = 12
+# Scores held at a time: sequences of a piece of text times languages.
+CELLS = 16_000_000
+FULL, PARTIAL = 0, 1
 
 
 @functools.cache
 def letter_classes() -> np.ndarray:
-    """Class of each code point below U+10000: 1-26 for a-z, others by hash, 0 for no letter."""
-    classes = np.zeros(1 << 16, np.int32)
+    """Number of each code point below U+10000: that of its lower-case letter, 0 for no letter."""
+    classes = np.zeros(1 << 16, np.uint64)
     for code in range(1 << 16):
         if chr(code).isalpha():
             classes[code] = _class_of(chr(code))
@@ -51,13 +70,11 @@ def letter_classes() -> np.ndarray:
 
 def _class_of(letter: str) -> int:
     low = letter.lower()[:1]
-    if "a" <= low <= "z":
-        return ord(low) - 96
-    return 27 + zlib.crc32(low.encode("utf-8", "surrogatepass")) % (ALPHABET - 27)
+    return ord(low) if ord(low) < ALPHABET else BEYOND + zlib.crc32(low.encode("utf-8")) % BEYOND_MANY
 
 
 def codes_of(text: str | None) -> np.ndarray:
-    """The numbers of a text's character sequences, one for each character; none without a letter."""
+    """The numbers of a text's character sequences, the last three for its end; none without a letter."""
     points = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), "<u4")
     classes = letter_classes()[np.minimum(points, 0xFFFF)]
     for i in np.flatnonzero(points > 0xFFFF):
@@ -65,13 +82,15 @@ def codes_of(text: str | None) -> np.ndarray:
         classes[i] = _class_of(letter) if letter.isalpha() else 0
     letters = classes != 0
     if not letters.any():
-        return np.zeros(0, np.int32)
+        return np.zeros(0, np.int64)
+    last = len(letters) - int(np.argmax(letters[::-1]))
     after = np.concatenate(([False], letters[:-1]))
-    kept = np.concatenate((np.zeros(ORDER - 1, np.int32), classes[letters | after]))
+    ends = np.zeros(ORDER - 1, np.uint64)
+    kept = np.concatenate((ends, classes[:last][(letters | after)[:last]], ends))
     out = kept[ORDER - 1 :].copy()
     for back in range(1, ORDER):
-        out += kept[ORDER - 1 - back : len(kept) - back] << (BITS * back)
-    return out
+        out |= kept[ORDER - 1 - back : len(kept) - back] << np.uint64(BITS * back)
+    return out.view(np.int64)
 
 
 def fold_of(doc_id: str = "doc_id") -> Column:
@@ -96,6 +115,15 @@ def sequence_counts(labelled: DataFrame) -> DataFrame:
                 held[key] = codes, n
             waiting.clear()
 
+        def hand_on():
+            for (lang, cal), (codes, n) in held.items():
+                many = len(codes)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * many), pa.array([cal] * many), pa.array(codes), pa.array(n.astype(np.int64))],
+                    ["lang", "calibrating", "code", "n"],
+                )
+            held.clear()
+
         for batch in batches:
             for part in slices(batch):
                 for lang, cal, text in zip(*(part.column(i).to_pylist() for i in range(3))):
@@ -106,68 +134,100 @@ def sequence_counts(labelled: DataFrame) -> DataFrame:
                 if size > CODES_AT_ONCE:
                     settle()
                     size = 0
+                    if sum(len(codes) for codes, _ in held.values()) > CODES_HELD:
+                        yield from hand_on()
         settle()
-        for (lang, cal), (codes, n) in held.items():
-            many = len(codes)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * many), pa.array([cal] * many), pa.array(codes.astype(np.int32)), pa.array(n.astype(np.int64))],
-                ["lang", "calibrating", "code", "n"],
-            )
-
-    parts = labelled.select("lang", "calibrating", "text").mapInArrow(count, "lang string, calibrating boolean, code int, n long")
+        yield from hand_on()
+
+    parts = labelled.select("lang", "calibrating", "text").mapInArrow(count, "lang string, calibrating boolean, code long, n long")
     return parts.groupBy("lang", "calibrating", "code").agg(F.sum("n").alias("n"))
 
 
-class Model:
-    """Log probabilities of one language: for each order, sorted sequences and contexts."""
-
-    def __init__(self, codes: np.ndarray, n: np.ndarray):
-        self.grams: list[tuple[np.ndarray, np.ndarray]] = []
-        self.contexts: list[tuple[np.ndarray, np.ndarray]] = []
-        tables = [(codes.astype(np.int64), n.astype(np.float64))]
-        for order in range(ORDER - 1, 0, -1):
-            # continuation counts: how many characters come before a sequence
-            shorter, counts = np.unique(tables[0][0] & ((1 << (BITS * order)) - 1), return_counts=True)
-            tables.insert(0, (shorter, counts.astype(np.float64)))
-        for grams, counts in tables:
-            ones, twos = (counts == 1).sum(), (counts == 2).sum()
-            discount = ones / (ones + 2 * twos) if ones and twos else 0.5
-            context, start, kinds = np.unique(grams >> BITS, return_index=True, return_counts=True)
-            total = np.add.reduceat(counts, start)
-            weight = discount * kinds / total
-            at = np.repeat(np.arange(len(context)), kinds)
-            lower = np.exp(self.log_p(grams & ((1 << (BITS * len(self.grams))) - 1), len(self.grams)))
-            p = np.maximum(counts - discount, 0) / total[at] + weight[at] * lower
-            self.grams.append((grams, np.log(p)))
-            self.contexts.append((context, np.log(weight)))
-
-    def log_p(self, codes: np.ndarray, order: int = ORDER) -> np.ndarray:
-        """Of sequences of ``order`` characters, the log probability of the last after the others."""
-        if order == 0:
-            return np.full(len(codes), -math.log(ALPHABET))
-        out = _found(self.grams[order - 1], codes, np.nan)
-        missing = np.isnan(out)
-        if missing.any():
-            rest = codes[missing]
-            shorter = self.log_p(rest & ((1 << (BITS * (order - 1))) - 1), order - 1)
-            out[missing] = shorter + _found(self.contexts[order - 1], rest >> BITS, 0.0)
-        return out
+def _end(code: str, order: int) -> Column:
+    """The last ``order`` characters of a sequence."""
+    return F.col(code).bitwiseAND(F.lit((1 << (BITS * order)) - 1)) if order < ORDER else F.col(code)
+
 
+def gram_counts(counts: DataFrame) -> DataFrame:
+    """``model``, ``order``, ``lang``, ``code``, ``n``: occurrences for the longest sequences and, for
+    shorter ones, how many characters come before them. The partial model leaves the calibrating fold out."""
+    models = F.when(F.col("calibrating"), F.array(F.lit(FULL))).otherwise(F.array(F.lit(FULL), F.lit(PARTIAL)))
+    level = counts.select(F.explode(models).alias("model"), "lang", "code", "n")
+    level = level.groupBy("model", "lang", "code").agg(F.sum("n").alias("n"))
+    out = level.withColumn("order", F.lit(ORDER))
+    for order in range(ORDER - 1, 0, -1):
+        level = level.groupBy("model", "lang", _end("code", order).alias("code")).agg(F.count(F.lit(1)).alias("n"))
+        out = out.unionByName(level.withColumn("order", F.lit(order)))
+    return out
+
+
+def _discounted(grams: DataFrame) -> DataFrame:
+    """Adds to every sequence its own share after its context, and the ``weight`` left for shorter ones."""
+    ones, twos = F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)
+    kinds = grams.groupBy("model", "lang", "order").agg(
+        F.when((ones > 0) & (twos > 0), ones / (ones + 2 * twos)).otherwise(F.lit(0.5)).alias("discount")
+    )
+    # No context has more followers than the alphabet has characters, so no group is larger.
+    same = Window.partitionBy("model", "lang", "order", "context")
+    total = F.sum("n").over(same)
+    return (
+        grams.join(broadcast_if_small(kinds), ["model", "lang", "order"])
+        .withColumn("context", F.shiftrightunsigned("code", BITS))
+        .withColumn("weight", F.col("discount") * F.count(F.lit(1)).over(same) / total)
+        .withColumn("own", F.greatest(F.col("n") - F.col("discount"), F.lit(0.0)) / total)
+        .select("model", "order", "lang", "code", "context", "own", "weight")
+    )
 
-def _found(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray, otherwise: float) -> np.ndarray:
-    names, values = table
-    at = np.minimum(np.searchsorted(names, keys), len(names) - 1)
-    return np.where(names[at] == keys, values[at], otherwise)
+
+def end_weights(shares: DataFrame) -> DataFrame:
+    """``model``, ``order``, ``lang``, ``code``, ``weight``: what each end of a sequence adds to its log probability.
+
+    An end that a language knows adds log p, less the back-off of its context and the log p of the
+    next shorter end, which the sum has already; as a context it adds the log of its back-off.
+    Order 0 is the empty context, which every character has once.
+    """
+    of_context = F.max(F.log("weight")).alias("weight")
+    out = shares.groupBy("model", (F.col("order") - 1).alias("order"), "lang", F.col("context").alias("code")).agg(of_context)
+    lower = None
+    for order in range(1, ORDER + 1):
+        level = shares.where(F.col("order") == order).withColumn("end", _end("code", order - 1) if order > 1 else F.lit(0).cast("long"))
+        if lower is None:
+            level = level.withColumn("lower", F.lit(1.0 / ALPHABET))
+        else:
+            level = level.join(lower, ["model", "lang", "end"])
+        level = level.withColumn("p", F.col("own") + F.col("weight") * F.col("lower"))
+        added = F.log("p") - F.log("weight") - F.log("lower")
+        out = out.unionByName(level.select("model", "order", "lang", "code", added.alias("weight")))
+        lower = level.select("model", "lang", F.col("code").alias("end"), F.col("p").alias("lower"))
+    return out.groupBy("model", "order", "lang", "code").agg(F.sum("weight").alias("weight"))
 
 
 class Models:
-    """All languages, with the scores of every sequence that any of them knows in one table."""
+    """The written models of one set of languages: where their slices lie, and their names.
 
-    def __init__(self, langs: list[str], models: list[Model]):
-        self.langs, self.models = langs, models
-        known = np.unique(np.concatenate([m.grams[-1][0] for m in models])) if models else np.zeros(0, np.int64)
-        self.known = known.astype(np.int32)
-        self.scores = np.stack([m.log_p(known) for m in models], axis=1).astype(np.float32) if models else None
+    The driver knows one number for each language; tasks read the slices.
+    """
+
+    def __init__(self, folder: str, model: int, many: int, names: list[str], start: list[float]):
+        self.folder, self.model, self.many = folder, model, many
+        self.langs, self.start = names, np.array(start) - math.log(ALPHABET)
+
+    def scores(self, codes: np.ndarray) -> np.ndarray:
+        """Log probability of each sequence (rows) under each language (columns), but for its order 0."""
+        out = np.zeros((len(codes), len(self.langs)), np.float32)
+        flat = out.reshape(-1)
+        for number in range(self.many):
+            held = _slice_of(self.folder, self.model, number, tuple(self.langs))
+            for order, (names, start, lang, weight) in held.items():
+                ends = codes if order == ORDER else codes & ((1 << (BITS * order)) - 1)
+                rows = np.flatnonzero(ends % self.many == number) if self.many > 1 else np.arange(len(ends))
+                at = np.minimum(np.searchsorted(names, ends[rows]), len(names) - 1)
+                known = names[at] == ends[rows]
+                rows, at = rows[known], at[known]
+                each = start[at + 1] - start[at]
+                entry = np.repeat(start[at] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+                flat[np.repeat(rows, each) * len(self.langs) + lang[entry]] += weight[entry]
+        return out
 
     def entropies(self, texts: list[np.ndarray]) -> np.ndarray:
         """Cross-entropy per character of each text (rows) under each language (columns)."""
@@ -175,27 +235,54 @@ class Models:
         out = np.zeros((len(texts), len(self.langs)))
         if not lengths.sum() or not self.langs:
             return out
-        codes = np.concatenate([t for t in texts if len(t)])
-        at = np.minimum(np.searchsorted(self.known, codes), len(self.known) - 1)
-        scores = self.scores[at]
-        new = np.flatnonzero(self.known[at] != codes)
-        if len(new):
-            rare, where = np.unique(codes[new], return_inverse=True)
-            scores[new] = np.stack([m.log_p(rare.astype(np.int64)) for m in self.models], axis=1)[where]
+        codes = np.concatenate(texts)
+        text = np.repeat(np.arange(len(texts)), lengths)
+        size = max(1000, CELLS // len(self.langs))
+        for first in range(0, len(codes), size):
+            distinct, at = np.unique(codes[first : first + size], return_inverse=True)
+            inside = text[first : first + size]
+            starts = np.flatnonzero(np.concatenate(([True], inside[1:] != inside[:-1])))
+            out[inside[starts]] += np.add.reduceat(self.scores(distinct)[at], starts, axis=0, dtype=np.float64)
         filled = lengths > 0
-        starts = np.cumsum(lengths[filled]) - lengths[filled]
-        out[filled] = -np.add.reduceat(scores, starts, axis=0, dtype=np.float64) / lengths[filled, None]
+        out[filled] = -out[filled] / lengths[filled, None] - self.start
         return out
 
 
-def fit_models(counts: DataFrame) -> Models:
-    """Models from ``lang``, ``code``, ``n``; the alphabet bounds how many rows a language has."""
-    rows = counts.toArrow().sort_by([("lang", "ascending"), ("code", "ascending")])
-    if rows.nbytes > MODEL_BYTES:
-        raise ValueError(f"models of {rows.nbytes} bytes exceed {MODEL_BYTES}; raise MODEL_BYTES or lower BITS")
-    names, codes, n = (rows.column(c).to_numpy() for c in ("lang", "code", "n"))
-    langs = sorted(set(names.tolist()))
-    return Models(langs, [Model(codes[names == x], n[names == x]) for x in langs])
+@functools.lru_cache(maxsize=SLICES_KEPT)
+def _slice_of(folder: str, model: int, number: int, langs: tuple[str, ...]) -> dict[int, tuple[np.ndarray, ...]]:
+    """For each order: sorted sequences, where the weights of each start, their languages and values."""
+    store, path = fs.FileSystem.from_uri(f"{folder}/model={model}/slice={number}")
+    if store.get_file_info(path).type == fs.FileType.NotFound:
+        return {}
+    rows = pq.read_table(path, filesystem=store, partitioning=None, columns=["order", "code", "lang", "weight"])
+    lang = pc.index_in(rows["lang"], value_set=pa.array(langs, pa.string())).to_numpy()
+    orders, codes, weight = (rows[c].to_numpy() for c in ("order", "code", "weight"))
+    out = {}
+    for order in range(1, ORDER + 1):
+        mine = np.flatnonzero(orders == order)
+        if len(mine):
+            mine = mine[np.argsort(codes[mine], kind="stable")]
+            names, start = np.unique(codes[mine], return_index=True)
+            out[order] = names, np.append(start, len(mine)), lang[mine].astype(np.int64), weight[mine].astype(np.float32)
+    return out
+
+
+def fit_models(counts: DataFrame) -> tuple[Models, Models]:
+    """Full and partial models from ``sequence_counts``, written in slices by sequence modulo their number."""
+    spark = counts.sparkSession
+    grams, grams_path = write_stage(gram_counts(counts), "grams")
+    many = max(1, grams.count() // SLICE_ROWS) | 1
+    shares, shares_path = write_stage(_discounted(grams), "shares")
+    folder = new_path(spark, "models")
+    weights = end_weights(shares).withColumn("slice", F.pmod("code", F.lit(many)))
+    placed = weights.repartition("model", "slice").sortWithinPartitions("model", "slice", "order", "code")
+    placed.write.partitionBy("model", "slice").parquet(folder)
+    # One row for each language and model.
+    starts = shares.where((F.col("order") == 1)).groupBy("model", "lang").agg(F.max(F.log("weight")).alias("start")).collect()
+    drop_stage(spark, grams_path, shares_path)
+    of = {m: sorted((r["lang"], r["start"]) for r in starts if r["model"] == m) for m in (FULL, PARTIAL)}
+    full, partial = (Models(folder, m, many, [x for x, _ in of[m]], [y for _, y in of[m]]) for m in (FULL, PARTIAL))
+    return full, partial
 
 
 def _evidence(entropies: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -208,12 +295,11 @@ def _evidence(entropies: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.log1p(np.maximum(margin, 0) * lengths)
 
 
-def _score(docs: DataFrame, shared, curve: tuple[float, float], extra: str, kinds: str) -> DataFrame:
+def _score(docs: DataFrame, models: Models, curve: tuple[float, float], extra: str, kinds: str) -> DataFrame:
     """Adds lang_pred, evidence and score to the columns ``extra`` (names) of a table with text."""
     names = extra.split()
 
     def score(batches):
-        models: Models = shared.value
         langs = np.array(models.langs or [UNKNOWN], object)
         for batch in batches:
             for part in slices(batch):
@@ -266,16 +352,13 @@ def identify(docs: DataFrame) -> DataFrame:
     learned from and count as held out; equal rows are treated alike. The true language,
     the source and the id are not inputs of a prediction.
     """
-    context = docs.sparkSession.sparkContext
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text", "lang", fold_of().alias("fold"))
     learned = rows.where((F.col("fold") != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     tagged = learned.withColumn("calibrating", F.col("fold") == CALIBRATION)
     counts, _ = write_stage(sequence_counts(tagged), "sequences")
-    part = counts.where(~F.col("calibrating")).select("lang", "code", "n")
-    partial = context.broadcast(fit_models(part))
+    full, partial = fit_models(counts)
     curve = _curve(_score(learned.where(F.col("fold") == CALIBRATION), partial, (0.0, 1.0), "lang", "lang string"))
-    full = context.broadcast(fit_models(counts.groupBy("lang", "code").agg(F.sum("n").alias("n"))))
     asked = rows.withColumn("held_out", F.coalesce(F.col("fold") == HELD_OUT, F.lit(True)))
     scored = _score(asked, full, curve, "doc_id held_out", f"doc_id {kind}, held_out boolean")
     return scored.select("doc_id", "held_out", "lang_pred", "score", (F.col("score") >= REJECT_BELOW).alias("accepted"))

@@ -68,29 +68,27 @@ def test_branch_and_bound_drops_nothing():
 
 
 def slow_codes(text):
-    out, last = [0] * (langid.ORDER - 1), 0
+    out, last = [], 0
     for c in text or "":
         kind = langid._class_of(c) if c.isalpha() else 0
         if kind or last:
             out.append(kind)
         last = kind
+    if not out:
+        return []
     n = langid.ORDER
-    grams = [out[i : i + n] for i in range(len(out) - n + 1)]
-    return [sum(c << (langid.BITS * (n - 1 - j)) for j, c in enumerate(g)) for g in grams]
+    out = [0] * (n - 1) + (out if last else out[:-1]) + [0] * (n - 1)
+    numbers = [sum(c << (langid.BITS * (n - 1 - j)) for j, c in enumerate(out[i : i + n])) for i in range(len(out) - n + 1)]
+    return [x - (1 << 64) if x >> 63 else x for x in numbers]
 
 
-@pytest.mark.parametrize("text", [None, "", "123 !?", "a", "  Hello,  World!! ", "ÀÉß日本 x", "\U0001d400\U0001f600b", "1a2"])
+@pytest.mark.parametrize("text", [None, "", "123 !?", "a", "  Hello,  World!! ", "ÀÉß日本 x", "\U0001d400\U0001f600b", "\U00020000 가힣힣힣힣", "1a2"])
 def test_codes(text):
     assert langid.codes_of(text).tolist() == slow_codes(text)
 
 
-def test_probabilities_sum_to_one_after_any_context():
-    texts = ["the cat sat on the mat", "then that cat ate", "a rat at the hat"]
-    codes, n = np.unique(np.concatenate([langid.codes_of(t) for t in texts]), return_counts=True)
-    model = langid.Model(codes, n)
-    for context in [*(codes[:6] >> langid.BITS), 5 << 12 | 9 << 6 | 60, 0]:
-        after = (int(context) << langid.BITS) + np.arange(langid.ALPHABET)
-        assert np.exp(model.log_p(after.astype(np.int64))).sum() == pytest.approx(1)
+def test_letters_keep_their_code_points():
+    assert langid.codes_of("日本語の")[3] == np.array([ord("日") << 48 | ord("本") << 32 | ord("語") << 16 | ord("の")], np.uint64).view(np.int64)[0]
 
 
 def slow_kneser_ney(grams, word):
@@ -115,14 +113,36 @@ def slow_kneser_ney(grams, word):
     return math.log(p(word))
 
 
-def test_model_equals_the_textbook():
-    text = "banana bandana and ananas in a cabana"
-    codes = langid.codes_of(text)
-    model = langid.Model(*np.unique(codes, return_counts=True))
-    tuples = [tuple(int(c) >> (langid.BITS * j) & (langid.ALPHABET - 1) for j in range(langid.ORDER - 1, -1, -1)) for c in langid.codes_of(text + " xyz bandit")]
-    seen = tuples[: len(codes)]
-    asked = langid.codes_of(text + " xyz bandit").astype(np.int64)
-    assert model.log_p(asked).tolist() == pytest.approx([slow_kneser_ney(seen, t) for t in tuples])
+def tuples_of(text):
+    codes = langid.codes_of(text).view(np.uint64)
+    return [tuple(int(c) >> (langid.BITS * j) & (langid.ALPHABET - 1) for j in range(langid.ORDER - 1, -1, -1)) for c in codes]
+
+
+@pytest.mark.parametrize("slice_rows", [1_000_000, 20])
+def test_models_equal_the_textbook(spark, monkeypatch, slice_rows):
+    monkeypatch.setattr(langid, "SLICE_ROWS", slice_rows)
+    texts = {"aa": ["banana bandana and ananas", "in a cabana, a band"], "日": ["日本語の文字", "文字と語"]}
+    folds = [(x, False, t) for x, both in texts.items() for t in both] + [("aa", True, "sand and bands")]
+    rows = spark.createDataFrame(folds, "lang string, calibrating boolean, text string")
+    full, partial = langid.fit_models(langid.sequence_counts(rows))
+    assert full.langs == partial.langs == ["aa", "日"] and (full.many > 3) == (slice_rows == 20)
+    asked = ["banana xyz bandit", "語の文 band", "q", "Ω", *texts["aa"]]
+    codes = [langid.codes_of(t) for t in asked]
+    for models, seen in ((full, {**texts, "aa": [*texts["aa"], "sand and bands"]}), (partial, texts)):
+        got = models.entropies(codes)
+        for i, lang in enumerate(models.langs):
+            grams = [g for t in seen[lang] for g in tuples_of(t)]
+            wanted = [-sum(slow_kneser_ney(grams, g) for g in tuples_of(t)) / len(tuples_of(t)) for t in asked]
+            assert got[:, i].tolist() == pytest.approx(wanted, rel=1e-5)
+
+
+def test_long_texts_are_scored_in_pieces(spark, monkeypatch):
+    rows = spark.createDataFrame([("aa", False, "wopi tulo mirena sobe kalu")], "lang string, calibrating boolean, text string")
+    full, _ = langid.fit_models(langid.sequence_counts(rows))
+    texts = [langid.codes_of(t) for t in ("wopi sobe " * 900, "", "tulo", "mirena kalu " * 300)]
+    whole = full.entropies(texts)
+    monkeypatch.setattr(langid, "CELLS", 1)
+    assert full.entropies(texts)[:, 0].tolist() == pytest.approx(whole[:, 0].tolist())
 
 
 LANGS = {"aa": "wopi tulo mirena sobe kalu ", "bb": "schrek druml knast vorpf zwilt ", "cc": "éàon îles çure ôdent ûmia "}
@@ -156,6 +176,24 @@ def test_languages_are_found_on_held_out_documents(documents):
     assert [r["lang_pred"] for r in of[903]] == ["bb", "bb"]
 
 
+def test_scripts_and_many_languages(documents):
+    """Three scripts, two of them sharing Han, and a hundred languages of a few syllables each."""
+    random.seed(5)
+    words = {"zh": "天地 玄黄 宇宙 洪荒 日月 盈昃", "ja": "日月の 天地は いろは にほへと 宇宙を", "ru": "слово дело время мир"}
+    syllables = [a + b + c for a in "bdfgklmnprst" for b in "aeiou" for c in "lnrst"]
+    for i in range(100):
+        words[f"x{i:02}"] = " ".join("".join(random.choices(syllables, k=2)) for _ in range(8))
+    rows = []
+    for i in range(2400):
+        lang = sorted(words)[i % len(words)]
+        rows.append((i, " ".join(random.choices(words[lang].split(), k=12)), ("x", lang)))
+    got = {r["doc_id"]: r for r in langid.identify(documents(rows)).collect()}
+    held = [(got[i]["lang_pred"], lang) for i, _, (_, lang) in rows if got[i]["held_out"]]
+    assert len(got) == len(rows) and len(held) > 300
+    assert sum(a == b for a, b in held) >= 0.98 * len(held)
+    assert all(a == b for a, b in held if not b.startswith("x"))
+
+
 def test_nothing_to_learn_from(documents):
     assert langid.identify(documents([])).count() == 0
     got = langid.identify(documents([(1, "some text", ("x", None))])).first()
