@@ -37,6 +37,29 @@ def column_names(codes: Sequence[str]) -> dict[str, str]:
     return names
 
 
+def code_list(codes: DataFrame, code: str, limit: int = MAX_CODES) -> list[str]:
+    """The distinct codes of a table in their order, without NULL; not more than ``limit`` reach the driver."""
+    found = codes.select(code).where(F.col(code).isNotNull()).distinct().limit(limit + 1).collect()
+    if len(found) > limit:
+        raise ValueError(f"more than {limit} codes are too many for columns; take the top_codes, and the rest from outside_codes")
+    return sorted(r[0] for r in found)
+
+
+def top_codes(features: DataFrame, code: str, limit: int = MAX_CODES, sentinel: str = "Z") -> list[str]:
+    """The ``limit`` codes with most feature rows, most first, ties by code; all of them if there are fewer.
+
+    Codes are counted and cut in Spark, so a dictionary of any size will do.
+    """
+    counts = features.where(F.col(code) != sentinel).groupBy(code).agg(F.count(F.lit(1)).alias("__n"))
+    return [r[0] for r in counts.orderBy(F.desc("__n"), F.asc(code)).limit(limit).collect()]
+
+
+def outside_codes(features: DataFrame, code: str, codes: Sequence[str], sentinel: str = "Z") -> DataFrame:
+    """Feature rows of codes that have no column, in long form: with the pivot, nothing is lost."""
+    rest = features.where(F.col(code) != sentinel)
+    return rest.where(~F.col(code).isin(*codes)) if codes else rest
+
+
 def pivot_wide(
     features: DataFrame,
     ids: Sequence[str],
@@ -44,14 +67,16 @@ def pivot_wide(
     codes: Sequence[str],
     count: str = "n_events",
     value: str = "mean_value",
+    names: dict[str, str] | None = None,
 ) -> DataFrame:
     """One row per member: an event count (0 if absent) and a mean value per code.
 
     Both measures come from one pivot, over rows already brought together by member, so
     the long table is shuffled once. Codes outside ``codes``, the sentinel of members
-    without features among them, keep their member but add no column.
+    without features among them, keep their member but add no column; `outside_codes` gives
+    their rows. ``names`` are the codes' parts of column names, else made from the codes.
     """
-    names = column_names(codes)
+    names = column_names(codes) if names is None else names
     number = {c: i for i, c in enumerate(codes)}
     # Codes become numbers first, so that column names cannot clash inside the pivot.
     numbered = F.create_map(*[F.lit(x) for c, i in number.items() for x in (c, i)]) if codes else F.lit(None)
@@ -91,6 +116,54 @@ def missingness(wide: DataFrame, columns: Sequence[str], by: str, max_missing: f
     return long.withColumn("kept", F.col("n_missing") < F.col("n_rows") * F.lit(max_missing))
 
 
+def _value_rows(features: DataFrame, by: str, code: str, codes: Sequence[str], value: str) -> DataFrame:
+    """Class, name of the wide table's column, and value of the long rows that have one."""
+    named = [F.lit(x) for c, n in column_names(codes).items() for x in (c, VALUE_PREFIX + n)]
+    name = F.create_map(*named)[F.col(code)] if named else F.lit(None).cast("string")
+    listed = features.where((F.col(code).isin(*codes) if codes else F.lit(False)) & F.col(value).isNotNull())
+    return listed.select(by, name.alias("column_name"), F.col(value).alias("value"))
+
+
+def missingness_of_long(
+    features: DataFrame,
+    members: DataFrame,
+    by: str,
+    code: str,
+    codes: Sequence[str],
+    value: str = "mean_value",
+    max_missing: float = 0.5,
+) -> DataFrame:
+    """`missingness` of the value columns, from the long rows and the members' class sizes alone.
+
+    A member's value is missing where it has no row, or one without a value, so the counts of the
+    wide table follow without it. ``members`` has one row for each of the wide table.
+    """
+    columns = [VALUE_PREFIX + n for n in column_names(codes).values()]
+    sizes = members.groupBy(by).agg(F.count(F.lit(1)).alias("n_rows"))
+    grid = sizes.select(by, "n_rows", F.explode(F.array(*[F.lit(c) for c in columns]).cast("array<string>")).alias("column_name"))
+    present = _value_rows(features, by, code, codes, value).groupBy(by, "column_name").agg(F.count(F.lit(1)).alias("__present"))
+    missing = F.col("n_rows") - F.coalesce(F.col("__present"), F.lit(0))
+    same = [grid[by].eqNullSafe(present[by]), grid["column_name"] == present["column_name"]]
+    long = grid.join(present, same, "left").select(grid[by], "n_rows", grid["column_name"], missing.alias("n_missing"))
+    return long.withColumn("kept", F.col("n_missing") < F.col("n_rows") * F.lit(max_missing))
+
+
+def medians_of_long(
+    features: DataFrame, by: str, code: str, codes: Sequence[str], value: str = "mean_value", profile: DataFrame | None = None
+) -> DataFrame:
+    """Exact median per class and value column, as `impute_median` takes it, without pivot and unpivot.
+
+    With a ``profile`` (`missingness`), only of the columns that a class keeps; what `drop_sparse`
+    blanked out stays missing.
+    """
+    rows = _value_rows(features, by, code, codes, value)
+    if profile is not None:
+        kept = profile.where("kept").select(F.col(by).alias("__by"), F.col("column_name").alias("__column"))
+        same = rows[by].eqNullSafe(kept["__by"]) & (rows["column_name"] == kept["__column"])
+        rows = rows.join(broadcast_if_small(kept), same, "left_semi")
+    return group_median(rows, [by, "column_name"], "value", "median")
+
+
 def kept_columns(profile: DataFrame, by: str) -> dict:
     """Class -> columns it keeps; at most one row per class and column reaches the driver."""
     kept: dict = {}
@@ -108,16 +181,22 @@ def drop_all_missing(wide: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def drop_sparse(
-    wide: DataFrame, columns: Sequence[str], by: str, max_missing: float = 0.5, keep: str = "any"
+    wide: DataFrame,
+    columns: Sequence[str],
+    by: str,
+    max_missing: float = 0.5,
+    keep: str = "any",
+    profile: DataFrame | None = None,
 ) -> DataFrame:
     """Per class, blank out the columns too often missing there.
 
     ``keep="any"`` leaves a column that some class keeps, missing throughout the others;
     ``keep="all"`` leaves only the columns that every class keeps, which a model needs.
+    ``profile`` is the `missingness` where it is known already.
     """
     if not columns:
         return wide
-    kept = kept_columns(missingness(wide, columns, by, max_missing), by)
+    kept = kept_columns(missingness(wide, columns, by, max_missing) if profile is None else profile, by)
     changes, dropped = {}, []
     for c in columns:
         classes = [k for k, cs in kept.items() if c in cs]
@@ -133,19 +212,23 @@ def impute_median(
     columns: Sequence[str],
     by: str | None = None,
     fit_on: DataFrame | None = None,
+    medians: DataFrame | None = None,
 ) -> DataFrame:
     """Fill missing values with the exact median of their column.
 
     ``by="label"`` takes the median within each class, which lets a feature carry its
     label; ``by=None`` with ``fit_on=<train part>`` avoids that. A column with no value
-    in a class stays missing there.
+    in a class stays missing there. ``medians`` (class, column_name, median) are those of
+    the class where they are known already, as from `medians_of_long`.
     """
     if not columns:
         return wide
     source = wide if fit_on is None else fit_on
     keys = [by] if by else []
-    long = unpivot_values(source.select(*keys, *columns), keys, columns)
-    medians = stage(group_median(long, [*keys, "column_name"], "value", "median"), "medians")
+    if medians is None:
+        long = unpivot_values(source.select(*keys, *columns), keys, columns)
+        medians = group_median(long, [*keys, "column_name"], "value", "median")
+    medians = stage(medians, "medians")
     if by is None:
         # One median per column: small enough to become constants of the plan.
         found = {r["column_name"]: r["median"] for r in medians.collect()}

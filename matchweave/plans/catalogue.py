@@ -811,6 +811,52 @@ def missingness_by_class(s: RetailStudy) -> DataFrame:
     return wide.missingness(s.wide, wide.value_columns(s.wide), "label")
 
 
+@query(
+    _with("miss")
+    + """SELECT label, n_rows, 'val_' || replace(brand, '#', '_') AS column_name, n_missing,
+         n_missing < n_rows * 0.5 AS kept FROM miss"""
+)
+def missingness_of_long(s: RetailStudy) -> DataFrame:
+    """The wide table's missing values, counted without it."""
+    return s.value_profile()
+
+
+_TOP = 10
+_TOP_SQL = (
+    _with("feats")
+    + f""", top AS (SELECT brand, row_number() OVER (ORDER BY count(*) DESC, brand) AS place
+             FROM feats WHERE brand <> 'Z' GROUP BY brand QUALIFY place <= {_TOP})"""
+)
+
+
+@query(
+    _TOP_SQL
+    + "SELECT person, group_id, label, "
+    + ", ".join(
+        f"CAST(COALESCE(max(CASE WHEN place = {i} THEN n_events END), 0) AS BIGINT) AS n_{i}, "
+        f"max(CASE WHEN place = {i} THEN mean_value END) AS val_{i}"
+        for i in range(1, _TOP + 1)
+    )
+    + " FROM feats LEFT JOIN top USING (brand) GROUP BY 1, 2, 3"
+)
+def pivot_top_codes(s: RetailStudy) -> DataFrame:
+    """Columns for the most frequent codes only, by their places; every member keeps its row."""
+    top = wide.top_codes(s.features, "brand", _TOP)
+    places = {c: str(i + 1) for i, c in enumerate(top)}
+    return wide.pivot_wide(s.features, ["person", "group_id", "label"], "brand", top, names=places)
+
+
+@query(
+    _TOP_SQL
+    + """SELECT person, group_id, label, brand, n_events, mean_value FROM feats
+         WHERE brand <> 'Z' AND brand NOT IN (SELECT brand FROM top)"""
+)
+def outside_top_codes(s: RetailStudy) -> DataFrame:
+    """The long rows of all codes that `pivot_top_codes` has no column for."""
+    rest = wide.outside_codes(s.features, "brand", wide.top_codes(s.features, "brand", _TOP))
+    return rest.select("person", "group_id", "label", "brand", "n_events", "mean_value")
+
+
 @query(
     _with("grid", "miss")
     + """, kept AS (SELECT DISTINCT brand FROM miss WHERE n_missing < n_rows * 0.5)
@@ -819,10 +865,8 @@ def missingness_by_class(s: RetailStudy) -> DataFrame:
        FROM grid JOIN kept USING (brand) JOIN miss ON miss.brand = grid.brand AND miss.label = grid.label"""
 )
 def impute_median_by_class(s: RetailStudy) -> DataFrame:
-    kept = wide.drop_sparse(s.wide, wide.value_columns(s.wide), "label")
-    columns = wide.value_columns(kept)
-    filled = wide.impute_median(kept, columns, by="label")
-    return wide.unpivot_values(filled, ["person", "group_id", "label"], columns)
+    filled = s.imputed(keep="any")
+    return wide.unpivot_values(filled, ["person", "group_id", "label"], wide.value_columns(filled))
 
 
 @query(

@@ -385,7 +385,7 @@ class RecordStudy:
 
     def codes(self) -> list[str]:
         """Selected codes as a list, without NULL; their number is bounded by ``top_codes``."""
-        return sorted(r[0] for r in self.selected_codes.select("code").collect() if r[0] is not None)
+        return wide.code_list(self.selected_codes, "code")
 
     def wide(self, balanced: bool = False, keep: str = "any") -> DataFrame:
         """One row per member: counts, and values filled by the median of the class."""
@@ -393,8 +393,10 @@ class RecordStudy:
         long = self.balanced_features if balanced else self.features
         table = stage(wide.pivot_wide(long, ["person", "group_id", "label"], "code", self.codes()), "wide")
         table = wide.drop_all_missing(table, wide.value_columns(table))
-        kept = wide.drop_sparse(table, wide.value_columns(table), "label", s.max_missing, keep)
-        return wide.impute_median(kept, wide.value_columns(kept), by="label")
+        profile = stage(wide.missingness_of_long(long, table, "label", "code", self.codes(), max_missing=s.max_missing), "profile")
+        kept = wide.drop_sparse(table, wide.value_columns(table), "label", s.max_missing, keep, profile)
+        medians = wide.medians_of_long(long, "label", "code", self.codes(), profile=profile)
+        return wide.impute_median(kept, wide.value_columns(kept), by="label", medians=medians)
 
     def train_test(self, balanced: bool = False) -> tuple[DataFrame, DataFrame]:
         """Train and test rows, without the columns that a class has no values for."""

@@ -254,7 +254,7 @@ class RetailStudy:
     @cached_property
     def brand_names(self) -> list[str]:
         """Selected codes: the brands of the dictionary, a list that does not grow with the log."""
-        return sorted(r[0] for r in self.brands.collect())
+        return wide.code_list(self.brands, "brand")
 
     @cached_property
     def balanced_features(self) -> DataFrame:
@@ -273,11 +273,26 @@ class RetailStudy:
     def balanced_wide(self) -> DataFrame:
         return stage(self.wide_table(balanced=True), "wide")
 
+    def value_profile(self, balanced: bool = False) -> DataFrame:
+        """Missing values per class and value column, from the long features."""
+        long = self.balanced_features if balanced else self.features
+        members = long.select("person", "group_id", "label").distinct()
+        return wide.missingness_of_long(long, members, "label", "brand", self.brand_names)
+
+    def imputed(self, balanced: bool = False, keep: str = "all") -> DataFrame:
+        """Wide table with sparse value columns dropped and the rest filled by class median.
+
+        What is sparse and the medians come from the long features, so the table is pivoted once.
+        """
+        long, table = (self.balanced_features, self.balanced_wide) if balanced else (self.features, self.wide)
+        profile = stage(self.value_profile(balanced), "profile")
+        kept = wide.drop_sparse(table, wide.value_columns(table), "label", keep=keep, profile=profile)
+        medians = wide.medians_of_long(long, "label", "brand", self.brand_names, profile=profile)
+        return wide.impute_median(kept, wide.value_columns(kept), by="label", medians=medians)
+
     def model_table(self, balanced: bool = False) -> DataFrame:
-        """Imputed wide table: sparse value columns dropped, the rest filled by class median."""
-        table = self.balanced_wide if balanced else self.wide
-        kept = wide.drop_sparse(table, wide.value_columns(table), "label", keep="all")
-        return wide.impute_median(kept, wide.value_columns(kept), by="label")
+        """Imputed wide table with the columns that every class keeps."""
+        return self.imputed(balanced)
 
     def split(self) -> DataFrame:
         return wide.group_split(self.members, "group_id", 0.75, SEED)

@@ -265,6 +265,42 @@ def test_impute_by_class_and_from_train(spark):
     assert tuples(from_train.where("label = 0"), "val_a") == [(3.0,), (4.0,)]
 
 
+def test_long_rows_give_the_wide_tables_medians_and_missing_counts(spark):
+    rows = [(1, 1, "A", 2, 3.0), (1, 1, "B", 1, None), (2, 1, "A", 1, 8.0), (3, 0, "A", 1, 4.0), (4, 0, "Z", 0, None), (5, 1, "B", 2, 7.0),
+            (6, None, "A", 1, 2.0), (7, None, "C", 1, 1.0)]
+    long = spark.createDataFrame(rows, "person long, label int, code string, n_events long, mean_value double")
+    table = wide.pivot_wide(long, ["person", "label"], "code", ["A", "B"])
+    members = long.select("person", "label").distinct()
+    columns = ["val_A", "val_B"]
+    by_wide = wide.missingness(table, columns, "label")
+    by_long = wide.missingness_of_long(long, members, "label", "code", ["A", "B"])
+    names = ["label", "n_rows", "column_name", "n_missing", "kept"]
+    assert tuples(by_long, *names) == tuples(by_wide, *names)
+    medians = wide.medians_of_long(long, "label", "code", ["A", "B"])
+    known = wide.impute_median(table, columns, by="label", medians=medians)
+    assert tuples(known, *table.columns) == tuples(wide.impute_median(table, columns, by="label"), *table.columns)
+    blanked = wide.drop_sparse(table, columns, "label", profile=by_long)
+    left = wide.medians_of_long(long, "label", "code", ["A", "B"], profile=by_long)
+    again = wide.impute_median(blanked, wide.value_columns(blanked), by="label", medians=left)
+    assert tuples(again, *blanked.columns) == tuples(wide.impute_median(blanked, wide.value_columns(blanked), by="label"), *blanked.columns)
+    assert wide.missingness_of_long(long, members, "label", "code", []).count() == 0
+    assert wide.medians_of_long(long, "label", "code", []).count() == 0
+    assert wide.medians_of_long(long.limit(0), "label", "code", ["A"]).count() == 0
+
+
+def test_codes_beyond_the_columns_stay_in_long_form(spark):
+    rows = [(1, "B"), (2, "B"), (3, "A"), (4, "A"), (5, "C"), (6, "Z"), (7, "Z"), (8, "Z"), (9, None)]
+    long = spark.createDataFrame(rows, "person long, code string")
+    assert wide.top_codes(long, "code", 2) == ["A", "B"]
+    assert wide.top_codes(long, "code", 9) == ["A", "B", "C"]
+    assert wide.top_codes(long.limit(0), "code", 9) == []
+    assert tuples(wide.outside_codes(long, "code", ["A", "B"]), "person", "code") == [(5, "C")]
+    assert wide.outside_codes(long, "code", []).count() == 5
+    assert wide.code_list(long, "code") == ["A", "B", "C", "Z"]
+    with pytest.raises(ValueError, match="more than 3 codes"):
+        wide.code_list(long, "code", 3)
+
+
 def test_split_is_exact_and_by_group(spark):
     groups = spark.range(1, 15430).withColumnRenamed("id", "group_id")
     twice = groups.union(groups)
