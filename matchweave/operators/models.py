@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -68,6 +70,22 @@ def fit(train: DataFrame, columns: Sequence[str], estimator) -> PipelineModel:
     return Pipeline(stages=[assembler, estimator]).fit(labelled)
 
 
+@contextmanager
+def vectors_once(train: DataFrame, columns: Sequence[str], *others: str) -> Iterator[DataFrame]:
+    """label, ``features`` and some other columns, kept while several models are fitted on parts of them."""
+    labelled = train.withColumn(LABEL, F.col(LABEL).cast("double"))
+    vectors = VectorAssembler(inputCols=list(columns), outputCol="features").transform(labelled)
+    kept = vectors.select(LABEL, "features", *others).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield kept
+    finally:
+        kept.unpersist()
+
+
+def fit_vectors(vectors: DataFrame, estimator) -> PipelineModel:
+    return Pipeline(stages=[estimator]).fit(vectors)
+
+
 def predict(model: PipelineModel, test: DataFrame, ids: Sequence[str]) -> DataFrame:
     """ids, label, prediction and score of the positive class.
 
@@ -118,11 +136,6 @@ def cross_validate(
     parallelism: int = 4,
 ):
     """Cross-validated accuracy with folds by matched group. Returns the CrossValidatorModel."""
-    assembler = VectorAssembler(inputCols=list(columns), outputCol="features")
-    ready = train.withColumn(LABEL, F.col(LABEL).cast("double")).withColumn(
-        "fold", fold_of(group, folds, seed)
-    )
-    ready = assembler.transform(ready).select(LABEL, "features", "fold")
     maps = ParamGridBuilder().build() if grid is None else list(grid)
     validator = CrossValidator(
         estimator=estimator,
@@ -132,7 +145,8 @@ def cross_validate(
         foldCol="fold",
         parallelism=parallelism,
     )
-    return validator.fit(ready)
+    with vectors_once(train.withColumn("fold", fold_of(group, folds, seed)), columns, "fold") as ready:
+        return validator.fit(ready)
 
 
 def side_by_side(work, items, parallelism: int = 4) -> list:

@@ -13,7 +13,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchweave.functions.exprs import hash_order
-from matchweave.operators.models import LABEL, drawn_count, fit, fold_of, predict, side_by_side, tree
+from matchweave.operators.models import (
+    LABEL,
+    drawn_count,
+    fit,
+    fit_vectors,
+    fold_of,
+    predict,
+    side_by_side,
+    tree,
+    vectors_once,
+)
 from matchweave.sources.store import new_path
 
 # Differences of risk below this are taken for rounding.
@@ -231,23 +241,22 @@ def complexity(
     costs between which the subtree is best. Training rows without any error give no sequence
     beyond the root, and a relative error of 0 / 0 is avoided by refusing labels of one class.
     """
-    fitted = fit(train, columns, tree(depth, seed=seed))
-    whole = pruned(node_table(fitted, train))
-    if whole.risk(0) == 0:
-        raise ValueError("the training rows have one class only")
-    costs = [s.cost for s in whole.steps]
-    between = [math.sqrt(a * b) for a, b in zip(costs, costs[1:])] + [math.inf]
-    folded = train.withColumn("fold", fold_of(group, folds, seed))
-
-    def one(i: int) -> list[int]:
-        part = folded.where(F.col("fold") != i)
-        model = fit(part, columns, tree(depth, seed=seed))
-        of_fold = pruned(node_table(model, train))
-        counts = leaf_counts(model, folded.where(F.col("fold") == i))
-        return [_errors(of_fold, of_fold.at_cost(c), counts) for c in between]
-
-    errors = side_by_side(one, range(folds))
-    return Complexity(whole, leaf_counts(fitted, train), [sum(e) for e in zip(*errors)])
+    with vectors_once(train.withColumn("fold", fold_of(group, folds, seed)), columns, "fold") as folded:
+        fitted = fit_vectors(folded, tree(depth, seed=seed))
+        whole = pruned(node_table(fitted, train))
+        if whole.risk(0) == 0:
+            raise ValueError("the training rows have one class only")
+        costs = [s.cost for s in whole.steps]
+        between = [math.sqrt(a * b) for a, b in zip(costs, costs[1:])] + [math.inf]
+
+        def one(i: int) -> list[int]:
+            model = fit_vectors(folded.where(F.col("fold") != i), tree(depth, seed=seed))
+            of_fold = pruned(node_table(model, train))
+            counts = leaf_counts(model, folded.where(F.col("fold") == i))
+            return [_errors(of_fold, of_fold.at_cost(c), counts) for c in between]
+
+        errors = side_by_side(one, range(folds))
+        return Complexity(whole, leaf_counts(fitted, folded), [sum(e) for e in zip(*errors)])
 
 
 def cp_table(train: DataFrame, columns: Sequence[str], group: str, **how) -> DataFrame:

@@ -156,3 +156,24 @@ def test_covered_throughout_equals_a_calendar(spark):
         if days <= held:
             want.add(person)
     assert got == want and {96, 97} <= want and len(want) < 80
+
+
+def _counting(spark, table):
+    """The table with column a passed through a function that counts the rows it is computed for."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(a):
+        seen.add(1)
+        return a
+
+    return table.withColumn("a", F.udf(count, "double").asNondeterministic()("a")), seen
+
+
+def test_folds_of_a_tree_read_the_rows_once(spark, table):
+    counted, seen = _counting(spark, table)
+    found = trees.complexity(counted, COLUMNS, "group_id", depth=3, folds=5)
+    assert seen.value == 600
+    assert found.rows() == trees.complexity(table, COLUMNS, "group_id", depth=3, folds=5).rows()
+    counted, seen = _counting(spark, table)
+    models.cross_validate(counted, COLUMNS, models.tree(2), "group_id", folds=3)
+    assert seen.value == 600
