@@ -33,9 +33,13 @@ LABEL = "label"
 
 
 def forest(trees: int = 500, depth: int = 30, seed: int = 42) -> RandomForestClassifier:
-    """Random forest of trees grown as deep as MLlib allows, trying sqrt(p) variables per split."""
+    """Random forest of trees grown as deep as MLlib allows, trying sqrt(p) variables per split.
+
+    The node that a row has reached in each tree is kept with the row, so a level does not send
+    all trees out again and walk every row down from their roots. The trees are the same.
+    """
     return RandomForestClassifier(
-        labelCol=LABEL, numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed
+        labelCol=LABEL, numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed, cacheNodeIds=True
     )
 
 

@@ -285,7 +285,7 @@ def out_of_bag(
         weighted = train.withColumn("weight", drawn_count(key, i, seed).cast("double"))
         forest = RandomForestClassifier(
             labelCol=LABEL, weightCol="weight", numTrees=per_bag, maxDepth=depth, bootstrap=False,
-            featureSubsetStrategy="sqrt", seed=seed + i,
+            featureSubsetStrategy="sqrt", seed=seed + i, cacheNodeIds=True,
         )
         model = fit(weighted.where(F.col("weight") > 0), columns, forest)
         return predict(model, weighted.where(F.col("weight") == 0), [key])

@@ -177,3 +177,14 @@ def test_folds_of_a_tree_read_the_rows_once(spark, table):
     counted, seen = _counting(spark, table)
     models.cross_validate(counted, COLUMNS, models.tree(2), "group_id", folds=3)
     assert seen.value == 600
+
+
+def test_forests_keep_the_nodes_of_rows_and_grow_the_same_trees(table, monkeypatch):
+    forest = models.forest(trees=9, depth=6)
+    assert forest.getCacheNodeIds()
+    kept, sent = (models.fit(table, COLUMNS, forest.copy().setCacheNodeIds(k)).stages[-1].toDebugString for k in (True, False))
+    assert kept.split("\n", 1)[1] == sent.split("\n", 1)[1]
+    made = []
+    monkeypatch.setattr(trees, "fit", lambda *given: made.append(given[-1]) or models.fit(*given))
+    trees.out_of_bag(table, COLUMNS, "person", bags=3, trees=6, depth=3)
+    assert len(made) == 3 and all(f.getCacheNodeIds() for f in made)
