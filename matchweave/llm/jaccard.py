@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchweave.llm.components import components
-from matchweave.llm.shared import drop_stage, write_stage
+from matchweave.llm.shared import drop_stage, release, write_stage
 from matchweave.llm.shingling import shingles
 from matchweave.llm.tokens import slices
 from matchweave.sources.store import broadcast_if_small, split_hot_joins
@@ -401,6 +401,8 @@ class Join:
         out, _ = write_stage(components(self.links), "classes")
         # The classes say the same as all links that they came from, in fewer rows.
         self.links = out.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        # Many steps follow each other in one query; what is over would stay until its end.
+        release(self.spark)
         return out
 
     def add(self, found: DataFrame) -> None:

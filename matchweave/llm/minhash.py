@@ -11,6 +11,8 @@ pairs is dealt again by segments of the sets, of which linked sets share one.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -51,8 +53,9 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return (keys ^ np.arange(BANDS, dtype=np.uint64)) * _MIXER + np.arange(BANDS, dtype=np.uint64)
 
 
-def _signatures(numbered: DataFrame) -> DataFrame:
-    """``__row``, a hash of the text, and of its set a digest (128 bits), the size, band keys and sketch."""
+def _signatures(numbered: DataFrame, first_keys: Callable[[np.ndarray], np.ndarray] | None) -> DataFrame:
+    """``__row``, a hash of the text, and of its set a digest (128 bits), the size, first and band keys and sketch."""
+    given_keys = first_keys or (lambda hashes: np.zeros(0, np.uint64))
 
     def each(batches):
         for batch in batches:
@@ -62,31 +65,42 @@ def _signatures(numbered: DataFrame) -> DataFrame:
                     *part.columns[:2],
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                     pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([given_keys(s).view(np.int64) if len(s) else [] for s in sets], pa.list_(pa.int64())),
                     pa.array([band_keys(s).view(np.int64) if len(s) else [] for s in sets], pa.list_(pa.int64())),
                     pa.array([jaccard.parities(s) if len(s) else [] for s in sets], pa.list_(pa.int64())),
                 ]
-                yield pa.RecordBatch.from_arrays(arrays, ["__row", "text_hash", "digest", "size", "keys", "sketch"])
+                yield pa.RecordBatch.from_arrays(arrays, ["__row", "text_hash", "digest", "size", "first_keys", "keys", "sketch"])
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     given = numbered.select("__row", F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text"))
-    return given.mapInArrow(each, "__row long, text_hash long, digest binary, size long, keys array<long>, sketch array<long>")
+    kinds = "__row long, text_hash long, digest binary, size long, first_keys array<long>, keys array<long>, sketch array<long>"
+    return given.mapInArrow(each, kinds)
 
 
-def row_classes(numbered: DataFrame) -> DataFrame:
+def row_classes(numbered: DataFrame, first_keys: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """``__row``, ``root``: for each row of a written table with text, the class of its near copies.
 
     Classes are connected by likeness of 0.8 or more. Texts without any word are one class.
+    ``first_keys`` gives keys of a set by which copies are found and linked before the bands.
     """
     spark = numbered.sparkSession
-    signed, signed_path = write_stage(_signatures(numbered), "signatures")
+    signed, signed_path = write_stage(_signatures(numbered, first_keys), "signatures")
     first, first_path = write_stage(signed.groupBy("digest").agg(F.min("__row").alias("rep")), "firsts")
     chosen = signed.join(broadcast_if_small(first.select("rep")), F.col("__row") == F.col("rep"))
-    reps, reps_path = write_stage(chosen.select("rep", F.col("__row").alias("rep_id"), "text_hash", "size", "keys", "sketch"), "reps")
+    reps, reps_path = write_stage(chosen.select("rep", F.col("__row").alias("rep_id"), "text_hash", "size", "first_keys", "keys", "sketch"), "reps")
     ids, _ = write_stage(signed.select("__row", "digest").join(broadcast_if_small(first), "digest").select("__row", "rep"), "row_reps")
     drop_stage(spark, signed_path, first_path)
     docs = numbered.select(F.col("__row").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    members = reps.select(F.explode("keys").alias("key"), F.lit(jaccard.ANY_BAND).alias("band"), F.lit(0).cast("long").alias("slot"), "rep")
-    found = jaccard.Join(docs, reps, SHINGLE, jaccard.Bands(THRESHOLD)).run(members, segments=False)
+
+    def members(keys: str) -> DataFrame:
+        return reps.select(F.explode(keys).alias("key"), F.lit(jaccard.ANY_BAND).alias("band"), F.lit(0).cast("long").alias("slot"), "rep")
+
+    join = jaccard.Join(docs, reps, SHINGLE, jaccard.Bands(THRESHOLD))
+    if first_keys is not None:
+        # Keys that are dear here are left to the bands.
+        _, dear_paths = join.round(members("first_keys"))
+        drop_stage(spark, *dear_paths)
+    found = join.run(members("keys"), segments=False)
     drop_stage(spark, reps_path)
     rooted = ids.join(broadcast_if_small(found), F.col("rep") == F.col("node"), "left")
     return rooted.select("__row", F.coalesce("root", "rep").alias("root"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +31,12 @@ def drop_stage(spark: SparkSession, *paths: str) -> None:
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files and broadcasts of finished steps, as it does when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns of a table; other columns, whatever their names, stay out."""
     return df.select(*[F.col(f"`{n}`") for n in names])

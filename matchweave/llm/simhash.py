@@ -14,6 +14,8 @@ pairs: it emits the links of a forest that connects what is truly linked in it.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -35,6 +37,39 @@ BLOCKS = ((0, 21), (21, 21), (42, 22))
 HASHES_AT_ONCE = 1 << 15
 # Buckets up to this many fingerprints compare them directly; larger ones look neighbours up.
 DIRECT = 256
+# Widths of the blocks of bits of which each key of the pipeline's tables holds three.
+TABLE_BLOCKS = (11, 11, 11, 11, 10, 10)
+TABLE_EQUAL = 3
+_MIXER = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _table_masks() -> np.ndarray:
+    first = np.cumsum((0, *TABLE_BLOCKS)).tolist()
+    blocks = [((1 << width) - 1) << at for at, width in zip(first, TABLE_BLOCKS)]
+    return np.array([sum(chosen) for chosen in combinations(blocks, TABLE_EQUAL)], np.uint64)
+
+
+_TABLE_MASKS = _table_masks()
+
+
+def over_half(hashes: np.ndarray) -> int:
+    """The number whose bits are those set in over half of some 64-bit hashes."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), HASHES_AT_ONCE):
+        block = hashes[at : at + HASHES_AT_ONCE].astype("<u8")
+        bits = np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        counts += bits.sum(axis=0, dtype=np.int64)
+    return int(np.packbits((2 * counts > len(hashes)).astype(np.uint8), bitorder="little").view("<u8")[0])
+
+
+def table_keys(hashes: np.ndarray) -> np.ndarray:
+    """Keys of a set's fingerprint, one for each three of its six blocks of bits.
+
+    Three differing bits leave three blocks as they are, so fingerprints that near share a key.
+    """
+    masked = _TABLE_MASKS & np.uint64(over_half(hashes))
+    number = np.arange(len(masked), dtype=np.uint64)
+    return ((masked ^ (masked >> np.uint64(31))) * _MIXER ^ number) * _MIXER + number
 
 
 def fingerprint(text: bytes | None, words: int = SHINGLE, seed: int = SEED) -> int:
@@ -236,14 +271,17 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents with one left of each class of near copies, that with the smallest doc_id.
 
-    The classes are those of `minhash`, by five-word likeness of 0.8 or more: such texts
-    differ in about ten bits of a fingerprint, where bits no longer tell copies from others.
+    Copies link at a five-word likeness of 0.8 or more. They are found by SimHash: texts whose
+    fingerprints of five-word shingles share three of six blocks of bits (`table_keys`), so all
+    within three bits, are compared and linked. Texts at 0.8 may differ in ten bits and more, which
+    no fingerprint of 64 bits tells from chance; an exact check of what is still in different
+    classes follows (`minhash`), in which what SimHash has linked is not compared again.
     Of rows that repeat the smallest id the first is kept; null ids come last. The input is
     written once with its rows numbered.
     """
     names = docs.columns
     numbered, _ = write_stage(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    ids = numbered.select("__row", "doc_id").join(row_classes(numbered), "__row")
+    ids = numbered.select("__row", "doc_id").join(row_classes(numbered, table_keys), "__row")
     ids, _ = write_stage(ids.select("__row", "doc_id", "root"), "classes")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")
     kept = ids.groupBy("root").agg(F.min(order).alias("first"))

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
 
 from matchweave.llm import jaccard, minhash, simhash
 
@@ -94,3 +95,29 @@ def test_thousands_of_unlike_texts_in_one_bucket(documents, monkeypatch):
     sets = {i: slow_shingles(t) for i, t in rows[1500:]}
     alike = {i for i, s in sets.items() if len(s & slow_shingles(rows[i - 5000][1])) / len(s | slow_shingles(rows[i - 5000][1])) >= 0.8}
     assert kept == {i for i, _ in rows} - alike and len(alike) > 10
+
+
+def test_fingerprints_within_three_bits_share_a_table():
+    rng = random.Random(3)
+    for _ in range(300):
+        value = rng.getrandbits(64)
+        other = value
+        for b in rng.sample(range(64), rng.randrange(4)):
+            other ^= 1 << b
+        keys, others = (simhash.table_keys(np.array([v], np.uint64)) for v in (value, other))
+        assert len(set(keys.tolist())) == 20 and set(keys.tolist()) & set(others.tolist())
+
+
+def test_keep_one_finds_copies_by_simhash_alone(documents, monkeypatch):
+    # with bands that no two different texts share, only fingerprints can bring copies together
+    monkeypatch.setattr(minhash, "band_keys", lambda hashes: np.array([xxhash.xxh64_intdigest(hashes.tobytes())], np.uint64))
+    rng = random.Random(12)
+    rows = [(10 * n, " ".join(words(rng, 400))) for n in range(40)]
+    rows += [(i + 1, " ".join(edited(rng, t.split(), 1))) for i, t in rows]
+    near = []
+    for (i, t), (_, u) in zip(rows[:40], rows[40:]):
+        a, b = (simhash.over_half(minhash.shingles(x.encode(), 5)) for x in (t, u))
+        near += [i + 1] if (a ^ b).bit_count() <= simhash.RADIUS else []
+    kept = {r["doc_id"] for r in simhash.keep_one(documents(rows)).collect()}
+    assert len(near) > 20 and not kept & set(near)
+    assert kept >= {i for i, _ in rows[:40]}
