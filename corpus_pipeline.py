@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from matchweave.llm import mixing, packing, quality, simhash, toxicity
-from matchweave.llm.shared import columns, write_stage
+from matchweave.llm.shared import columns, small_batches, write_stage
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -16,16 +16,19 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a classifier chain, learned from the labels, does not judge toxic."""
+    small_batches(spark)
     return toxicity.without_toxic(docs, _labels(spark, sf_dir))
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose posterior quality, by text and site, is good enough."""
+    small_batches(spark)
     return quality.good_documents(docs, _labels(spark, sf_dir))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates."""
+    small_batches(spark)
     return simhash.keep_one(docs)
 
 
@@ -36,6 +39,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents cut and packed into sequences of 2,048 tokens, one row per piece."""
+    small_batches(spark)
     return packing.pack_documents(docs, capacity=2048, end_id=0)
 
 

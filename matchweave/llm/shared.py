@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from matchweave.sources.store import new_path
 
+# Rows of texts that go to a Python task at a time.
+ROWS_PER_BATCH = 500
 # White space of the word rule `[^\x20\x09-\x0D]+`, as Spark's regular expressions spell it.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -37,6 +39,12 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Send rows to Python in small batches: with the 10,000 rows of the default each side holds that many whole texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+    return spark
+
+
 def columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns of a table; other columns, whatever their names, stay out."""
     return df.select(*[F.col(f"`{n}`") for n in names])

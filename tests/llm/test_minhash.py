@@ -1,10 +1,12 @@
 import random
 
+import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
-from matchweave.llm import jaccard, minhash, simhash
+from matchweave.llm import jaccard, minhash, shared, simhash
 
 
 def slow_shingles(text):
@@ -121,3 +123,14 @@ def test_keep_one_finds_copies_by_simhash_alone(documents, monkeypatch):
     kept = {r["doc_id"] for r in simhash.keep_one(documents(rows)).collect()}
     assert len(near) > 20 and not kept & set(near)
     assert kept >= {i for i, _ in rows[:40]}
+
+
+def test_the_pipeline_sends_small_batches_to_python(spark, documents):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        assert corpus_pipeline.drop_near_copies(spark, documents([(1, "one text")]), "").count() == 1
+        sizes = spark.range(0, 3000, 1, 1).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long")
+        assert max(r["n"] for r in sizes.collect()) <= shared.ROWS_PER_BATCH
+    finally:
+        spark.conf.set(name, before)
