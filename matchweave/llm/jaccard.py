@@ -1,26 +1,33 @@
-"""Exact Jaccard join of documents on word shingles, by partitioning the universe of shingles.
-
-Sets are grouped into size bands no wider than the threshold's ratio, so linked sets lie in one
-band or in two neighbouring ones. For a band the most that two linked sets can differ by, H, is
-known, and hashing deals all shingles into an even number of segments, by some more than H. So
-linked sets have several segments in common, and of segments taken two by two, several couples
-differ in at most one shingle: one segment is equal, the other equal or one shingle short on one
-side.
-
-A set is indexed by what it has in each single segment. What this costs is counted for every key
-over all data. Where a key is cheap, the sets that share it are compared; a dear key (a common
-passage, an empty segment) is left alone. Who has fewer dear keys than linked sets have segments
-in common has met all its partners in cheap ones. Only the few other sets are indexed further:
-by a dear segment together with the couple's other one, whole and once for each shingle left out.
-Again only sets with too many dear couples stay; they are dealt anew by other hashes, and what is
-dear at last is compared all the same.
-
-Sets that share a key are first compared with the smallest of them only, and what links falls
-into classes; what stays apart is compared with a few members of the key's largest class. Only pairs of different classes are compared afterwards, so that large groups of
-copies cost little. A comparison first bounds the difference from below by sketches of parities,
-which can only admit too much, and then counts the whole sets' common shingles. In how many
-shingles two sets differ is a metric: where one set is close to the smallest of a key and another
+"""Exact Jaccard join of documents on word shingles, by prefixes of the rarest shingles.
+
+All shingles have one order: those that a sample of the texts shows to be common come last, the
+commonest at the very end. The order only decides the cost; any order gives the same links. Linked
+sets have most shingles in common, so the first one in that order that they share lies in the
+prefix of both, and a set is indexed by its prefix alone. Where that first one stands also says how
+large a partner can be at most: all shingles before it are missing in the other set. So a common
+passage brings hardly any sets together, and of a group of near copies those with many changes
+of their own meet nobody.
+
+Sets that share a key are first compared with one of them only, the one with the fewest shingles
+before the key, and what links falls into classes; what stays apart is compared with a few members
+of the key's largest class. Only pairs of different classes are compared afterwards, so that large
+groups of copies cost little. A comparison first bounds the difference from below by sketches of
+parities, which can only admit too much, and then counts the whole sets' common shingles. In how
+many shingles two sets differ is a metric: where one set is close to the first of a key and another
 is far from it, the two are told apart by numbers alone.
+
+What all this leaves with too many pairs of a key is dealt by segments. Sets are grouped into size
+bands no wider than the threshold's ratio, so linked sets lie in one band or in two neighbouring
+ones. For a band the most that two linked sets can differ by, H, is known, and hashing deals all
+shingles into an even number of segments, by some more than H. So linked sets have several
+segments in common, and of segments taken two by two, several couples differ in at most one
+shingle: one segment is equal, the other equal or one shingle short on one side. A set is indexed
+by what it has in each single segment. Where a key is cheap, the sets that share it are compared; a
+dear key is left alone. Who has fewer dear keys than linked sets have segments in common has met
+all its partners in cheap ones. Only the few other sets are indexed further: by a dear segment
+together with the couple's other one, whole and once for each shingle left out. Again only sets
+with too many dear couples stay; they are dealt anew by other hashes, and what is dear at last is
+compared all the same.
 """
 
 from __future__ import annotations
@@ -34,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchweave.llm.components import components
-from matchweave.llm.shared import drop_stage, release, write_stage
+from matchweave.llm.shared import drop_stage, hash_share, release, write_stage
 from matchweave.llm.shingling import shingles
 from matchweave.llm.tokens import slices
 from matchweave.sources.store import broadcast_if_small, split_hot_joins
@@ -45,6 +52,11 @@ THRESHOLD = (85, 100)
 # the key's largest class aside; of those, which distances mostly settle, there may be more.
 PAIRS_PER_SET = 8
 BOUNDED_PAIRS_PER_SET = 1024
+# The same for keys of prefixes, where the places of a key settle most pairs by numbers.
+PLACED_PAIRS_PER_SET = 1 << 14
+# Bytes of text in which common shingles are counted, and how many of them the order knows.
+COUNTED_BYTES = 64_000_000
+COMMON_SHINGLES = 1 << 18
 # Segments beyond the least number, in hundredths of how much linked sets differ by at most.
 SPARE = 15
 # How many members of a key's largest class the others are compared with before all of them.
@@ -57,7 +69,7 @@ ANY_BAND = -1
 BAND_BITS = np.uint64(0xFF)
 # Sets whose keys are packed together, and keys of a bucket that one task sorts at once.
 SETS_AT_ONCE = 4096
-KEYS_PER_BUCKET = 2_000_000
+KEYS_PER_BUCKET = 1_000_000
 # A key that so many sets of a pack share does not go to the one task of its bucket.
 OFTEN = 8
 # Numbers without other columns may be broadcast up to this count (about 32 MB).
@@ -114,6 +126,10 @@ class Bands:
         of = [(self.segments(b), self.difference(b)) for b in range(len(self.starts) - 1)]
         return [n - d for n, d in of], [n // 2 - d // 2 for n, d in of]
 
+    def largest_partner(self, size, at):
+        """Size of the largest set that may link where ``at`` shingles of a set, or more, are its own."""
+        return (size - at) * (self.high + self.low) // self.low - size
+
     def sums(self, hashes: np.ndarray, band: int, deal: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Sum of the (scrambled) shingles in each segment, and the segment of each shingle."""
         count = self.segments(band)
@@ -155,6 +171,42 @@ class Bands:
         return np.concatenate(keys), np.concatenate(couples)
 
 
+class Order:
+    """An order of all shingles: by hash, but common ones last, and of these the commonest at the end."""
+
+    def __init__(self, common: np.ndarray):
+        self.rank = np.argsort(common)
+        self.common = common[self.rank]
+        self.rank = self.rank + 1
+
+    def prefix(self, hashes: np.ndarray, low: int, high: int) -> np.ndarray:
+        """The first shingles of a set in this order, of which linked sets share one at least."""
+        count = len(hashes) - (low * len(hashes) + high - 1) // high + 1
+        if not len(self.common):
+            return hashes[:count]
+        at = np.minimum(np.searchsorted(self.common, hashes), len(self.common) - 1)
+        rank = np.where(self.common[at] == hashes, self.rank[at], 0)
+        return hashes[np.argsort(rank, kind="stable")[:count]]
+
+
+def order_of(texts: DataFrame, words: int) -> Order:
+    """The order after the counts of shingles in a sample of the texts, of bounded size, each text once."""
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    sample = texts.select("text").where(hash_share("text", seed=words) < min(1.0, COUNTED_BYTES / max(total, 1)))
+
+    def each(batches):
+        for batch in batches:
+            for part in slices(batch):
+                found = np.concatenate([np.zeros(0, np.uint64), *(shingles(t, words) for t in part.column(0).to_pylist())])
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["shingle"])
+
+    once = sample.groupBy(F.xxhash64("text").alias("hash")).agg(F.first("text").cast("binary").alias("text"))
+    counts = once.select("text").mapInArrow(each, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
+    top = counts.where("n > 1").orderBy(F.desc("n"), "shingle").limit(COMMON_SHINGLES).toArrow()
+    # The rarest first.
+    return Order(top.column("shingle").to_numpy()[::-1].view(np.uint64) if top.num_rows else np.zeros(0, np.uint64))
+
+
 def parities(hashes: np.ndarray) -> np.ndarray:
     """Sketch: whether an odd number of shingles falls on each bit, of at least two bits a shingle.
 
@@ -167,8 +219,8 @@ def parities(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd, bitorder="little").view("<i8")
 
 
-def _signatures(docs: DataFrame, words: int, bands: Bands) -> DataFrame:
-    """Rows numbered, with a digest of the set (null if empty), its size, keys and sketch."""
+def _signatures(docs: DataFrame, words: int, bands: Bands, order: Order) -> DataFrame:
+    """Rows numbered, with a digest of the set (null if empty), its size, its prefix as keys, and sketch."""
 
     def each(batches):
         for batch in batches:
@@ -180,7 +232,7 @@ def _signatures(docs: DataFrame, words: int, bands: Bands) -> DataFrame:
                     part.column(3),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([bands.all_keys(s).tobytes() if len(s) else b"" for s in sets], pa.binary()),
+                    pa.array([order.prefix(s, bands.low, bands.high).tobytes() if len(s) else b"" for s in sets], pa.binary()),
                     pa.array([parities(s) if len(s) else [] for s in sets], pa.list_(pa.int64())),
                 ]
                 yield pa.RecordBatch.from_arrays(arrays, ["row", "doc_id", "text_hash", "digest", "size", "keys", "sketch"])
@@ -221,110 +273,142 @@ def _sets(docs: DataFrame, reps: DataFrame, wanted: DataFrame, words: int) -> Da
 
 
 def _shared_keys(signed: DataFrame, bands: Bands) -> DataFrame:
-    """key, band, slot, rep of the keys that several sets (``row``, ``keys``) share.
+    """key, band, slot, rep, size, at of the keys that several sets (``row``, ``size``, ``keys``) share.
 
-    Most keys are of one set only. So the keys of some thousand sets are packed together by
-    bucket, sorted, and only packs are shuffled; the task of a bucket keeps what comes twice. Of a
-    key that is frequent in a pack only a mark goes to its bucket, and its sets go to any task.
+    ``at`` is the place of the key in its set's prefix. Most keys are of one set only. So the keys
+    of some thousand sets are packed together by bucket, sorted, and only packs are shuffled; the
+    task of a bucket keeps what comes twice in places where sets may link. Of a key that is frequent
+    in a pack only a mark goes to its bucket, and its sets go to any task.
     """
     total = signed.agg(F.sum(F.octet_length("keys"))).first()[0] or 0
     buckets = max(int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // 8 // KEYS_PER_BUCKET + 1)
-    schema = pa.schema([("bucket", pa.int32()), ("reps", pa.binary()), ("keys", pa.binary()), ("at", pa.binary())])
+    fields = ("reps", "sizes", "keys", "whose", "at")
+    schema = pa.schema([("bucket", pa.int32()), *[(f, pa.binary()) for f in fields]])
     mark = np.uint16(SETS_AT_ONCE)
 
-    def packed(rows: np.ndarray, lists: list[bytes]) -> pa.RecordBatch:
-        keys = np.concatenate([np.frombuffer(k, np.uint64) for k in lists])
-        at = np.repeat(np.arange(len(lists), dtype=np.uint16), [len(k) // 8 for k in lists])
+    def packed(rows: list[int], sizes: list[int], lists: list[bytes]) -> pa.RecordBatch:
+        rows, sizes = np.array(rows, np.int64), np.array(sizes, np.int64)
+        held = [np.frombuffer(k, np.uint64) for k in lists]
+        keys = np.concatenate(held)
+        whose = np.repeat(np.arange(len(held), dtype=np.uint16), [len(k) for k in held])
+        at = np.concatenate([np.arange(len(k), dtype=np.uint32) for k in held])
         order = np.argsort(keys, kind="stable")
-        keys, at = keys[order], at[order]
+        keys, whose, at = keys[order], whose[order], at[order]
         _, start, many = np.unique(keys, return_index=True, return_counts=True)
         often = np.repeat(many >= OFTEN, many)
         marked = start[many >= OFTEN]
         plain = np.concatenate((keys[~often], keys[marked]))
-        whose = np.concatenate((at[~often], np.full(len(marked), mark)))
+        of_plain = np.concatenate((whose[~often], np.full(len(marked), mark)))
+        at_plain = np.concatenate((at[~often], np.zeros(len(marked), np.uint32)))
         bucket = ((_mix(plain) >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
         by = np.argsort(bucket, kind="stable")
         ends = np.searchsorted(bucket[by], np.arange(buckets + 1))
-        parts = [(n, plain[by[i:j]], whose[by[i:j]]) for n, (i, j) in enumerate(zip(ends, ends[1:])) if i < j]
+        parts = [(n, plain[by[i:j]], of_plain[by[i:j]], at_plain[by[i:j]]) for n, (i, j) in enumerate(zip(ends, ends[1:])) if i < j]
         if often.any():
             any_bucket = int(_mix(rows[:1].astype(np.uint64) + np.uint64(1))[0] % np.uint64(buckets))
-            parts.append((buckets + any_bucket, keys[often], at[often]))
+            parts.append((buckets + any_bucket, keys[often], whose[often], at[often]))
         found = []
-        for n, k, w in parts:
+        for n, k, w, a in parts:
             used, place = np.unique(w, return_inverse=True)
-            reps = np.where(used == mark, -1, rows[np.minimum(used, len(rows) - 1)])
-            found.append({"bucket": n, "reps": reps.tobytes(), "keys": k.tobytes(), "at": place.astype(np.uint16).tobytes()})
+            own = np.minimum(used, len(rows) - 1)
+            arrays = np.where(used == mark, -1, rows[own]), np.where(used == mark, 0, sizes[own]), k, place.astype(np.uint16), a
+            found.append({"bucket": n} | {f: x.tobytes() for f, x in zip(fields, arrays)})
         return pa.RecordBatch.from_pylist(found, schema)
 
     def pack(batches):
-        rows, lists = [], []
+        held = [], [], []
         for batch in batches:
             for part in slices(batch):
-                rows += part.column(0).to_pylist()
-                lists += part.column(1).to_pylist()
-                while len(rows) >= SETS_AT_ONCE:
-                    yield packed(np.array(rows[:SETS_AT_ONCE]), lists[:SETS_AT_ONCE])
-                    del rows[:SETS_AT_ONCE], lists[:SETS_AT_ONCE]
-        if rows:
-            yield packed(np.array(rows), lists)
+                for own, column in zip(held, part.columns):
+                    own += column.to_pylist()
+                while len(held[0]) >= SETS_AT_ONCE:
+                    yield packed(*[own[:SETS_AT_ONCE] for own in held])
+                    for own in held:
+                        del own[:SETS_AT_ONCE]
+        if held[0]:
+            yield packed(*held)
+
+    def entries(keys, reps, sizes, at):
+        arrays = [pa.array(keys.view(np.int64)), pa.array(reps), pa.array(sizes), pa.array(at.astype(np.int64))]
+        return pa.RecordBatch.from_arrays(arrays, ["key", "rep", "size", "at"])
 
     def settled(held):
-        keys = np.concatenate([k for k, _ in held])
-        reps = np.concatenate([r for _, r in held])
+        keys, reps, sizes, at = (np.concatenate(x) for x in zip(*held))
         order = np.argsort(keys, kind="stable")
-        keys, reps = keys[order], reps[order]
-        edge = np.append(True, keys[1:] != keys[:-1])
-        several = ~(edge & np.append(edge[1:], True))
-        kept = several & (reps >= 0)
-        return pa.RecordBatch.from_arrays([pa.array(keys[kept].view(np.int64)), pa.array(reps[kept])], ["key", "rep"])
+        keys, reps, sizes, at = keys[order], reps[order], sizes[order], at[order].astype(np.int64)
+        # What is only marked here may be of any size and in any place.
+        most = np.where(reps < 0, LARGEST, bands.largest_partner(sizes, at))
+        while len(keys):
+            starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            many = np.diff(np.append(starts, len(keys)))
+            least, reach = (np.repeat(f.reduceat(x, starts), many) for f, x in ((np.minimum, sizes), (np.maximum, most)))
+            kept = (np.repeat(many, many) > 1) & (least <= most) & (sizes <= reach)
+            if kept.all():
+                break
+            keys, reps, sizes, at, most = (x[kept] for x in (keys, reps, sizes, at, most))
+        kept = reps >= 0
+        return entries(keys[kept], reps[kept], sizes[kept], at[kept])
 
     def unpack(batches):
         held, now = [], None
         for batch in batches:
-            for bucket, reps, keys, at in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for bucket, *packs in zip(*(batch.column(i).to_pylist() for i in range(6))):
                 if bucket != now and held:
                     yield settled(held)
                     held = []
                 now = bucket
-                k, r = np.frombuffer(keys, np.uint64), np.frombuffer(reps, np.int64)[np.frombuffer(at, np.uint16)]
+                kinds = np.int64, np.int64, np.uint64, np.uint16, np.uint32
+                reps, sizes, keys, whose, at = (np.frombuffer(x, kind) for x, kind in zip(packs, kinds))
                 if bucket >= buckets:
-                    yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(r)], ["key", "rep"])
+                    yield entries(keys, reps[whose], sizes[whose], at)
                 else:
-                    held.append((k, r))
+                    held.append((keys, reps[whose], sizes[whose], at))
         if held:
             yield settled(held)
 
-    packs = signed.select("row", "keys").mapInArrow(pack, "bucket int, reps binary, keys binary, at binary")
+    kinds = ", ".join(["bucket int", *[f"{f} binary" for f in fields]])
+    packs = signed.select("row", "size", "keys").mapInArrow(pack, kinds)
     dealt = packs.repartition(min(buckets, 4096), "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(unpack, "key long, rep long").select("key", _band_of("key"), F.col("key").alias("slot"), "rep")
+    found = dealt.mapInArrow(unpack, "key long, rep long, size long, at long")
+    return found.select("key", F.lit(ANY_BAND).alias("band"), F.lit(0).cast("long").alias("slot"), "rep", "size", "at")
 
 
 def _band_of(key: str) -> Column:
     return F.col(key).bitwiseAND(F.lit(int(BAND_BITS))).cast("int").alias("band")
 
 
-def _further_keys(docs: DataFrame, reps: DataFrame, dear: DataFrame, words: int, bands: Bands, deal: int, whole: bool) -> DataFrame:
-    """key, band, slot, rep of the sets with dear keys (key, rep).
+def _further_keys(docs: DataFrame, reps: DataFrame, dear: DataFrame, words: int, bands: Bands, deal: int, how: str) -> DataFrame:
+    """key, band, slot, rep, size, at of the sets with dear keys (key, rep).
 
-    Either of each segment of a dealing (``whole``), or of the dear ones with one shingle left out.
+    The keys are those of their prefixes, in an order of these sets (``how`` is "prefix"), of each
+    segment of a dealing ("whole"), or of the dear segments with one shingle left out ("less").
     """
+    # A set has no more dear keys than keys, so the lists are as long as its own text at most.
+    listed = dear.groupBy("rep").agg(F.collect_set("key").alias("keys"))
+    texts = _texts_of(docs, reps, listed).select("rep", "text", "keys")
+    order = order_of(texts, words) if how == "prefix" else None
 
     def each(batches):
         for batch in batches:
             for part in slices(batch):
                 for rep, text, own in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2)):
-                    if whole:
-                        found = bands.all_keys(shingles(text, words), deal)
+                    hashes = shingles(text, words)
+                    if how == "prefix":
+                        found = order.prefix(hashes, bands.low, bands.high)
+                        slots = np.zeros(len(found), np.int64)
+                    elif how == "whole":
+                        found = bands.all_keys(hashes, deal)
                         slots = found.view(np.int64)
                     else:
-                        found, slots = bands.one_left_out(shingles(text, words), np.array(own.as_py(), np.int64).view(np.uint64), deal)
-                    arrays = [pa.array(found.view(np.int64)), pa.array(slots), pa.array(np.full(len(found), rep, np.int64))]
-                    yield pa.RecordBatch.from_arrays(arrays, ["key", "slot", "rep"])
+                        found, slots = bands.one_left_out(hashes, np.array(own.as_py(), np.int64).view(np.uint64), deal)
+                    at = np.arange(len(found)) if how == "prefix" else np.zeros(len(found), np.int64)
+                    same = [np.full(len(found), n, np.int64) for n in (rep, len(hashes))]
+                    arrays = [pa.array(x) for x in (found.view(np.int64), slots, *same, at)]
+                    yield pa.RecordBatch.from_arrays(arrays, ["key", "slot", "rep", "size", "at"])
 
-    # A set has no more dear keys than keys, so the lists are as long as its own text at most.
-    listed = dear.groupBy("rep").agg(F.collect_set("key").alias("keys"))
-    texts = _texts_of(docs, reps, listed).select("rep", "text", "keys")
-    return texts.mapInArrow(each, "key long, slot long, rep long").distinct().select("key", _band_of("key"), "slot", "rep")
+    found = texts.mapInArrow(each, "key long, slot long, rep long, size long, at long").distinct()
+    band = F.lit(ANY_BAND).alias("band") if how == "prefix" else _band_of("key")
+    return found.select("key", band, "slot", "rep", "size", "at")
 
 
 def _differing_bits(x: Column, y: Column) -> Column:
@@ -396,6 +480,9 @@ class Join:
         bounds = met.join(broadcast_if_small(exact), ["a", "b"], "left")
         return bounds.select("a", "b", F.col("size_a").alias("size"), F.coalesce("exact", "low").alias("low"), F.coalesce("exact", "both").alias("high"))
 
+    def largest_partner(self) -> Column:
+        return F.expr(f"(size - at) * {self.bands.high + self.bands.low} div {self.bands.low} - size")
+
     def classed(self) -> DataFrame:
         """node, root of all links so far."""
         out, _ = write_stage(components(self.links), "classes")
@@ -409,10 +496,10 @@ class Join:
         self.links = self.links.unionByName(found)
 
     def rooted(self, held: DataFrame) -> tuple[DataFrame, str]:
-        """key, band, slot, rep, first and the root of its class so far."""
+        """key, band, slot, rep, size, at, first and the root of its class so far."""
         roots = self.classed()
         out = held.join(broadcast_if_small(roots), F.col("rep") == F.col("node"), "left")
-        return write_stage(out.select("key", "band", "slot", "rep", "first", F.coalesce("root", "rep").alias("root")), "rooted")
+        return write_stage(out.select("key", "band", "slot", "rep", "size", "at", "first", F.coalesce("root", "rep").alias("root")), "rooted")
 
     def met_by_pivots(self, held: DataFrame) -> tuple[DataFrame, str]:
         """The rows of keys with their classes, after comparing each with some of its key's largest class."""
@@ -433,17 +520,33 @@ class Join:
             drop_stage(self.spark, before)
         return rooted, path
 
-    def round(self, members: DataFrame, common: list[int] | None = None, all_pairs: bool = False) -> tuple[DataFrame | None, list[str]]:
-        """Links the sets that share keys (key, band, slot, rep); returns what is dear, if anything, and its folder.
+    def may_meet(self, members: DataFrame) -> tuple[DataFrame, str]:
+        """The rows of keys in whose places their sets may link with others of the key."""
+        groups = members.withColumn("most", self.largest_partner()).groupBy("key").agg(
+            F.count(F.lit(1)).alias("n"), F.min("size").alias("least"), F.max("most").alias("reach")
+        )
+        groups, path = write_stage(groups.where("n > 1").drop("n"), "keys")
+        met = members.join(broadcast_if_small(groups), "key").withColumn("most", self.largest_partner())
+        met, met_path = write_stage(met.where("least <= most AND size <= reach").drop("least", "reach", "most"), "meeting")
+        drop_stage(self.spark, path)
+        return met, met_path
+
+    def round(self, members: DataFrame, common: list[int] | None = None, all_pairs: bool = False, placed: bool = False):
+        """Links the sets that share keys (key, band, slot, rep, size, at); returns what is dear, if anything, and its folder.
 
-        Linked sets have keys in common in at least as many slots as ``common`` has for the band.
+        Linked sets share a key in places where neither has too much before it. They have keys in
+        common in at least as many slots as ``common`` has for the band. Keys are ``placed`` if they
+        have places in their sets; others are all in place 0.
         """
-        groups = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("first")).where("n > 1")
+        members, members_path = self.may_meet(members)
+        # The set with the fewest shingles before a key is the most likely to be like the others.
+        groups = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("at", "rep"))["rep"].alias("first")).where("n > 1")
         groups, groups_path = write_stage(groups, "keys")
         if groups.isEmpty():
+            drop_stage(self.spark, members_path, groups_path)
             return None, []
         held, held_path = write_stage(members.join(broadcast_if_small(groups), "key"), "members")
-        drop_stage(self.spark, groups_path)
+        drop_stage(self.spark, groups_path, members_path)
         star = held.where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct()
         far = self.measured(star).withColumnsRenamed({"a": "rep", "b": "first"})
         # Keys of two sets are settled; of others, what is still in different classes is to be met.
@@ -457,18 +560,20 @@ class Join:
         among = (rest * rest - F.col("squares") + F.col("largest") * F.col("largest")) / 2
         apart = sums.where(rest > 0).select("key", "most", "n", among.alias("pairs"), (rest * F.col("largest")).alias("bounded"))
         apart, apart_path = write_stage(apart, "apart")
-        cheap = (F.col("pairs") <= PAIRS_PER_SET * F.col("n")) & (F.col("bounded") <= BOUNDED_PAIRS_PER_SET * F.col("n"))
+        limits = (PLACED_PAIRS_PER_SET, PLACED_PAIRS_PER_SET) if placed else (PAIRS_PER_SET, BOUNDED_PAIRS_PER_SET)
+        cheap = (F.col("pairs") <= limits[0] * F.col("n")) & (F.col("bounded") <= limits[1] * F.col("n"))
         cheap = F.lit(True) if all_pairs else cheap
         # What the smallest set was compared with needs no second look.
         direct = rooted.where(F.col("rep") != F.col("first")).join(broadcast_if_small(apart.where(cheap).select("key", "most")), "key")
-        direct = direct.join(far, ["rep", "first"])
-        second = {c: f"{c}2" for c in ("rep", "root", "size", "low", "high")}
+        direct = direct.join(far.drop("size"), ["rep", "first"]).withColumn("partner", self.largest_partner())
+        second = {c: f"{c}2" for c in ("rep", "root", "size", "low", "high", "partner")}
         strays = direct.where("root <> most").select("key", *[F.col(c).alias(n) for c, n in second.items()])
         both = F.col("size") + F.col("size2")
         least = F.greatest(F.col("low") - F.col("high2"), F.col("low2") - F.col("high"), F.abs(F.col("size") - F.col("size2")))
         # Two strays meet from both sides, so one of them is enough.
         once = (F.col("root") == F.col("most")) | (F.col("rep") < F.col("rep2"))
-        met = direct.join(strays, (direct["key"] == strays["key"]) & (F.col("root") != F.col("root2")) & once & self.may_link(least, both))
+        fit = (F.col("size") <= F.col("partner2")) & (F.col("size2") <= F.col("partner"))
+        met = direct.join(strays, (direct["key"] == strays["key"]) & (F.col("root") != F.col("root2")) & once & fit & self.may_link(least, both))
         met = met.select(F.greatest("rep", "rep2").alias("a"), F.least("rep", "rep2").alias("b")).distinct()
         self.add(self.verified(met))
         dear = apart.where(~cheap).select("key")
@@ -490,29 +595,32 @@ class Join:
             return None, []
         return open_rows, [open_path]
 
-    def again(self, dear: DataFrame, paths: list[str], deal: int, whole: bool, all_pairs: bool = False):
+    def again(self, dear: DataFrame, paths: list[str], deal: int, how: str, all_pairs: bool = False):
         """A round with further keys of the sets that have dear keys."""
-        further = _further_keys(self.docs, self.reps, dear, self.words, self.bands, deal, whole)
+        further = _further_keys(self.docs, self.reps, dear, self.words, self.bands, deal, how)
         members, path = write_stage(further, "further")
         drop_stage(self.spark, *paths)
-        out = self.round(members, self.equal if whole else self.nearly, all_pairs)
+        common = {"prefix": None, "whole": self.equal, "less": self.nearly}[how]
+        out = self.round(members, common, all_pairs, placed=how == "prefix")
         drop_stage(self.spark, path)
         return out
 
-    def run(self, members: DataFrame, segments: bool = True) -> DataFrame:
-        """node, root: the classes of all sets that link and share a key (key, band, slot, rep).
+    def run(self, members: DataFrame, prefixes: bool = True) -> DataFrame:
+        """node, root: the classes of all sets that link and share a key (key, band, slot, rep, size, at).
 
-        The keys are those of all segments, or (``segments`` false) any that linked sets share.
+        The keys are those of prefixes, or (``prefixes`` false) any that linked sets share.
         """
-        dear, paths = self.round(members, self.equal if segments else None)
-        if dear is not None and not segments:
-            dear, paths = self.again(dear, paths, 0, whole=True)
+        dear, paths = self.round(members, placed=prefixes)
+        if dear is not None and not prefixes:
+            dear, paths = self.again(dear, paths, 0, "prefix")
+        if dear is not None:
+            dear, paths = self.again(dear, paths, 0, "whole")
         for deal in range(REDEALS + 1):
             if dear is None:
                 break
-            dear, paths = self.again(dear, paths, deal, whole=False, all_pairs=deal == REDEALS)
+            dear, paths = self.again(dear, paths, deal, "less", all_pairs=deal == REDEALS)
             if dear is not None:
-                dear, paths = self.again(dear, paths, deal + 1, whole=True)
+                dear, paths = self.again(dear, paths, deal + 1, "whole")
         return self.classed()
 
 
@@ -530,7 +638,7 @@ def classes(docs: DataFrame, words: int = WORDS, threshold: tuple[int, int] = TH
     spark = split_hot_joins(docs.sparkSession)
     docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     bands = Bands(threshold)
-    signed, signed_path = write_stage(_signatures(docs, words, bands), "signed")
+    signed, signed_path = write_stage(_signatures(docs, words, bands, order_of(docs, words)), "signed")
     first = signed.where("digest is not null").groupBy("digest").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least"))
     first, first_path = write_stage(first, "firsts")
     of_rep = signed.select("row", F.col("doc_id").alias("rep_id"), "text_hash", "size", "sketch")

@@ -139,3 +139,33 @@ def test_bands_are_no_wider_than_the_threshold():
             over = next(b for b in range(62) if bands.starts[b] <= largest < bands.starts[b + 1])
             assert over <= own[0] + 1
     assert shingles(b"a b c", 4).size == 1
+
+
+def test_linked_sets_share_a_prefix_key_in_places_that_allow_it():
+    rng, bands = np.random.default_rng(3), jaccard.Bands()
+    for _ in range(300):
+        x = np.unique(rng.integers(0, 1 << 62, int(2 ** rng.uniform(0, 10)), dtype=np.uint64))
+        drop = int(rng.integers(0, 15 * len(x) // 100 + 1))
+        y = np.union1d(x[drop:], rng.integers(0, 1 << 62, int(rng.integers(0, 9)), dtype=np.uint64))
+        common = len(np.intersect1d(x, y))
+        if 100 * common < 85 * (len(x) + len(y) - common):
+            continue
+        order = jaccard.Order(rng.permutation(np.union1d(x, y))[: len(x) // 2])
+        a, b = (order.prefix(s, 85, 100) for s in (x, y))
+        places = [(i, int(np.flatnonzero(b == k)[0])) for i, k in enumerate(a) if k in b]
+        assert any(len(y) <= bands.largest_partner(len(x), i) and len(x) <= bands.largest_partner(len(y), j) for i, j in places)
+
+
+def test_copies_with_many_changes_of_their_own_are_not_compared_in_pairs(documents, monkeypatch):
+    """150 copies of one text, each too far from all others, and unlike texts that share a passage."""
+    met, counts = jaccard.Join.met, []
+    monkeypatch.setattr(jaccard.Join, "met", lambda self, pairs: (counts.append(pairs.count()), met(self, pairs))[1])
+    rng, rows = random.Random(13), []
+    text, passage = prose(rng, 150), prose(rng, 60)
+    for n in range(150):
+        own = list(text)
+        own[5 + n % 5 : 150 : 25] = [f"x{rng.randrange(10**9)}" for _ in own[5 + n % 5 : 150 : 25]]
+        rows += [(n, " ".join(own)), (1000 + n, " ".join(passage + prose(rng, 25)))]
+    got = found(documents, rows)
+    assert got == slow(rows)
+    assert sum(counts) < 300
