@@ -272,16 +272,16 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The documents with one left of each class of near copies, that with the smallest doc_id.
 
     Copies link at a five-word likeness of 0.8 or more. They are found by SimHash: texts whose
-    fingerprints of five-word shingles share three of six blocks of bits (`table_keys`), so all
-    within three bits, are compared and linked. Texts at 0.8 may differ in ten bits and more, which
-    no fingerprint of 64 bits tells from chance; an exact check of what is still in different
-    classes follows (`minhash`), in which what SimHash has linked is not compared again.
+    fingerprints of five-word shingles are within three bits (`near_links`) are compared and linked.
+    Texts at 0.8 may differ in ten bits and more, which no fingerprint of 64 bits tells from chance;
+    an exact check of what is still in different classes follows (`minhash`), in which what SimHash
+    has linked is not compared again.
     Of rows that repeat the smallest id the first is kept; null ids come last. The input is
     written once with its rows numbered.
     """
     names = docs.columns
     numbered, _ = write_stage(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    ids = numbered.select("__row", "doc_id").join(row_classes(numbered, table_keys), "__row")
+    ids = numbered.select("__row", "doc_id").join(row_classes(numbered, over_half, near_links), "__row")
     ids, _ = write_stage(ids.select("__row", "doc_id", "root"), "classes")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")
     kept = ids.groupBy("root").agg(F.min(order).alias("first"))

@@ -125,6 +125,22 @@ def test_keep_one_finds_copies_by_simhash_alone(documents, monkeypatch):
     assert kept >= {i for i, _ in rows[:40]}
 
 
+def test_fingerprints_that_share_blocks_by_chance_are_not_compared(spark, documents, monkeypatch):
+    """All fingerprints share 33 bits and are far apart in the others: only the copy is compared."""
+    met, counts = jaccard.Join.met, []
+    monkeypatch.setattr(jaccard.Join, "met", lambda self, pairs: (counts.append(pairs.count()), met(self, pairs))[1])
+    monkeypatch.setattr(minhash, "band_keys", lambda hashes: np.array([xxhash.xxh64_intdigest(hashes.tobytes())], np.uint64))
+    rng = random.Random(14)
+    rows = [(i, " ".join(words(rng, 30))) for i in range(80)]
+    rows.append((80, rows[0][1] + " tail"))
+    first = int(minhash.shingles(rows[0][1].encode(), 5)[0])
+    far = lambda s: (1 if first in s.tolist() else xxhash.xxh32_intdigest(s.tobytes()) >> 1) << 33
+    numbered = documents(rows).drop("__row").withColumnRenamed("doc_id", "__row")
+    root = dict(map(tuple, minhash.row_classes(numbered, far, simhash.near_links).collect()))
+    assert root == {i: i % 80 for i in range(81)}
+    assert sum(counts) < 10
+
+
 def test_the_pipeline_sends_small_batches_to_python(spark, documents):
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
