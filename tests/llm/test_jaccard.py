@@ -169,3 +169,19 @@ def test_copies_with_many_changes_of_their_own_are_not_compared_in_pairs(documen
     got = found(documents, rows)
     assert got == slow(rows)
     assert sum(counts) < 300
+
+
+def test_what_prefixes_leave_loses_no_link_in_segments(documents, monkeypatch):
+    """With hardly any pairs allowed, the sets of all keys with several classes are dealt by segments."""
+    for name in ("PLACED_PAIRS_PER_SET", "PAIRS_PER_SET", "BOUNDED_PAIRS_PER_SET"):
+        monkeypatch.setattr(jaccard, name, 0.01)
+    again, ways = jaccard.Join.again, []
+    monkeypatch.setattr(jaccard.Join, "again", lambda self, dear, paths, deal, how, **more: (ways.append(how), again(self, dear, paths, deal, how, **more))[1])
+    monkeypatch.setattr(jaccard, "REDEALS", 0)
+    rng, rows = random.Random(6), []
+    text = prose(rng, 60)
+    for n in range(40):
+        rows.append((n, " ".join(text)))
+        text = edited(rng, text, 1 + n % 2)
+    assert found(documents, rows) == slow(rows)
+    assert ways and ways[0] == "whole"
