@@ -22,11 +22,12 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.ml.stat import Correlation
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchweave.functions.exprs import hash_order
+from matchweave.operators import forests
 from matchweave.operators.evaluate import confusion_counts, confusion_report
 
 LABEL = "label"
@@ -35,8 +36,9 @@ LABEL = "label"
 def forest(trees: int = 500, depth: int = 30, seed: int = 42) -> RandomForestClassifier:
     """Random forest of trees grown as deep as MLlib allows, trying sqrt(p) variables per split.
 
-    The node that a row has reached in each tree is kept with the row, so a level does not send
-    all trees out again and walk every row down from their roots. The trees are the same.
+    `fit` grows it whole trees at a time (`forests`). Where MLlib has to, the node that a row has
+    reached in each tree is kept with the row, so a level does not send all trees out again and walk
+    every row down from their roots. The trees are the same.
     """
     return RandomForestClassifier(
         labelCol=LABEL, numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed, cacheNodeIds=True
@@ -68,7 +70,9 @@ def varying_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:
     return [c for c in columns if row[c]]
 
 
-def fit(train: DataFrame, columns: Sequence[str], estimator) -> PipelineModel:
+def fit(train: DataFrame | forests.Part, columns: Sequence[str], estimator) -> PipelineModel | forests.ForestModel:
+    if forests.grows(train, columns, estimator):
+        return forests.fit(train, columns, estimator)
     assembler = VectorAssembler(inputCols=list(columns), outputCol="features")
     labelled = train.withColumn(LABEL, F.col(LABEL).cast("double"))
     return Pipeline(stages=[assembler, estimator]).fit(labelled)
@@ -96,6 +100,8 @@ def predict(model: PipelineModel, test: DataFrame, ids: Sequence[str]) -> DataFr
     The score is a probability where the model gives one, else the signed distance to the
     separating plane, which ranks the rows just as well.
     """
+    if isinstance(model, forests.ForestModel):
+        return forests.predict(model, test, ids, LABEL)
     out = model.transform(test.withColumn(LABEL, F.col(LABEL).cast("double")))
     if "probability" in out.columns:
         score = vector_to_array("probability")[1]

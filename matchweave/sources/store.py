@@ -104,9 +104,14 @@ def append_table(df: DataFrame, path: str) -> None:
     write_table(df, path, mode="append")
 
 
-def save_model(model: PipelineModel, path: str) -> None:
+def save_model(model, path: str) -> None:
+    """Write a fitted pipeline or a forest."""
     model.write().overwrite().save(path)
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_model(path: str):
+    # Forests build on this module.
+    from matchweave.operators import forests
+
+    spark = SparkSession.active()
+    return forests.load(spark, path) if forests.is_stored(spark, path) else PipelineModel.load(path)
