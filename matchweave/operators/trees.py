@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchweave.functions.exprs import hash_order
+from matchweave.operators import forests
 from matchweave.operators.models import (
     LABEL,
     drawn_count,
@@ -36,6 +37,8 @@ def node_table(model: PipelineModel, df: DataFrame) -> DataFrame:
     Columns: tree, node (numbered from the root, left before right), feature (its number) and
     threshold of the split, left, right (both -1 at a leaf), gain, rows (weighted, by class).
     """
+    if isinstance(model, forests.ForestModel):
+        return forests.node_table(model)
     path = new_path(df.sparkSession, "model")
     model.stages[-1].write().save(path)
     stored = df.sparkSession.read.parquet(f"{path}/data")
