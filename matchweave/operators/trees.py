@@ -280,23 +280,36 @@ def out_of_bag(
     A bag draws rows as often as a Poisson count from the row's hash says (`drawn_count`), the same
     wherever it is computed. ``trees`` are dealt evenly to the bags and grown on whole bags; a row's
     votes come from the bags that did not draw it. A row that all bags drew has no vote and no
-    prediction. One pass over the rows for each bag, and one aggregation of all votes.
+    prediction. The rows are coded once, with the draws of all bags, and the trees of all bags are
+    grown and vote together.
     """
     per_bag = max(1, trees // bags)
-
-    def one(i: int) -> DataFrame:
-        weighted = train.withColumn("weight", drawn_count(key, i, seed).cast("double"))
-        forest = RandomForestClassifier(
+    bag_forests = [
+        RandomForestClassifier(
             labelCol=LABEL, weightCol="weight", numTrees=per_bag, maxDepth=depth, bootstrap=False,
             featureSubsetStrategy="sqrt", seed=seed + i, cacheNodeIds=True,
         )
-        model = fit(weighted.where(F.col("weight") > 0), columns, forest)
+        for i in range(bags)
+    ]
+    if forests.grows(train, columns, RandomForestClassifier(labelCol=LABEL)):
+        rows = forests.coded(train, columns, LABEL, [key], [drawn_count(key, i, seed) for i in range(bags)])
+        voted = forests.held_out([fit(rows.part(i), columns, f) for i, f in enumerate(bag_forests)])
+    else:
+        voted = _votes_by_mllib(train, columns, key, bag_forests, seed)
+    return voted.select(
+        key, LABEL, "n_votes", "share", F.when(F.col("share").isNotNull(), (F.col("share") > 0.5).cast("double")).alias("prediction")
+    )
+
+
+def _votes_by_mllib(train: DataFrame, columns: Sequence[str], key: str, bag_forests: Sequence, seed: int) -> DataFrame:
+    """Votes where labels are no two classes: a pass over the rows for each bag, and one aggregation of all votes."""
+
+    def one(i: int) -> DataFrame:
+        weighted = train.withColumn("weight", drawn_count(key, i, seed).cast("double"))
+        model = fit(weighted.where(F.col("weight") > 0), columns, bag_forests[i])
         return predict(model, weighted.where(F.col("weight") == 0), [key])
 
-    votes = reduce(DataFrame.unionByName, side_by_side(one, range(bags)))
+    votes = reduce(DataFrame.unionByName, side_by_side(one, range(len(bag_forests))))
     counted = votes.groupBy(key).agg(F.count(F.lit(1)).alias("n_votes"), F.avg("score").alias("share"))
     rows = train.select(key, F.col(LABEL).cast("double").alias(LABEL)).join(counted, key, "left")
-    return rows.select(
-        key, LABEL, F.coalesce("n_votes", F.lit(0)).cast("long").alias("n_votes"), "share",
-        F.when(F.col("share").isNotNull(), (F.col("share") > 0.5).cast("double")).alias("prediction"),
-    )
+    return rows.select(key, LABEL, F.coalesce("n_votes", F.lit(0)).cast("long").alias("n_votes"), "share")
