@@ -147,6 +147,9 @@ def cross_validate(
 ):
     """Cross-validated accuracy with folds by matched group. Returns the CrossValidatorModel."""
     maps = ParamGridBuilder().build() if grid is None else list(grid)
+    candidates = [estimator.copy(m) for m in maps]
+    if all(forests.grows(train, columns, e) for e in candidates):
+        return _cross_validate_forests(train, columns, candidates, group, folds, seed)
     validator = CrossValidator(
         estimator=estimator,
         estimatorParamMaps=maps,
@@ -159,6 +162,35 @@ def cross_validate(
         return validator.fit(ready)
 
 
+def _fold_rows(
+    train: DataFrame, columns: Sequence[str], group: str, ids: Sequence[str], folds: int, seed: int, bins: int
+) -> forests.Coded:
+    """Coded rows with a fit for each fold, which holds the fold out, and one for all rows; the fold is the first id."""
+    folded = train.withColumn("fold", fold_of(group, folds, seed))
+    weights = [*[F.coalesce(F.col("fold") != i, F.lit(False)).cast("int") for i in range(folds)], F.lit(1)]
+    return forests.coded(folded, columns, LABEL, ["fold", *ids], weights, bins)
+
+
+def _cross_validate_forests(train: DataFrame, columns: Sequence[str], candidates, group: str, folds: int, seed: int):
+    """What CrossValidator does, with all forests of a candidate grown together."""
+    means, deviations, fitted = [], [], []
+    for estimator in candidates:
+        rows = _fold_rows(train, columns, group, [], folds, seed, estimator.getMaxBins())
+        of_folds = [fit(rows.part(i), columns, estimator) for i in range(folds)]
+        whole = fit(rows.part(folds), columns, estimator) if len(candidates) == 1 else None
+        scored = forests.held_out(of_folds).where(F.col("fold").isNotNull())
+        right = F.avg(((F.col("share") > 0.5).cast("double") == F.col(LABEL)).cast("double"))
+        found = {r["fold"]: r["right"] for r in scored.groupBy("fold").agg(right.alias("right")).collect()}
+        if len(found) < folds:
+            raise ValueError("a fold has no rows to judge by")
+        means.append(float(np.mean([found[i] for i in range(folds)])))
+        deviations.append(float(np.std([found[i] for i in range(folds)])))
+        fitted.append(whole)
+    best = int(np.argmax(means))
+    model = fitted[best] or fit(train, columns, candidates[best])
+    return CrossValidatorModel(model, avgMetrics=means, subModels=None, stdMetrics=deviations)
+
+
 def side_by_side(work, items, parallelism: int = 4) -> list:
     """Results of independent fits, a few at a time, in the order of the items."""
     with ThreadPoolExecutor(parallelism) as pool:
@@ -169,6 +201,11 @@ def out_of_fold(
     train: DataFrame, columns: Sequence[str], estimator, group: str, ids: Sequence[str], folds: int = 10, seed: int = 42
 ) -> DataFrame:
     """Prediction of every training row by a model that has not seen its matched group."""
+    if forests.grows(train, columns, estimator):
+        rows = _fold_rows(train, columns, group, ids, folds, seed, estimator.getMaxBins())
+        scored = forests.held_out([fit(rows.part(i), columns, estimator) for i in range(folds)])
+        judged = scored.where(F.col("fold").isNotNull())
+        return judged.select(*ids, LABEL, (F.col("share") > 0.5).cast("double").alias("prediction"), F.col("share").alias("score"))
     folded = train.withColumn("fold", fold_of(group, folds, seed))
 
     def one(i: int) -> DataFrame:
