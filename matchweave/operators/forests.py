@@ -551,6 +551,17 @@ def _space(shape: tuple[int, int]) -> np.ndarray:
     return np.memmap(tempfile.TemporaryFile(), np.uint8, "w+", shape=shape)
 
 
+def _by_content(bins: np.ndarray, label: np.ndarray, drawn: np.ndarray) -> None:
+    """Put the rows into the order of their digests, so that draws do not depend on how the rows lie; equal rows are alike."""
+    digest = label.astype(np.uint64) * np.uint64(256) + drawn
+    for column in bins:
+        digest = (digest ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        digest ^= digest >> np.uint64(29)
+    order = np.argsort(digest, kind="stable")
+    for column in (*bins, label, drawn):
+        column[:] = column[order]
+
+
 def _deal(p: int, n_weights: int, bins: dict[int, np.ndarray]):
     """Of each block and fit the rows that the fit draws, as bins, column after column."""
     n_codes = next(iter(bins.values())).shape[1]
@@ -590,6 +601,7 @@ def _grow_in_task(p: int, n_rows: dict[int, int], n_weights: int, fits: dict[int
                 at = there.stop
             if at != n:
                 raise ValueError(f"a task got {at} rows of {n}")
+            _by_content(bins, label, drawn)
             grower = _Grower(bins, label, fit)
             for number in range(part, fit.trees, tasks):
                 tree = grower.tree(number, drawn if n_weights else None)
@@ -842,7 +854,8 @@ def _votes(blocks: DataFrame, models: Sequence[ForestModel], ids: Sequence[str],
     tasks = _tasks(blocks.sparkSession, first.n_trees * len(models))
     arrays = ["feature", "cut", "right", "negative", "positive"]
     dealt = _to_tasks(blocks.select("chunk", "codes", "weights"), tasks).unionByName(
-        trees.select(F.pmod("tree", F.lit(tasks)).cast("int").alias("task"), "fit", "tree", *arrays), allowMissingColumns=True
+        trees.select(F.pmod(F.col("fit") * first.n_trees + F.col("tree"), F.lit(tasks)).cast("int").alias("task"), "fit", "tree", *arrays),
+        allowMissingColumns=True,
     )
     # NULLs come first in the order, so the trees do.
     dealt = dealt.repartitionById(tasks, "task").sortWithinPartitions("task", "chunk", "fit", "tree")

@@ -115,6 +115,12 @@ def test_sister_leaves_differ_and_draws_vary(table):
     assert len(sizes) > 5 and 850 < np.mean(list(sizes)) < 950
 
 
+def test_draws_do_not_depend_on_how_rows_lie(table):
+    forest = models.forest(8, 9)
+    texts = [models.fit(df, COLUMNS, forest).toDebugString for df in (table, table.repartition(7, "c"))]
+    assert texts[0] == texts[1]
+
+
 def test_large_and_small_nodes_are_split_alike(monkeypatch):
     rng = np.random.default_rng(1)
     bins = rng.integers(0, 8, (5, 6000), dtype=np.uint8)
